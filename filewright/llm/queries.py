@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
+from filewright.llm.decontamination import op4_decontamination
 from filewright.llm.exact_dedup import OP8_SQL, op8_exact_dedup
 from filewright.llm.sharding import op3_sharding
 from filewright.llm.token_files import op1_token_files
 from filewright.llm.toxicity import op2_toxicity
 from filewright.llm.url_filters import OP10_SQL, op10_url_filters
 
-QUERIES = {f.__name__: f for f in (op1_token_files, op2_toxicity, op3_sharding, op8_exact_dedup, op10_url_filters)}
+QUERIES = {f.__name__: f for f in (op1_token_files, op2_toxicity, op3_sharding, op4_decontamination, op8_exact_dedup, op10_url_filters)}
 ORACLE_SQL = {"op8_exact_dedup": OP8_SQL, "op10_url_filters": OP10_SQL}

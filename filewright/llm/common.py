@@ -58,3 +58,18 @@ def partitions(spark: SparkSession) -> int:
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+#: Of a thousand shares, one: a key is hot if it holds more of the rows, so there are at most a thousand hot keys.
+HOT_SHARE = 1000
+
+
+def join_hot(left: DataFrame, right: DataFrame, key: str, size: str, total: int) -> DataFrame:
+    """Inner join with ``right``, which has one row a key and the key's number of left rows in ``size``.
+
+    The hot keys' rows, a thousand at most, are broadcast; the others meet in a shuffle that no key dominates.
+    """
+    is_hot = F.col(size) * HOT_SHARE > total
+    hot = right.where(is_hot)
+    rest = left.join(F.broadcast(hot.select(key)), key, "left_anti").join(right.where(~is_hot), key)
+    return left.join(F.broadcast(hot), key).unionByName(rest)

@@ -19,8 +19,11 @@ gives an index without parts; other columns are ignored.
 from __future__ import annotations
 
 import json
+import os
+import re
 import zlib
 from collections.abc import Callable, Iterator
+from functools import lru_cache, partial
 from itertools import chain
 
 import numpy as np
@@ -32,35 +35,89 @@ from pyspark.sql import functions as F
 from filewright.llm.common import filesystem, partitions, shared_dir, table, text_or_empty
 
 
-class ByteBpe:
-    """Encodes with a ``tokenizers`` file; pre-tokens seen before come from a bounded memo.
+class _Numbers(dict):
+    """Numbers strings as they come and lists those that are new."""
 
-    The file's own pre-tokenizer cuts text by this published pattern; a pre-token's ids don't depend on its neighbours.
-    """
+    def __init__(self):
+        self.new: list[str] = []
+        self.next = 0
 
-    PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
+    def __missing__(self, key) -> int:
+        self[key] = number = self.next
+        self.next += 1
+        self.new.append(key)
+        return number
 
-    def __init__(self, path: str, memo: int = 300_000):
-        import regex
-        from tokenizers import Tokenizer
 
-        self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
-        self.limit = memo
-        self.memo: dict[str, list[int]] = {}
-        self.cut = regex.compile(self.PATTERN).findall
+class ByteBpe:
+    """Encodes with a ``tokenizers`` file of byte-level BPE; ids of pre-tokens seen before come from a bounded memo.
+
+    A pre-token's ids don't depend on its neighbours, so texts are cut into pre-tokens by the file's own published
+    pattern, written here for Latin-1 text without superscripts, fractions and separator controls, where ``\\w`` and
+    ``\\d`` cut as ``\\p{L}`` and ``\\p{N}`` do. Any other text goes to the library whole.
+    """
 
-    def __call__(self, text: str) -> np.ndarray:
-        pieces = self.cut(text)
-        new = list(set(pieces).difference(self.memo))
-        if new:
-            if len(self.memo) + len(new) > self.limit:
-                self.memo.clear()
-                new = list(set(pieces))
-            for i in range(0, len(new), 4096):
-                some = new[i : i + 4096]
-                self.memo.update(zip(some, (e.ids for e in self.tokenizer.encode_batch_fast(some, add_special_tokens=False)), strict=True))
-        return np.fromiter(chain.from_iterable(map(self.memo.__getitem__, pieces)), np.uint32)
+    CUT = re.compile(r" ?[^\W\d_]+| ?\d+|'(?:[stmd]|re|ve|ll)| ?(?:[^\s\w]|_)+|\s+(?!\S)|\s+").findall
+    ODD = bytes([*range(0x1C, 0x20), 0xB2, 0xB3, 0xB9, 0xBC, 0xBD, 0xBE])
+
+    def __init__(self, path: str, end_id: int, memo: int = 400_000):
+        from tokenizers import Tokenizer, pre_tokenizers
+
+        self.whole, self.pieces = Tokenizer.from_file(path), Tokenizer.from_file(path)
+        self.whole.encode_special_tokens = self.pieces.encode_special_tokens = True
+        self.pieces.pre_tokenizer = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
+        self.limit, self.end_id = memo, end_id
+        self.numbers = _Numbers()
+        #: ids of all numbered strings, end to end, and where each begins; number 0 is the end of a document
+        self.ids, self.starts = np.array([end_id], np.uint32), np.array([0, 1])
+        self.numbers[None] = 0
+        self.numbers.next = 1
+
+    def _plain(self, text: str) -> bool:
+        try:
+            raw = text.encode("latin-1")
+        except UnicodeEncodeError:
+            return False
+        return len(raw.translate(None, self.ODD)) == len(raw)
+
+    def __call__(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """ids of the texts, each followed by the end id, end to end; and the number of ids of each."""
+        pieces: list = []
+        for text in texts:
+            if self._plain(text):
+                pieces += self.CUT(text)
+            else:
+                pieces.append((text,))
+            pieces.append(None)
+        frozen = len(self.starts) - 1
+        numbers = np.fromiter(map(self.numbers.__getitem__, pieces), np.int64, len(pieces))
+        if new := self.numbers.new:
+            strings = [x for x in new if isinstance(x, str)]
+            found = iter([e.ids for i in range(0, len(strings), 8192) for e in self.pieces.encode_batch_fast(strings[i : i + 8192], add_special_tokens=False)])
+            lists = [next(found) if isinstance(x, str) else self.whole.encode(x[0], add_special_tokens=False).ids for x in new]
+            sizes = np.fromiter(map(len, lists), np.int64, len(lists))
+            self.starts = np.concatenate([self.starts, self.starts[-1] + np.cumsum(sizes)])
+            self.ids = np.concatenate([self.ids, np.fromiter(chain.from_iterable(lists), np.uint32, int(sizes.sum()))])
+        sizes = np.diff(self.starts)[numbers]
+        ends = np.cumsum(sizes)
+        out = self.ids[np.repeat(self.starts[numbers] - ends + sizes, sizes) + np.arange(ends[-1] if len(ends) else 0)]
+        lengths = np.diff(np.concatenate([[0], ends[numbers == 0]]))
+        drop = new if frozen >= self.limit else [x for x in new if not isinstance(x, str)] and new
+        if drop:  # a full memo stays as it is, and whole texts aren't kept
+            for x in new:
+                del self.numbers[x]
+            self.starts = self.starts[: frozen + 1]
+            self.ids = self.ids[: self.starts[-1]]
+            self.numbers.next = frozen
+        self.numbers.new = []
+        return out, lengths
+
+
+@lru_cache(maxsize=1)
+def byte_bpe(path: str, end_id: int) -> ByteBpe:
+    """One encoder a worker process, kept from task to task."""
+    os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
+    return ByteBpe(path, end_id)
 
 
 def vocabulary_size(path: str) -> int:
@@ -69,10 +126,10 @@ def vocabulary_size(path: str) -> int:
     return Tokenizer.from_file(path).get_vocab_size(with_added_tokens=True)
 
 
-def write_token_files(docs: DataFrame, folder: str, encoder: Callable[[], Callable[[str], np.ndarray]], vocabulary: int, end_id: int = 0, id_column: str = "doc_id", text_column: str = "text") -> dict:
+def write_token_files(docs: DataFrame, folder: str, encoder: Callable[[], Callable[[list[str]], tuple[np.ndarray, np.ndarray]]], vocabulary: int, end_id: int = 0, id_column: str = "doc_id", text_column: str = "text") -> dict:
     """Encodes and writes all documents; returns the index, also written as ``index.json``.
 
-    encoder: makes, on the executor, the function from text to ids.
+    encoder: makes, on the executor, the function from texts to their ids, end ids included, and the ids' numbers.
     """
     spark = docs.sparkSession
     width = 2 if max(vocabulary - 1, end_id) < 1 << 16 else 4
@@ -92,20 +149,21 @@ def write_token_files(docs: DataFrame, folder: str, encoder: Callable[[], Callab
             for batch in batches:
                 ids.append(batch.column(0).fill_null(0).to_numpy(zero_copy_only=False))
                 nulls.append(batch.column(0).is_null().to_numpy(zero_copy_only=False))
-                for text in batch.column(1):
-                    found = encode(text.as_py())
-                    sizes.append(len(found) + 1)
-                    out.write(np.append(found, end_id).astype(f"<u{width}").tobytes())
+                texts = batch.column(1)
+                for i in range(0, len(texts), 256):
+                    found, lengths = encode(texts[i : i + 256].to_pylist())
+                    sizes.append(lengths)
+                    out.write(found.astype(f"<u{width}").tobytes())
         if not sizes:
             store.delete_file(f"{own}.ids")
             return
-        ends = np.concatenate([[0], np.cumsum(sizes)]).astype("<u8")
+        ends = np.concatenate([[0], np.cumsum(np.concatenate(sizes))]).astype("<u8")
         for kind, data in (("local", ends), ("docs", np.concatenate(ids).astype("<i8")), ("nulls", np.concatenate(nulls).astype("u1"))):
             with store.open_output_stream(f"{own}.{kind}") as out:
                 out.write(data.tobytes())
         for kind in ("ids", "local", "docs", "nulls"):
             store.move(f"{own}.{kind}", f"{path}/part-{part:05d}.{kind}")
-        yield pa.record_batch({"part": pa.array([part], pa.int32()), "docs": pa.array([len(sizes)], pa.int64()), "ids": pa.array([int(ends[-1])], pa.int64())})
+        yield pa.record_batch({"part": pa.array([part], pa.int32()), "docs": pa.array([len(ends) - 1], pa.int64()), "ids": pa.array([int(ends[-1])], pa.int64())})
 
     parts = sorted(rows.mapInArrow(write, "part int, docs long, ids long").collect())
     start = doc = 0
@@ -184,5 +242,5 @@ def op1_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     path = public_tokenizers.path("byte_bpe_50k.json")
     folder = shared_dir(spark, "token_files")
-    write_token_files(table(spark, sf_dir, "documents"), folder, lambda: ByteBpe(path), vocabulary_size(path))
+    write_token_files(table(spark, sf_dir, "documents"), folder, partial(byte_bpe, path, 0), vocabulary_size(path))
     return read_token_files(spark, folder)

@@ -1,0 +1 @@
+"""Column functions: names, dates, keys, and the patterns behind them."""

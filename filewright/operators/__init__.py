@@ -1,0 +1 @@
+"""Plans, companions, reports and the sink."""

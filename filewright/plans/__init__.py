@@ -1,0 +1 @@
+"""Options and the five commands."""

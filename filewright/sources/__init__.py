@@ -1,0 +1 @@
+"""Where inventories come from."""

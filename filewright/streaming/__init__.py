@@ -1,0 +1 @@
+"""No streaming operators: a scan of files is finite and runs once, and planning ends before the first file moves."""

@@ -8,7 +8,8 @@ question with other numbers, names or units is found, and chance agreement of pl
 
 An item leaks into a document if ``ENOUGH`` of its windows match, or half of them where it has fewer than twice as many.
 
-The benchmark's windows are broadcast up to ``BROADCAST_ROWS`` rows and joined by a shuffle beyond; so are the rows to
+Up to ``CONSTANTS`` windows of a benchmark are looked up inside each text's array of windows, so that only those that
+match become rows; a larger benchmark meets all windows as rows. The benchmark's windows are broadcast up to ``BROADCAST_ROWS`` rows and joined by a shuffle beyond; so are the rows to
 drop. Documents are read once, and a second time only where matched windows hold placeholders.
 
 Defined results: null and empty texts match nothing, nor does an item of fewer than ``WINDOW`` words; repeated rows match
@@ -25,45 +26,78 @@ from filewright.llm.common import staged, table, text_or_empty
 
 WINDOW, ENOUGH = 5, 9
 BROADCAST_ROWS = 1_000_000
+#: Benchmark windows that are also looked up before texts are taken apart.
+CONSTANTS = 20_000
 #: Units that may follow a number.
 UNITS = "kilometers|kilometres|kilograms|centimeters|millimeters|meters|metres|grams|liters|litres|hours|minutes|seconds|days|weeks|months|years|dollars|euros|pounds|cents|percent|degrees|miles|inches|feet|km|kg|cm|mm|mg|ml|mph|usd|eur|gb|mb|hz|m|g|l|h|s|%|€|£"
 NAME, UNIT, POINT, NUMBER = "\x01", "\x02", "\x03", "\x04"
 
 
-def _marked(text: Column) -> Column:
-    """The text in lower case with a mark before names and units, and with decimal marks made part of the number."""
-    names = r"([\p{L}\p{N},;:] )(\p{Lu}\p{Ll})"
-    text = F.regexp_replace(F.regexp_replace(text, names, f"$1{NAME}$2"), names, f"$1{NAME}$2")  # twice: matches in a row share a character
-    digits = text
-    for _ in range(2):
-        digits = F.regexp_replace(digits, r"(\d)[.,](\d)", f"$1{POINT}$2")
-    digits = F.regexp_replace(digits, rf"(?i)(\d) ?({UNITS})([^\p{{L}}\p{{N}}]|$)", f"$1 {UNIT}$2$3")
-    return F.lower(F.when(text.rlike(r"\d"), digits).otherwise(text))
+def _marked(df: DataFrame, row: str, text: Column) -> DataFrame:
+    """row, marked: the text in lower case with a mark before names and units, and with decimal marks made part of the number.
+
+    Each step is a projection of its own, which Spark keeps apart from the next, so that nothing is worked out twice.
+    """
+    named = df.select(row, F.regexp_replace(text, r" (?<=[\p{L}\p{N},;:] )(?=\p{Lu}\p{Ll})", f" {NAME}").alias("named"))
+    digits = F.regexp_replace(F.col("named"), r"(?<=\d)[.,](?=\d)", POINT)
+    digits = F.regexp_replace(digits, rf"(?i)(\d) ?({UNITS})(?![\p{{L}}\p{{N}}])", f"$1 {UNIT}$2")
+    return named.select(row, F.when(F.col("named").rlike(r"\d"), digits).otherwise(F.col("named")).alias("m")).select(row, F.lower("m").alias("marked"))
 
 
 def _words(marked: Column) -> Column:
     return F.array_remove(F.split(marked, rf"[^\p{{L}}\p{{M}}\p{{N}}%€£{NAME}{UNIT}{POINT}{NUMBER}]+"), "")
 
 
-def _template(marked: Column) -> Column:
-    """Placeholders in place of the marked names and units, and of numbers; words stay in their places."""
-    plain = F.regexp_replace(marked, rf"{NAME}[\p{{L}}\p{{M}}\p{{N}}]+", NAME)
-    digits = F.regexp_replace(F.regexp_replace(plain, rf"{UNIT}[\p{{L}}%€£]+", UNIT), rf"\p{{N}}[\p{{N}}{POINT}]*", NUMBER)
-    return F.when(marked.rlike(r"\p{N}"), digits).when(F.contains(marked, F.lit(NAME)), plain).otherwise(marked)
+def _templates(df: DataFrame, row: str, text: Column) -> DataFrame:
+    """row, marked, template: placeholders in place of the marked names and units, and of numbers; words stay in their places."""
+    marked = _marked(df, row, text)
+    named = F.regexp_replace("marked", rf"{NAME}[\p{{L}}\p{{M}}\p{{N}}]+", NAME)
+    plain = marked.select(row, "marked", F.when(F.contains("marked", F.lit(NAME)), named).otherwise(F.col("marked")).alias("p"))
+    digits = F.regexp_replace(F.regexp_replace("p", rf"{UNIT}[\p{{L}}%€£]+", UNIT), rf"\p{{N}}[\p{{N}}{POINT}]*", NUMBER)
+    return plain.select(row, "marked", F.when(F.col("p").rlike(r"\p{N}"), digits).otherwise(F.col("p")).alias("template"))
+
 
+def _window_hashes(df: DataFrame, row: str, text: Column) -> DataFrame:
+    """row, w: the hashes of the template's windows; empty for texts of fewer words.
 
-def _windows(df: DataFrame, row: str, text: Column) -> DataFrame:
-    """row, at, window (hash) of every window of template words."""
-    words = df.select(row, _words(_template(_marked(text))).alias("words")).where(F.size("words") >= WINDOW)
+    No filter stands above these projections: it would be pushed below them and work everything out again.
+    """
+    words = _templates(df, row, text).select(row, _words(F.col("template")).alias("words"))
     hashes = words.select(row, F.transform("words", lambda w: F.xxhash64(w)).alias("h"))
-    joined = F.transform(F.sequence(F.lit(0), F.size("h") - WINDOW), lambda i: F.xxhash64(*[F.get("h", i + k) for k in range(WINDOW)]))
-    return hashes.select(row, F.posexplode(joined).alias("at", "window"))
+    places = F.when(F.size("h") >= WINDOW, F.sequence(F.lit(0), F.size("h") - WINDOW)).otherwise(F.expr("array_repeat(0, 0)"))
+    return hashes.select(row, F.transform(places, lambda i: F.xxhash64(*[F.get("h", i + k) for k in range(WINDOW)])).alias("w"))
+
+
+def _bitmap(hashes: list[int]) -> tuple[Column, int]:
+    """A constant array of 64-bit words with a bit set for each hash, and the number of words; folded once by the optimizer."""
+    size = 1 << max(10, len(hashes).bit_length())
+    words = [0] * size
+    for h in hashes:
+        words[(h >> 6) & (size - 1)] |= 1 << (h & 63)
+    signed = ",".join(str(w - (1 << 64) if w >> 63 else w) for w in words)
+    return F.split(F.lit(signed), ",").cast("array<bigint>"), size
+
+
+def _windows(df: DataFrame, row: str, text: Column, known: list[int] | None = None) -> DataFrame:
+    """row, at, window (hash) of every window of template words, or of those that may be in ``known``."""
+    hashed = _window_hashes(df, row, text)
+    if known is None:
+        return hashed.select(row, F.posexplode_outer("w").alias("at", "window")).where("at is not null")
+    bits, size = _bitmap(known)
+
+    def may_be_known(i: Column) -> Column:
+        h = F.get("w", i)
+        word = F.get(bits, F.shiftright(h, 6).bitwiseAND(F.lit(size - 1)).cast("int"))
+        return F.getbit(word, h.bitwiseAND(F.lit(63)).cast("int")) == 1
+
+    places = F.filter(F.when(F.size("w") > 0, F.sequence(F.lit(0), F.size("w") - 1)), may_be_known)
+    spots = hashed.select(row, "w", places.alias("places")).select(row, "w", F.explode_outer("places").alias("at")).where("at is not null")
+    return spots.select(row, "at", F.get("w", F.col("at")).alias("window"))
 
 
 def _slots(df: DataFrame, row: str, text: Column) -> DataFrame:
     """row, place, value of the words that a template replaces."""
-    marked = df.select(row, _marked(text).alias("m"))
-    both = marked.select(row, F.posexplode(F.arrays_zip(_words(F.col("m")).alias("value"), _words(_template(F.col("m"))).alias("word"))).alias("place", "p"))
+    both = _templates(df, row, text).select(row, F.posexplode_outer(F.arrays_zip(_words(F.col("marked")).alias("value"), _words(F.col("template")).alias("word"))).alias("place", "p"))
     return both.where("p.value <> p.word").select(row, "place", F.col("p.value").alias("value"))
 
 
@@ -77,7 +111,10 @@ def leaks(docs: DataFrame, benchmark: DataFrame, text_column: str = "text", item
     rows = docs.select(F.monotonically_increasing_id().alias("row"), text_or_empty(text_column).alias("text"))
     items = staged(benchmark.select(F.monotonically_increasing_id().alias("item"), F.col(item_id_column).alias("item_id"), text_or_empty(item_text_column).alias("item_text")), "items")
     known = staged(_windows(items, "item", F.col("item_text")).withColumnRenamed("at", "item_at"), "item_windows")
-    found = staged(_windows(rows, "row", F.col("text")).join(_sized(known), "window").select("row", "at", "item", "item_at"), "matches")
+    # a small benchmark is also a constant bitmap, so that only windows that may match leave their text
+    few = known.select("window").distinct().limit(CONSTANTS + 1).collect()
+    own = _windows(rows, "row", F.col("text"), [x.window for x in few] if len(few) <= CONSTANTS else None)
+    found = staged(own.join(_sized(known), "window").select("row", "at", "item", "item_at"), "matches")
     # slots of both sides, for windows that hold a placeholder
     own = staged(_slots(items, "item", F.col("item_text")).withColumnRenamed("value", "item_value"), "item_slots")
     spots = found.withColumn("k", F.explode(F.array(*[F.lit(k) for k in range(WINDOW)]))).select("row", "item", (F.col("at") - F.col("item_at")).alias("shift"), "item_at", (F.col("item_at") + F.col("k")).alias("place"))

@@ -5,6 +5,7 @@ from __future__ import annotations
 import struct
 
 import pandas as pd
+from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 SCHEMA = "date_time_original string, sub_sec_time_original string"
@@ -56,7 +57,10 @@ def _text(tiff: bytes, order: str, entry: tuple[int, int, bytes] | None) -> str
     return raw.split(b"\0")[0].decode("ascii", "replace")
 
 
-@F.pandas_udf(SCHEMA)
-def exif(content: pd.Series) -> pd.DataFrame:
-    """Image bytes to a struct of the two fields."""
+def _fields(content: pd.Series) -> pd.DataFrame:
     return pd.DataFrame([capture_fields(x) for x in content], columns=["date_time_original", "sub_sec_time_original"])
+
+
+def exif(content: Column | str) -> Column:
+    """Image bytes to a struct of the two fields."""
+    return F.pandas_udf(_fields, SCHEMA)(content)

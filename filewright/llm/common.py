@@ -48,6 +48,19 @@ def filesystem(uri: str):
     return fs.FileSystem.from_uri(uri)
 
 
+def unused(df: DataFrame, name: str) -> str:
+    """A column name like ``name`` that the frame doesn't have."""
+    while name.lower() in {c.lower() for c in df.columns}:
+        name = f"_{name}"
+    return name
+
+
+def numbered(df: DataFrame) -> tuple[DataFrame, str]:
+    """The frame with its rows' numbers in the scan, and their column's name."""
+    row = unused(df, "row")
+    return df.withColumn(row, F.monotonically_increasing_id()), row
+
+
 def text_or_empty(column: str = "text") -> Column:
     return F.coalesce(F.col(column), F.lit(""))
 

@@ -22,7 +22,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from filewright.llm.common import staged, table, text_or_empty
+from filewright.llm.common import numbered, staged, table, text_or_empty
 
 WINDOW, ENOUGH = 5, 9
 BROADCAST_ROWS = 1_000_000
@@ -140,8 +140,9 @@ def leaks(docs: DataFrame, benchmark: DataFrame, text_column: str = "text", item
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """The rows of ``docs`` into which no item leaks, with all their columns."""
-    gone = staged(leaks(docs, benchmark).select(F.col("row").alias("__row")).distinct(), "leaking")
-    return docs.withColumn("__row", F.monotonically_increasing_id()).join(_sized(gone), "__row", "left_anti").drop("__row")
+    rows, row = numbered(docs)
+    gone = staged(leaks(docs, benchmark).select(F.col("row").alias(row)).distinct(), "leaking")
+    return rows.join(_sized(gone), row, "left_anti").drop(row)
 
 
 def op4_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:

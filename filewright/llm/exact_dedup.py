@@ -20,11 +20,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from filewright.llm.common import partitions, staged, table, text_or_empty
+from filewright.llm.common import join_hot, numbered, partitions, staged, table, text_or_empty
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
-#: Of a thousand shares, one: so many digests at most are "hot".
-HOT_SHARE = 1000
 #: Keys that one index holds before it is emptied (map side) or split over more partitions (reduce side).
 KEYS = 250_000
 
@@ -179,18 +177,15 @@ def exact_groups(docs: DataFrame, id_column: str = "doc_id", text_column: str =
     """For every row: row, doc_id, digest, keep_id, group_size, kept."""
     rows = staged(digests(docs, id_column, text_column), "digests")
     index = staged(build_index(rows), "digest_index")
-    total = rows.count()
-    hot = index.where(F.col("group_size") * HOT_SHARE > total).drop("n_bytes")
-    cold = index.where(F.col("group_size") * HOT_SHARE <= total).drop("n_bytes")
-    in_hot = rows.join(F.broadcast(hot), "digest")
-    in_cold = rows.join(F.broadcast(hot.select("digest")), "digest", "left_anti").join(cold, "digest")
-    return in_hot.unionByName(in_cold).select("row", "doc_id", "digest", "keep_id", "group_size", (F.col("row") == F.col("keep_row")).alias("kept"))
+    found = join_hot(rows.drop("n_bytes"), index, "digest", "group_size", rows.count())
+    return found.select("row", "doc_id", "digest", "keep_id", "group_size", (F.col("row") == F.col("keep_row")).alias("kept"))
 
 
 def exact_dedup(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
     """The rows of ``docs`` that stay, with all their columns."""
-    kept = exact_groups(docs, id_column, text_column).where("kept").select(F.col("row").alias("__row"))
-    return docs.withColumn("__row", F.monotonically_increasing_id()).join(kept, "__row", "left_semi").drop("__row")
+    rows, row = numbered(docs)
+    kept = exact_groups(docs, id_column, text_column).where("kept").select(F.col("row").alias(row))
+    return rows.join(kept, row, "left_semi").drop(row)
 
 
 def op8_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from filewright.llm.common import filesystem, shared_dir, table, text_or_empty
+from filewright.llm.common import filesystem, shared_dir, table, text_or_empty, unused
 from filewright.llm.token_files import open_array
 
 ORDER, BITS, DISCOUNT, STRENGTH, SHARE = 6, 22, 0.75, 20.0, 0.005
@@ -232,7 +232,7 @@ def train(docs: DataFrame, labels: DataFrame, id_column: str = "doc_id", text_co
             trial = Model(grams, shared, first)
             save("trial_gram", trial.gram), save("trial_history", trial.history)
             sample = rows.where("curve = 1").withColumn("order", F.xxhash64("id")).orderBy("order").limit(CURVE_ROWS).select("toxic", "text")
-            sample = sample.mapInArrow(_evidence(folder, "trial_", [("toxic", "int")]), "toxic int, total double, size double").toArrow()
+            sample = sample.mapInArrow(_evidence(folder, "trial_"), "toxic int, total double, size double").toArrow()
             if sample.num_rows:
                 weights = curve(features(sample["total"].to_numpy(), sample["size"].to_numpy()), sample["toxic"].to_numpy())
         model = Model(grams, shared, first + held)
@@ -244,7 +244,7 @@ def train(docs: DataFrame, labels: DataFrame, id_column: str = "doc_id", text_co
     return folder
 
 
-def _evidence(folder: str, prefix: str, keep: list[tuple[str, str]]):
+def _evidence(folder: str, prefix: str):
     """Adds total and size to rows whose last column is the text; the text itself is dropped."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -256,10 +256,10 @@ def _evidence(folder: str, prefix: str, keep: list[tuple[str, str]]):
     return run
 
 
-def score(docs: DataFrame, folder: str, keep: list[str], text_column: str = "text") -> DataFrame:
+def score(docs: DataFrame, folder: str, keep: list[str], text_column: str = "text", score_column: str = "score") -> DataFrame:
     """The columns in ``keep`` and the score of every row."""
-    kept = docs.select(*keep, text_or_empty(text_column).alias("__text"))
-    schema = kept.select(*keep).schema.add("__score", "double")
+    kept = docs.select(*keep, text_or_empty(text_column).alias(unused(docs, "scored_text")))
+    schema = docs.select(*keep).schema.add(score_column, "double")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scorer = Scorer(open_array(folder, "gram", "<f4"), open_array(folder, "history", "<f4"))
@@ -267,19 +267,19 @@ def score(docs: DataFrame, folder: str, keep: list[str], text_column: str = "tex
         for batch in batches:
             x = features(*scorer(batch.column(batch.num_columns - 1).to_pylist())) @ weights
             value = 1 / (1 + np.exp(-np.clip(x, -700, 700)))
-            yield pa.record_batch([*batch.columns[:-1], pa.array(value)], names=[*batch.schema.names[:-1], "__score"])
+            yield pa.record_batch([*batch.columns[:-1], pa.array(value)], names=[*batch.schema.names[:-1], score_column])
 
     return kept.mapInArrow(run, schema)
 
 
 def without_toxic(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """The rows of ``docs`` that score below the threshold, with all their columns."""
-    scored = score(docs, train(docs, labels), docs.columns)
-    return scored.where(F.col("__score") < threshold).drop("__score")
+    name = unused(docs, "score")
+    return score(docs, train(docs, labels), docs.columns, score_column=name).where(F.col(name) < threshold).drop(name)
 
 
 def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     scored = score(docs, train(docs, table(spark, sf_dir, "labels")), ["doc_id"])
     held = F.coalesce(F.crc32(F.col("doc_id").cast("string")) % 4 == HELD_OUT, F.lit(False))
-    return scored.select("doc_id", held.alias("held_out"), F.col("__score").alias("score"), (F.col("__score") >= THRESHOLD).cast("int").alias("predicted"))
+    return scored.select("doc_id", held.alias("held_out"), "score", (F.col("score") >= THRESHOLD).cast("int").alias("predicted"))

@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 from filewright.llm.common import table, text_or_empty
 
 META = "▁"
-LONG, MEMO, BATCH_CHARS = 128, 400_000, 2_000_000
+LONG, MEMO, BATCH_CHARS = 128, 250_000, 1_500_000
 NONE, START = -1, -2
 
 

@@ -37,7 +37,7 @@ CELLS = 1 << BITS
 CURVE_ROWS, CURVE_FOLD, HELD_OUT = 20_000, 3, 2
 #: Labels are broadcast up to so many rows, and joined by a shuffle beyond.
 BROADCAST_LABELS = 2_000_000
-MEMO = 300_000
+MEMO, COUNTED, SLICE = 200_000, 150_000, 20_000
 THRESHOLD = 0.3
 WORD = re.compile(r"\w+").findall
 _BASE, _MIX = np.uint64(0x9E3779B97F4A7C15 | 1), np.uint64(0xD6E8FEB86659FD93)
@@ -85,6 +85,13 @@ class Grams:
 COUNTS = "kind int, cell int, history int, suffix int, length int, n0 long, n1 long, n0_curve long, n1_curve long"
 
 
+def _summed(cell, history, suffix, length, counts) -> np.ndarray:
+    """One column for each cell: cell, history, suffix, length, and the sums of its counts."""
+    found, first, back = np.unique(cell, return_index=True, return_inverse=True)
+    sums = [np.bincount(back, n, len(found)).astype(np.int64) for n in counts]
+    return np.stack([found, history[first], suffix[first], length[first], *sums])
+
+
 def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Labelled rows (text, toxic, curve) to sparse counts: kind 0 class n-grams, kind 1 shared strings."""
     words: list[dict[str, int]] = [{}, {}, {}, {}]  # by toxic + 2 * curve
@@ -93,25 +100,29 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         every = sorted(set().union(*words))
         if not every:
             return
-        weights = np.array([[of.get(w, 0) for w in every] for of in words], np.int64)
-        grams = Grams(every, lower=True)
-        parts = [(0, grams.gram, grams.history, grams.suffix, grams.length, weights[:, grams.word])]
-        parts += [(1, here, past, tail, np.full(len(here), m), None) for m, (here, past, tail) in enumerate(grams.shared, 1)]
-        for kind, cell, history, suffix, length, weight in parts:
-            found, first, back = np.unique(cell, return_index=True, return_inverse=True)
-            sums = [np.bincount(back, w, len(found)).astype(np.int64) if weight is not None else np.zeros(len(found), np.int64) for w in (weight if weight is not None else words)]
-            columns = [np.full(len(found), kind), found, history[first], suffix[first], length[first]]
-            yield pa.record_batch([pa.array(x, pa.int32()) for x in columns] + [pa.array(x, pa.int64()) for x in sums], names=[c.split()[0] for c in COUNTS.split(", ")])
+        parts: tuple[list, list] = ([], [])
+        for i in range(0, len(every), SLICE):  # n-grams of some words at a time, as they take far more room than the words
+            some = every[i : i + SLICE]
+            grams = Grams(some, lower=True)
+            weights = np.array([[of.get(w, 0) for w in some] for of in words], np.int64)
+            parts[0].append(_summed(grams.gram, grams.history, grams.suffix, grams.length, weights[:, grams.word]))
+            for m, (here, past, tail) in enumerate(grams.shared, 1):
+                parts[1].append(_summed(here, past, tail, np.full(len(here), m), np.zeros((4, len(here)), np.int64)))
+        for kind, found in enumerate(parts):
+            columns = _summed(*np.concatenate([x[:4] for x in found], axis=1), np.concatenate([x[4:] for x in found], axis=1))
+            arrays = [pa.array(np.full(columns.shape[1], kind), pa.int32()), *(pa.array(x, pa.int32()) for x in columns[:4]), *(pa.array(x, pa.int64()) for x in columns[4:])]
+            yield pa.record_batch(arrays, names=[c.split()[0] for c in COUNTS.split(", ")])
         for of in words:
             of.clear()
 
     for batch in batches:
-        for text, toxic, curve in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-            of = words[toxic + 2 * curve]
-            for w in set(WORD(text.lower())):
-                of[w] = of.get(w, 0) + 1
-        if sum(map(len, words)) > MEMO:
-            yield from counts()
+        for i in range(0, batch.num_rows, 512):
+            for text, toxic, curve in zip(*(c.to_pylist() for c in batch.slice(i, 512).columns), strict=True):
+                of = words[toxic + 2 * curve]
+                for w in set(WORD(text.lower())):
+                    of[w] = of.get(w, 0) + 1
+            if sum(map(len, words)) > COUNTED:
+                yield from counts()
     yield from counts()
 
 
@@ -214,10 +225,12 @@ def train(docs: DataFrame, labels: DataFrame, id_column: str = "doc_id", text_co
     counts = rows.select("text", "toxic", "curve").mapInArrow(_count, COUNTS).groupBy("kind", "cell")
     counts = counts.agg(*[F.min(c).alias(c) for c in ("history", "suffix", "length")], *[F.sum(c).alias(c) for c in ("n0", "n1", "n0_curve", "n1_curve")]).toArrow()
     columns = {c: counts.column(c).to_numpy() for c in counts.column_names}
+    del counts
     top = columns["kind"] == 0
     grams, shared = ([columns[c][of].astype(np.int64) for c in ("cell", "history", "suffix", "length")] for of in (top, ~top))
     first = np.stack([columns["n0"][top], columns["n1"][top]])
     held = np.stack([columns["n0_curve"][top], columns["n1_curve"][top]])
+    columns.clear()
     weights = np.zeros(4)
     folder = shared_dir(spark, "toxicity_model")
     store, path = filesystem(folder)
@@ -264,7 +277,7 @@ def score(docs: DataFrame, folder: str, keep: list[str], text_column: str = "tex
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scorer = Scorer(open_array(folder, "gram", "<f4"), open_array(folder, "history", "<f4"))
         weights = np.asarray(open_array(folder, "curve", "<f8"))
-        for batch in batches:
+        for batch in (b.slice(i, 512) for b in batches for i in range(0, b.num_rows, 512)):
             x = features(*scorer(batch.column(batch.num_columns - 1).to_pylist())) @ weights
             value = 1 / (1 + np.exp(-np.clip(x, -700, 700)))
             yield pa.record_batch([*batch.columns[:-1], pa.array(value)], names=[*batch.schema.names[:-1], score_column])

@@ -6,7 +6,8 @@ the documents meet those of the benchmark in a hash join. A window that holds pl
 alignment of a document with an item, each value of the item's slots must stand for one value in the document. So a
 question with other numbers, names or units is found, and chance agreement of placeholders isn't.
 
-An item leaks into a document if ``ENOUGH`` of its windows match, or half of them where it has fewer than twice as many.
+Windows of an item with more than ``SLOTS`` placeholders say little and are left out. An item leaks into a document if ``ENOUGH`` of its
+windows match, or half of them where it has fewer than twice as many.
 
 Up to ``CONSTANTS`` windows of a benchmark are looked up inside each text's array of windows, so that only those that
 match become rows; a larger benchmark meets all windows as rows. The benchmark's windows are broadcast up to ``BROADCAST_ROWS`` rows and joined by a shuffle beyond; so are the rows to
@@ -25,6 +26,8 @@ from pyspark.sql import functions as F
 from filewright.llm.common import numbered, staged, table, text_or_empty
 
 WINDOW, ENOUGH = 5, 9
+#: Placeholders that a window may hold.
+SLOTS = 2
 BROADCAST_ROWS = 1_000_000
 #: Benchmark windows that are also looked up before texts are taken apart.
 CONSTANTS = 20_000
@@ -53,7 +56,7 @@ def _templates(df: DataFrame, row: str, text: Column) -> DataFrame:
     marked = _marked(df, row, text)
     named = F.regexp_replace("marked", rf"{NAME}[\p{{L}}\p{{M}}\p{{N}}]+", NAME)
     plain = marked.select(row, "marked", F.when(F.contains("marked", F.lit(NAME)), named).otherwise(F.col("marked")).alias("p"))
-    digits = F.regexp_replace(F.regexp_replace("p", rf"{UNIT}[\p{{L}}%€£]+", UNIT), rf"\p{{N}}[\p{{N}}{POINT}]*", NUMBER)
+    digits = F.regexp_replace(F.regexp_replace("p", rf"{UNIT}[\p{{L}}%€£]+", UNIT), rf"(?<![\p{{L}}\p{{M}}\p{{N}}{POINT}])\p{{N}}[\p{{N}}{POINT}]*(?![\p{{L}}\p{{M}}])", NUMBER)
     return plain.select(row, "marked", F.when(F.col("p").rlike(r"\p{N}"), digits).otherwise(F.col("p")).alias("template"))
 
 
@@ -110,13 +113,16 @@ def leaks(docs: DataFrame, benchmark: DataFrame, text_column: str = "text", item
     """row (number in the scan), item_id, matched, windows: the items that leak into each document."""
     rows = docs.select(F.monotonically_increasing_id().alias("row"), text_or_empty(text_column).alias("text"))
     items = staged(benchmark.select(F.monotonically_increasing_id().alias("item"), F.col(item_id_column).alias("item_id"), text_or_empty(item_text_column).alias("item_text")), "items")
-    known = staged(_windows(items, "item", F.col("item_text")).withColumnRenamed("at", "item_at"), "item_windows")
+    own = staged(_slots(items, "item", F.col("item_text")).withColumnRenamed("value", "item_value"), "item_slots")
+    before = F.explode(F.array(*[F.col("place") - k for k in range(WINDOW)]))
+    vague = own.select("item", before.alias("item_at")).groupBy("item", "item_at").agg(F.count("*").alias("n")).where(F.col("n") > SLOTS)
+    known = _windows(items, "item", F.col("item_text")).withColumnRenamed("at", "item_at")
+    known = staged(known.join(vague, ["item", "item_at"], "left_anti"), "item_windows")
     # a small benchmark is also a constant bitmap, so that only windows that may match leave their text
     few = known.select("window").distinct().limit(CONSTANTS + 1).collect()
-    own = _windows(rows, "row", F.col("text"), [x.window for x in few] if len(few) <= CONSTANTS else None)
-    found = staged(own.join(_sized(known), "window").select("row", "at", "item", "item_at"), "matches")
+    asked = _windows(rows, "row", F.col("text"), [x.window for x in few] if len(few) <= CONSTANTS else None)
+    found = staged(asked.join(_sized(known), "window").select("row", "at", "item", "item_at"), "matches")
     # slots of both sides, for windows that hold a placeholder
-    own = staged(_slots(items, "item", F.col("item_text")).withColumnRenamed("value", "item_value"), "item_slots")
     spots = found.withColumn("k", F.explode(F.array(*[F.lit(k) for k in range(WINDOW)]))).select("row", "item", (F.col("at") - F.col("item_at")).alias("shift"), "item_at", (F.col("item_at") + F.col("k")).alias("place"))
     spots = staged(spots.join(_sized(own), ["item", "place"]), "slot_pairs")
     inconsistent = None

@@ -1,0 +1,58 @@
+import json
+import zlib
+from functools import partial
+
+import numpy as np
+import public_tokenizers
+import pytest
+from data import awkward, frame
+from tokenizers import Tokenizer
+
+from filewright.llm.common import filesystem, shared_dir
+from filewright.llm.token_files import ByteBpe, byte_bpe, open_array, read_token_files, vocabulary_size, write_token_files
+
+PATH = public_tokenizers.path("byte_bpe_50k.json")
+
+
+@pytest.fixture(scope="module")
+def library():
+    t = Tokenizer.from_file(PATH)
+    t.encode_special_tokens = True
+    return lambda text: t.encode(text or "", add_special_tokens=False).ids
+
+
+@pytest.mark.parametrize("memo", [0, 5, 100_000])
+def test_encoder_equals_the_library(library, memo):
+    texts = [t or "" for _, t in awkward()] + ["it's 'tis we've DON'T", " lead  and\n\n trail ", "<|endoftext|>", "foo_bar __ 1a2", "x\x85y\xa0z"]
+    encode = ByteBpe(PATH, 0, memo)
+    for _ in range(2):
+        ids, lengths = encode(texts)
+        expected = [library(t) + [0] for t in texts]
+        assert ids.tolist() == [i for e in expected for i in e] and lengths.tolist() == list(map(len, expected))
+
+
+def test_files(spark, library):
+    texts = awkward()
+    folder = shared_dir(spark, "test")
+    index = write_token_files(frame(spark, texts), folder, partial(byte_bpe, PATH, 0), vocabulary_size(PATH))
+    got = read_token_files(spark, folder).orderBy("start").collect()
+    assert [r.doc_id for r in got] == sorted((i for i, _ in texts), key=lambda i: (i is not None, i))
+    start = 0
+    for r in got:
+        assert r.start == start
+        start += r.n_tokens
+    expected = sorted((i is not None, i or 0, zlib.crc32(np.array(library(t) + [0], "<u4").tobytes())) for i, t in texts)
+    assert sorted((r.doc_id is not None, r.doc_id or 0, r.ids_crc32) for r in got) == expected
+    # the files by themselves: parts in order are one array of ids with one array of offsets
+    store, path = filesystem(folder)
+    with store.open_input_file(f"{path}/index.json") as f:
+        assert json.loads(f.read()) == index and index["id_bytes"] == 2
+    ids = np.concatenate([open_array(folder, f"part-{p['part']:05d}.ids", "<u2") for p in index["parts"]])
+    ends = [open_array(folder, f"part-{p['part']:05d}.offsets", "<u8")[-1] for p in index["parts"]]
+    assert len(ids) == start == ends[-1] and (ids == 0).sum() >= len(texts)
+
+
+def test_empty(spark):
+    folder = shared_dir(spark, "test")
+    assert write_token_files(frame(spark, []), folder, partial(byte_bpe, PATH, 0), 50257)["parts"] == []
+    assert read_token_files(spark, folder).count() == 0

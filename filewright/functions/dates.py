@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import Column
@@ -47,8 +48,18 @@ def _pick(names: list[str], index: Column, length: int | None = None) -> Column:
     return F.element_at(F.array(*[F.lit(n[:length]) for n in names]), index)
 
 
+def bound(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use(value)`` with the value worked out once, however often it is used."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
 def formatted(format_: str, at: Moment) -> Column:
     """A date format with one character for each part; ``\\x`` is a literal x, other characters stand for themselves. Null without a date."""
+    parts = F.struct(at.date.alias("date"), at.second.alias("second"), at.micro.alias("micro"))
+    return bound(parts, lambda p: _formatted(format_, Moment(p["date"], p["second"], p["micro"])))
+
+
+def _formatted(format_: str, at: Moment) -> Column:
     number = lambda width, x: F.format_string(f"%0{width}d" if width > 1 else "%d", x.cast("int"))
     year, month, day, hour = F.year(at.date), F.month(at.date), F.day(at.date), F.floor(at.second / 3600)
     twelve = F.pmod(hour + 11, F.lit(12)) + 1
@@ -113,4 +124,4 @@ def capture_time(original: Column, sub_second: Column) -> Column:
 
 def capture_renamed(original: Column, sub_second: Column, ext: Column, format_: str = DEFAULT_CAPTURE_FORMAT) -> Column:
     """The capture time as a name with the file's own extension; null without a usable time."""
-    return F.concat(formatted(format_, moment_of(capture_time(original, sub_second))), F.lit("."), ext)
+    return F.concat(bound(capture_time(original, sub_second), lambda ts: formatted(format_, moment_of(ts))), F.lit("."), ext)

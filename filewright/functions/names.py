@@ -25,8 +25,7 @@ def extension(name: Column) -> Column:
 
 def stem(name: Column) -> Column:
     """The name without its extension, unless that is all of it (``.hidden``)."""
-    suffix = F.concat(F.lit("."), extension(name))
-    return F.when((name == suffix) | ~F.endswith(name, suffix), name).otherwise(F.left(name, F.length(name) - F.length(suffix)))
+    return F.regexp_replace(name, r"(?s)(?<=.)\.[^.]*\z", "")
 
 
 def decomposed(df: DataFrame, path: str = "path") -> DataFrame:

@@ -17,11 +17,15 @@ def ordered() -> Window:
     return Window.partitionBy("group_key").orderBy("phase", "path")
 
 
-def with_targets(inventory: DataFrame, new_name: Column, key: Column, source_root: str, target_root: str) -> DataFrame:
-    """Adds new_name, target_path, t_stem, t_ext, group_key and phase 0; rows without a name or key go."""
+def with_targets(inventory: DataFrame, new_name: Column, key: Column, source_root: str, target_root: str, nullable_key: bool = True) -> DataFrame:
+    """Adds new_name, target_path, t_stem, t_ext, group_key and phase 0; rows without a name or key go.
+
+    A key made from the target (``nullable_key`` false) is never null, and not asking saves working the name out again below it.
+    """
     df = N.decomposed(inventory).withColumn("new_name", new_name).where(F.col("new_name").isNotNull())
     df = df.withColumns({"target_path": N.target_path(F.col("dir"), F.col("new_name"), source_root, target_root), "t_stem": N.stem(F.col("new_name")), "t_ext": N.extension(F.col("new_name"))})
-    return df.withColumn("group_key", key).where(F.col("group_key").isNotNull()).withColumn("phase", F.lit(0))
+    df = df.withColumn("group_key", key)
+    return (df.where(F.col("group_key").isNotNull()) if nullable_key else df).withColumn("phase", F.lit(0))
 
 
 def group_targets(rows: DataFrame, source_root: str, target_root: str, own_extension: bool = False) -> DataFrame:

@@ -31,13 +31,14 @@ class RenameQuery:
     options: RenameOptions
     filename_regex: str | None = None
     own_extension: bool = False
+    nullable_key: bool = True
     expand: Callable[[DataFrame, DataFrame], DataFrame] | None = field(default=None)
 
     def rows(self, inventory: DataFrame) -> DataFrame:
         scanned = inventory
         if self.filename_regex is not None:
             scanned = filename_matches(names.decomposed(inventory), self.filename_regex).select(*inventory.columns)
-        rows = with_targets(scanned, self.new_name, self.key, self.options.source_dir, self.options.target_root)
+        rows = with_targets(scanned, self.new_name, self.key, self.options.source_dir, self.options.target_root, self.nullable_key)
         return self.expand(scanned, rows) if self.expand else rows
 
     def plan(self, inventory: DataFrame, existing: DataFrame | None = None) -> DataFrame:
@@ -53,19 +54,19 @@ def _parts() -> tuple[Column, Column]:
 
 
 def lower(options: RenameOptions) -> RenameQuery:
-    return RenameQuery(names.lower_case(*_parts()), keys.target_path_key(), options)
+    return RenameQuery(names.lower_case(*_parts()), keys.target_path_key(), options, nullable_key=False)
 
 
 def pattern(options: RenameOptions, pattern: str = DEFAULT_PATTERN, replacement: str | None = DEFAULT_REPLACEMENT) -> RenameQuery:
     if replacement is None:
         raise ValueError("a replacement is needed")
-    return RenameQuery(names.replaced(*_parts(), pattern, replacement), keys.target_path_key(), options, java_regex(pattern))
+    return RenameQuery(names.replaced(*_parts(), pattern, replacement), keys.target_path_key(), options, java_regex(pattern), nullable_key=False)
 
 
 def date(options: RenameOptions, pattern: str = DEFAULT_DATE_PATTERN, replacement: str | None = DEFAULT_DATE_REPLACEMENT) -> RenameQuery:
     if replacement is None:
         raise ValueError("a replacement is needed")
-    return RenameQuery(dates.date_renamed(*_parts(), pattern, replacement), keys.target_path_key(), options, date_pattern(pattern).java)
+    return RenameQuery(dates.date_renamed(*_parts(), pattern, replacement), keys.target_path_key(), options, date_pattern(pattern).java, nullable_key=False)
 
 
 def content_hash(options: RenameOptions) -> RenameQuery:
@@ -75,7 +76,7 @@ def content_hash(options: RenameOptions) -> RenameQuery:
 def exif_date(options: RenameOptions, target_filename_pattern: str = dates.DEFAULT_CAPTURE_FORMAT) -> RenameQuery:
     """The inventory has an exif struct; see sources.exif."""
     name = dates.capture_renamed(F.col("exif.date_time_original"), F.col("exif.sub_sec_time_original"), F.col("ext"), target_filename_pattern)
-    return RenameQuery(name, keys.target_filename_key(), options, own_extension=True, expand=with_companions)
+    return RenameQuery(name, keys.target_filename_key(), options, own_extension=True, nullable_key=False, expand=with_companions)
 
 
 #: By the commands' names.

@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from filewright.llm.common import filesystem, shared_dir, table, text_or_empty, unused
+from filewright.llm.common import drop_staged, filesystem, shared_dir, staged, table, text_or_empty, unused
 from filewright.llm.token_files import open_array
 
 ORDER, BITS, DISCOUNT, STRENGTH, SHARE = 6, 22, 0.75, 20.0, 0.005
@@ -37,7 +37,7 @@ CELLS = 1 << BITS
 CURVE_ROWS, CURVE_FOLD, HELD_OUT = 20_000, 3, 2
 #: Labels are broadcast up to so many rows, and joined by a shuffle beyond.
 BROADCAST_LABELS = 2_000_000
-MEMO, COUNTED, SLICE = 200_000, 150_000, 20_000
+MEMO, COUNTED, SLICE = 200_000, 100_000, 10_000
 THRESHOLD = 0.3
 WORD = re.compile(r"\w+").findall
 _BASE, _MIX = np.uint64(0x9E3779B97F4A7C15 | 1), np.uint64(0xD6E8FEB86659FD93)
@@ -223,14 +223,17 @@ def train(docs: DataFrame, labels: DataFrame, id_column: str = "doc_id", text_co
     rows = docs.select(F.col(id_column).alias("id"), text_or_empty(text_column).alias("text")).join(known, "id")
     rows = rows.select("id", "text", "toxic", (F.col("fold") == CURVE_FOLD).cast("int").alias("curve"))
     counts = rows.select("text", "toxic", "curve").mapInArrow(_count, COUNTS).groupBy("kind", "cell")
-    counts = counts.agg(*[F.min(c).alias(c) for c in ("history", "suffix", "length")], *[F.sum(c).alias(c) for c in ("n0", "n1", "n0_curve", "n1_curve")]).toArrow()
-    columns = {c: counts.column(c).to_numpy() for c in counts.column_names}
-    del counts
-    top = columns["kind"] == 0
-    grams, shared = ([columns[c][of].astype(np.int64) for c in ("cell", "history", "suffix", "length")] for of in (top, ~top))
-    first = np.stack([columns["n0"][top], columns["n1"][top]])
-    held = np.stack([columns["n0_curve"][top], columns["n1_curve"][top]])
-    columns.clear()
+    counts = staged(counts.agg(*[F.min(c).alias(c) for c in ("history", "suffix", "length")], *[F.sum(c).alias(c) for c in ("n0", "n1", "n0_curve", "n1_curve")]), "ngrams")
+
+    def gathered(kind: int, names: list[str]) -> list[np.ndarray]:
+        found = counts.where(F.col("kind") == kind).select(*names).toArrow()
+        return [found.column(c).to_numpy() for c in names]
+
+    *grams, n0, n1, n0_curve, n1_curve = gathered(0, ["cell", "history", "suffix", "length", "n0", "n1", "n0_curve", "n1_curve"])
+    shared = gathered(1, ["cell", "history", "suffix", "length"])
+    drop_staged(counts)
+    first, both = np.stack([n0, n1]), np.stack([n0 + n0_curve, n1 + n1_curve])
+    del n0, n1, n0_curve, n1_curve
     weights = np.zeros(4)
     folder = shared_dir(spark, "toxicity_model")
     store, path = filesystem(folder)
@@ -240,18 +243,23 @@ def train(docs: DataFrame, labels: DataFrame, id_column: str = "doc_id", text_co
         with store.open_output_stream(f"{path}/{name}") as out:
             out.write(data.tobytes())
 
-    if (first + held).sum(axis=1).all():
+    def save_model(prefix: str, classes: np.ndarray) -> None:
+        model = Model(grams, shared, classes)
+        save(f"{prefix}gram", model.gram)
+        save(f"{prefix}history", model.history)
+
+    if both.sum(axis=1).all():
         if first.sum(axis=1).all():
-            trial = Model(grams, shared, first)
-            save("trial_gram", trial.gram), save("trial_history", trial.history)
-            sample = rows.where("curve = 1").withColumn("order", F.xxhash64("id")).orderBy("order").limit(CURVE_ROWS).select("toxic", "text")
+            save_model("trial_", first)
+            picked = rows.where("curve = 1").select("id").withColumn("order", F.xxhash64("id")).orderBy("order").limit(CURVE_ROWS).select("id").distinct()
+            sample = rows.where("curve = 1").join(F.broadcast(picked), "id").select("toxic", "text")
             sample = sample.mapInArrow(_evidence(folder, "trial_"), "toxic int, total double, size double").toArrow()
             if sample.num_rows:
                 weights = curve(features(sample["total"].to_numpy(), sample["size"].to_numpy()), sample["toxic"].to_numpy())
-        model = Model(grams, shared, first + held)
-        save("gram", model.gram), save("history", model.history)
+        save_model("", both)
     else:
-        save("gram", np.full(CELLS, np.nan, np.float32)), save("history", np.zeros(CELLS, np.float32))
+        save("gram", np.full(CELLS, np.nan, np.float32))
+        save("history", np.zeros(CELLS, np.float32))
         weights[0] = -1e9
     save("curve", weights.astype(np.float64))
     return folder

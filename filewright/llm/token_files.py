@@ -53,11 +53,12 @@ class ByteBpe:
     """Encodes with a ``tokenizers`` file of byte-level BPE; ids of pre-tokens seen before come from a bounded memo.
 
     A pre-token's ids don't depend on its neighbours, so texts are cut into pre-tokens by the file's own published
-    pattern, written here for Latin-1 text without superscripts, fractions and separator controls, where ``\\w`` and
-    ``\\d`` cut as ``\\p{L}`` and ``\\p{N}`` do. Any other text goes to the library whole.
+    pattern, written here for Latin-1 text without superscripts, fractions and separator controls: ``LETTER`` is its
+    ``\\p{L}``, ``SPACE`` its ``\\s``. Any other text goes to the library whole.
     """
 
-    CUT = re.compile(r" ?[^\W\d_]+| ?\d+|'(?:[stmd]|re|ve|ll)| ?(?:[^\s\w]|_)+|\s+(?!\S)|\s+").findall
+    LETTER, SPACE = "A-Za-zªµºÀ-ÖØ-öø-ÿ", r"\t-\r \x85\xa0"
+    CUT = re.compile(rf" ?[{LETTER}]+| ?[0-9]+|'(?:[stmd]|re|ve|ll)| ?[^{LETTER}0-9{SPACE}]+|[{SPACE}]+(?![^{SPACE}])|[{SPACE}]+").findall
     ODD = bytes([*range(0x1C, 0x20), 0xB2, 0xB3, 0xB9, 0xBC, 0xBD, 0xBE])
 
     def __init__(self, path: str, end_id: int, memo: int = 400_000):

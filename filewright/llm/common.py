@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 import uuid
+from collections.abc import Callable, Iterator
 from urllib.parse import urlparse
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -48,6 +50,18 @@ def filesystem(uri: str):
     return fs.FileSystem.from_uri(uri)
 
 
+def releasing(run: Callable[[Iterator], Iterator]) -> Callable[[Iterator], Iterator]:
+    """``run`` over a partition's batches; then what it has freed goes back to the system, as worker processes stay."""
+
+    def to_end(batches: Iterator) -> Iterator:
+        yield from run(batches)
+        libc = ctypes.CDLL(None)
+        if hasattr(libc, "malloc_trim"):
+            libc.malloc_trim(0)
+
+    return to_end
+
+
 def unused(df: DataFrame, name: str) -> str:
     """A column name like ``name`` that the frame doesn't have."""
     while name.lower() in {c.lower() for c in df.columns}:

@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from filewright.llm.common import join_hot, numbered, partitions, staged, table, text_or_empty
+from filewright.llm.common import join_hot, numbered, partitions, releasing, staged, table, text_or_empty
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: Keys that one index holds before it is emptied (map side) or split over more partitions (reduce side).
@@ -163,14 +163,14 @@ def build_index(rows: DataFrame) -> DataFrame:
     """The live digests of ``digests`` rows: digest, n_bytes, keep_id, keep_row, group_size."""
     entries = rows.select("digest", "n_bytes", F.col("doc_id").cast("long").alias("keep_id"), F.col("row").alias("keep_row"), F.lit(1).cast("long").alias("group_size"))
     spread = max(partitions(rows.sparkSession), -(-rows.count() // KEYS))
-    return entries.mapInArrow(_fold(True), ENTRY).repartition(spread, "digest").mapInArrow(_fold(False), ENTRY)
+    return entries.mapInArrow(releasing(_fold(True)), ENTRY).repartition(spread, "digest").mapInArrow(releasing(_fold(False)), ENTRY)
 
 
 def retire(index: DataFrame, gone: DataFrame) -> DataFrame:
     """The index without the digests (digest, n_bytes) in ``gone``; both sides meet hashed by digest, insertions first."""
     deletes = gone.select("digest", "n_bytes", F.lit(None).cast("long").alias("keep_id"), F.lit(0).cast("long").alias("keep_row"), F.lit(0).cast("long").alias("group_size"))
     both = index.select("digest", "n_bytes", "keep_id", "keep_row", "group_size").unionByName(deletes)
-    return both.repartition(partitions(index.sparkSession), "digest").sortWithinPartitions(F.desc("group_size")).mapInArrow(_fold(False), ENTRY)
+    return both.repartition(partitions(index.sparkSession), "digest").sortWithinPartitions(F.desc("group_size")).mapInArrow(releasing(_fold(False)), ENTRY)
 
 
 def exact_groups(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:

@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from filewright.llm.common import table, text_or_empty
+from filewright.llm.common import releasing, table, text_or_empty
 
 META = "▁"
 LONG, MEMO, BATCH_CHARS = 128, 250_000, 1_500_000
@@ -363,7 +363,7 @@ def encode(docs: DataFrame, model: str, id_column: str = "doc_id", text_column:
 
     kind = dict(docs.dtypes)[id_column]
     schema = f"doc_id {kind}, n_ids long, ids_crc32 long, round_trip boolean" + ", ids array<int>" * with_ids
-    return docs.select(F.col(id_column).alias("doc_id"), text_or_empty(text_column).alias("text")).mapInArrow(run, schema)
+    return docs.select(F.col(id_column).alias("doc_id"), text_or_empty(text_column).alias("text")).mapInArrow(releasing(run), schema)
 
 
 def decode(rows: DataFrame, model: str) -> DataFrame:

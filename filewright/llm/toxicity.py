@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from filewright.llm.common import drop_staged, filesystem, shared_dir, staged, table, text_or_empty, unused
+from filewright.llm.common import drop_staged, filesystem, releasing, shared_dir, staged, table, text_or_empty, unused
 from filewright.llm.token_files import open_array
 
 ORDER, BITS, DISCOUNT, STRENGTH, SHARE = 6, 22, 0.75, 20.0, 0.005
@@ -222,7 +222,7 @@ def train(docs: DataFrame, labels: DataFrame, id_column: str = "doc_id", text_co
         known = F.broadcast(known)
     rows = docs.select(F.col(id_column).alias("id"), text_or_empty(text_column).alias("text")).join(known, "id")
     rows = rows.select("id", "text", "toxic", (F.col("fold") == CURVE_FOLD).cast("int").alias("curve"))
-    counts = rows.select("text", "toxic", "curve").mapInArrow(_count, COUNTS).groupBy("kind", "cell")
+    counts = rows.select("text", "toxic", "curve").mapInArrow(releasing(_count), COUNTS).groupBy("kind", "cell")
     counts = staged(counts.agg(*[F.min(c).alias(c) for c in ("history", "suffix", "length")], *[F.sum(c).alias(c) for c in ("n0", "n1", "n0_curve", "n1_curve")]), "ngrams")
 
     def gathered(kind: int, names: list[str]) -> list[np.ndarray]:
@@ -253,7 +253,7 @@ def train(docs: DataFrame, labels: DataFrame, id_column: str = "doc_id", text_co
             save_model("trial_", first)
             picked = rows.where("curve = 1").select("id").withColumn("order", F.xxhash64("id")).orderBy("order").limit(CURVE_ROWS).select("id").distinct()
             sample = rows.where("curve = 1").join(F.broadcast(picked), "id").select("toxic", "text")
-            sample = sample.mapInArrow(_evidence(folder, "trial_"), "toxic int, total double, size double").toArrow()
+            sample = sample.mapInArrow(releasing(_evidence(folder, "trial_")), "toxic int, total double, size double").toArrow()
             if sample.num_rows:
                 weights = curve(features(sample["total"].to_numpy(), sample["size"].to_numpy()), sample["toxic"].to_numpy())
         save_model("", both)
@@ -290,7 +290,7 @@ def score(docs: DataFrame, folder: str, keep: list[str], text_column: str = "tex
             value = 1 / (1 + np.exp(-np.clip(x, -700, 700)))
             yield pa.record_batch([*batch.columns[:-1], pa.array(value)], names=[*batch.schema.names[:-1], score_column])
 
-    return kept.mapInArrow(run, schema)
+    return kept.mapInArrow(releasing(run), schema)
 
 
 def without_toxic(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -> DataFrame:

@@ -6,14 +6,19 @@ the documents meet those of the benchmark in a hash join. A window that holds pl
 alignment of a document with an item, each value of the item's slots must stand for one value in the document. So a
 question with other numbers, names or units is found, and chance agreement of placeholders isn't.
 
-Windows of an item with more than ``SLOTS`` placeholders say little and are left out. An item leaks into a document if ``ENOUGH`` of its
-windows match, or half of them where it has fewer than twice as many.
+Windows of an item with more than ``SLOTS`` placeholders say little. An item that has others is judged by those; one that has no
+others leaks where all its windows match on one alignment with consistent slots. Otherwise an item leaks into a document if
+``ENOUGH`` of its windows match, or half of them where it has fewer than twice as many.
+
+Beside templates, literal windows of lower-case words are matched by the same count: they find copies in other capitals and of items that are mostly
+values. An item of fewer than ``WINDOW`` words is one literal window. ``matched`` and ``windows`` are the template's where that finds
+the item, else the literal windows'.
 
 Up to ``CONSTANTS`` windows of a benchmark are looked up inside each text's array of windows, so that only those that
 match become rows; a larger benchmark meets all windows as rows. The benchmark's windows are broadcast up to ``BROADCAST_ROWS`` rows and joined by a shuffle beyond; so are the rows to
-drop. Documents are read once, and a second time only where matched windows hold placeholders.
+drop. Documents are read once for templates and once for literal windows, and again only where matched windows hold placeholders.
 
-Defined results: null and empty texts match nothing, nor does an item of fewer than ``WINDOW`` words; repeated rows match
+Defined results: null and empty texts match nothing; repeated rows match
 alike; items with equal texts each match; empty tables give no rows; other columns are ignored. ``docs`` must be a plan that yields the same
 rows when run again (a file scan, a written table).
 """
@@ -71,6 +76,26 @@ def _window_hashes(df: DataFrame, row: str, text: Column) -> DataFrame:
     return hashes.select(row, F.transform(places, lambda i: F.xxhash64(*[F.get("h", i + k) for k in range(WINDOW)])).alias("w"))
 
 
+def _literal_hashes(df: DataFrame, row: str, text: Column, short: list[int] | None = None) -> DataFrame:
+    """row, w: the hashes of the literal windows, and of those of the lengths in ``short``.
+
+    Without ``short``, a text of fewer than ``WINDOW`` words is one window.
+    """
+    words = _marked(df, row, text).select(row, _words(F.translate("marked", NAME + UNIT, "")).alias("words"))
+    hashes = words.select(row, F.transform("words", lambda w: F.xxhash64(w)).alias("h"))
+
+    def of(size: int) -> Column:
+        places = F.when(F.size("h") >= size, F.sequence(F.lit(0), F.size("h") - size)).otherwise(F.expr("array_repeat(0, 0)"))
+        return F.transform(places, lambda i: F.xxhash64(F.lit(size), *[F.get("h", i + k) for k in range(size)]))
+
+    if short is not None:
+        return hashes.select(row, F.concat(*[of(n) for n in (WINDOW, *short)]).alias("w"))
+    whole = of(WINDOW)
+    for n in range(1, WINDOW):
+        whole = F.when(F.size("h") == n, of(n)).otherwise(whole)
+    return hashes.select(row, whole.alias("w"))
+
+
 def _bitmap(hashes: list[int]) -> tuple[Column, int]:
     """A constant array of 64-bit words with a bit set for each hash, and the number of words; folded once by the optimizer."""
     size = 1 << max(10, len(hashes).bit_length())
@@ -81,9 +106,8 @@ def _bitmap(hashes: list[int]) -> tuple[Column, int]:
     return F.split(F.lit(signed), ",").cast("array<bigint>"), size
 
 
-def _windows(df: DataFrame, row: str, text: Column, known: list[int] | None = None) -> DataFrame:
-    """row, at, window (hash) of every window of template words, or of those that may be in ``known``."""
-    hashed = _window_hashes(df, row, text)
+def _windows(hashed: DataFrame, row: str, known: list[int] | None = None) -> DataFrame:
+    """row, at, window (hash) of every window of ``hashed`` (row, w), or of those that may be in ``known``."""
     if known is None:
         return hashed.select(row, F.posexplode_outer("w").alias("at", "window")).where("at is not null")
     bits, size = _bitmap(known)
@@ -109,6 +133,33 @@ def _sized(df: DataFrame) -> DataFrame:
     return F.broadcast(df) if df.count() <= BROADCAST_ROWS else df
 
 
+def _found(hashed: DataFrame, known: DataFrame) -> DataFrame:
+    """row, at, item, item_at of the texts' windows (row, w) that are in ``known``, a written table."""
+    # a small benchmark is also a constant bitmap, so that only windows that may match leave their text
+    few = known.select("window").distinct().limit(CONSTANTS + 1).collect()
+    asked = _windows(hashed, "row", [x.window for x in few] if len(few) <= CONSTANTS else None)
+    return asked.join(_sized(known), "window").select("row", "at", "item", "item_at")
+
+
+def _judged(matches: DataFrame, known: DataFrame) -> DataFrame:
+    """row, item, matched, windows where enough of an item's windows match.
+
+    They match anywhere in the document; partial counts come first, so a window repeated often is one row.
+    """
+    matched = matches.groupBy("row", "item", "item_at").agg(F.count("*").alias("n")).groupBy("row", "item").agg(F.count("*").alias("matched"))
+    sizes = known.groupBy("item").agg(F.count("*").alias("windows"))
+    enough = F.least(F.lit(ENOUGH), F.ceil(F.col("windows") / 2))
+    return matched.join(sizes, "item").where(F.col("matched") >= enough).select("row", "item", "matched", "windows")
+
+
+def _literal(rows: DataFrame, items: DataFrame) -> DataFrame:
+    """row, item, matched, windows of the items that leak literally."""
+    known = staged(_windows(_literal_hashes(items, "item", F.col("item_text")), "item").withColumnRenamed("at", "item_at"), "literal_windows")
+    sizes = _marked(items, "item", F.col("item_text")).select(F.size(_words(F.translate("marked", NAME + UNIT, ""))).alias("n"))
+    short = [x.n for x in sizes.where(F.col("n").between(1, WINDOW - 1)).distinct().collect()]
+    return _judged(_found(_literal_hashes(rows, "row", F.col("text"), sorted(short)), known), known)
+
+
 def leaks(docs: DataFrame, benchmark: DataFrame, text_column: str = "text", item_text_column: str = "text", item_id_column: str = "item_id") -> DataFrame:
     """row (number in the scan), item_id, matched, windows: the items that leak into each document."""
     rows = docs.select(F.monotonically_increasing_id().alias("row"), text_or_empty(text_column).alias("text"))
@@ -116,12 +167,11 @@ def leaks(docs: DataFrame, benchmark: DataFrame, text_column: str = "text", item
     own = staged(_slots(items, "item", F.col("item_text")).withColumnRenamed("value", "item_value"), "item_slots")
     before = F.explode(F.array(*[F.col("place") - k for k in range(WINDOW)]))
     vague = own.select("item", before.alias("item_at")).groupBy("item", "item_at").agg(F.count("*").alias("n")).where(F.col("n") > SLOTS)
-    known = _windows(items, "item", F.col("item_text")).withColumnRenamed("at", "item_at")
-    known = staged(known.join(vague, ["item", "item_at"], "left_anti"), "item_windows")
-    # a small benchmark is also a constant bitmap, so that only windows that may match leave their text
-    few = known.select("window").distinct().limit(CONSTANTS + 1).collect()
-    asked = _windows(rows, "row", F.col("text"), [x.window for x in few] if len(few) <= CONSTANTS else None)
-    found = staged(asked.join(_sized(known), "window").select("row", "at", "item", "item_at"), "matches")
+    every = _windows(_window_hashes(items, "item", F.col("item_text")), "item").withColumnRenamed("at", "item_at")
+    marked = every.join(vague.withColumn("vague", F.lit(True)).drop("n"), ["item", "item_at"], "left").withColumn("vague", F.coalesce("vague", F.lit(False)))
+    only = marked.groupBy("item").agg(F.min("vague").alias("only_vague"), F.count("*").alias("all_windows"))
+    known = staged(marked.join(only, "item").where("only_vague or not vague").drop("vague"), "item_windows")
+    found = staged(_found(_window_hashes(rows, "row", F.col("text")), known), "matches")
     # slots of both sides, for windows that hold a placeholder
     spots = found.withColumn("k", F.explode(F.array(*[F.lit(k) for k in range(WINDOW)]))).select("row", "item", (F.col("at") - F.col("item_at")).alias("shift"), "item_at", (F.col("item_at") + F.col("k")).alias("place"))
     spots = staged(spots.join(_sized(own), ["item", "place"]), "slot_pairs")
@@ -136,12 +186,14 @@ def leaks(docs: DataFrame, benchmark: DataFrame, text_column: str = "text", item
     matches = found.withColumn("shift", F.col("at") - F.col("item_at"))
     if inconsistent is not None:
         matches = matches.join(inconsistent, ["row", "item", "shift", "item_at"], "left_anti")
-    # an item's windows that match anywhere in the document; partial counts come first, so a window repeated often is one row
-    matched = matches.groupBy("row", "item", "item_at").agg(F.count("*").alias("n")).groupBy("row", "item").agg(F.count("*").alias("matched"))
-    sizes = known.groupBy("item").agg(F.count("*").alias("windows"))
-    named = sizes.join(items.select("item", "item_id"), "item")
-    enough = F.least(F.lit(ENOUGH), F.ceil(F.col("windows") / 2))
-    return matched.join(named, "item").where(F.col("matched") >= enough).select("row", "item_id", "matched", "windows")
+    # items of vague windows only must match as wholes on one alignment
+    strict = _sized(staged(known.where("only_vague").select("item", "all_windows").distinct(), "vague_items"))
+    whole = matches.join(strict, "item").groupBy("row", "item", "shift", "all_windows").agg(F.countDistinct("item_at").alias("n")).where("n = all_windows").select("row", "item", "shift")
+    matches = matches.join(strict, "item", "left_anti").select("row", "item", "item_at").unionByName(matches.join(whole, ["row", "item", "shift"], "left_semi").select("row", "item", "item_at"))
+    by_template = staged(_judged(matches, known), "by_template")
+    literal = staged(_literal(rows, items), "literal")
+    judged = by_template.unionByName(literal.join(by_template, ["row", "item"], "left_anti"))
+    return judged.join(items.select("item", "item_id"), "item").select("row", "item_id", "matched", "windows")
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame) -> DataFrame:

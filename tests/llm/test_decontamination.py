@@ -70,6 +70,15 @@ def test_large_benchmarks_take_the_other_way(spark, monkeypatch):
     assert decontaminate(df, benchmark).columns == df.columns and [r.doc_id for r in decontaminate(df, benchmark).collect()] == [99]
 
 
+def test_items_of_values_short_items_and_other_capitals(spark):
+    values, names = "Compute 12 x 7 + 30 - 4", "We met Anna Berg, Bob Cole, Cleo Dahl, Dora Ehm and Emil Falk"
+    benchmark = spark.createDataFrame([(1, values), (2, names), (3, "Who wrote Faust?")], ITEM)
+    texts = ["so: " + values + " now", "Well. Compute 13 x 8 + 31 - 5 now", "then " + names.lower(), names.upper() + " again", "and who wrote faust then", "Compute 5 apples and nothing else at all here", "who wrote it"]
+    df = frame(spark, list(enumerate(texts)))
+    ids = {r.n: r.doc_id for r in df.selectExpr("monotonically_increasing_id() as n", "doc_id").collect()}
+    assert sorted((ids[r.row], r.item_id) for r in leaks(df, benchmark).collect()) == [(0, 1), (1, 1), (2, 2), (3, 2), (4, 3)]
+
+
 def test_empty_tables(spark):
     df, benchmark = frame(spark, awkward()), spark.createDataFrame([(1, QUESTION)], ITEM)
     assert decontaminate(df, benchmark.limit(0)).count() == df.count()

@@ -1,21 +1,30 @@
 """Toxicity by class-conditional Kneser-Ney models.
 
-A toxic and an ordinary model give the probability of each character of a word from up to ``ORDER`` characters before it
-(the word's start is one of them). Full histories are counted for each class (documents that hold the word); where a history or
-what follows it is rare, both models back off to the same counts of both classes together, and these to shared lower orders of
-continuation counts (in how many different left contexts a string was seen). The classes' own counts are interpolated as
-in Kneser-Ney with a discount and, as in its Pitman-Yor form, ``STRENGTH`` counts of backoff. Toxic texts are mostly
-ordinary words, so a text's toxic likelihood lets each of its different words be toxic with probability ``SHARE``: its evidence is the
-sum of log((1 - SHARE) P(word | ordinary) + SHARE P(word | toxic)) - log P(word | ordinary), normalised by length. A logistic
-curve turns the normalised values into a score between 0 and 1.
-
-Counting covers every labelled row outside the held-out part, as sparse counts summed by hashed n-gram (``CELLS`` cells at most, the
-documented bound of what the driver gathers and the executors load). Only the curve is fitted on a bounded sample: at most
-``CURVE_ROWS`` rows, the first by hash, scored by a model that hasn't seen their fold. The backoff terms cancel for
-unseen n-grams, so the model is two float tables: evidence of a seen n-gram, and of a history before anything unseen.
+A toxic and an ordinary model give the probability of each character of a word from up to ``ORDER`` characters before it (the word's start
+is one of them). Full histories are counted for each class (documents that hold the word). Where a history or what follows it is
+rare, both models back off to the same counts of both classes together, and these to shared lower orders of continuation
+counts (in how many different left contexts a string was seen). The classes' own counts are interpolated as in Kneser-Ney with a
+discount and, as in its Pitman-Yor form, ``STRENGTH`` counts of backoff.
+
+Toxic texts are mostly ordinary words, so the toxic likelihood of a text lets each word be toxic with probability ``SHARE``: its evidence is the
+sum over all its words, each as often as it stands there, of log((1 - SHARE) P(word | ordinary) + SHARE P(word | toxic)) - log P(word | ordinary),
+normalised by the number of words n (a mean, and a sum over the root of n, the spread of chance). A logistic curve
+turns the two normalised values into a score between 0 and 1. The toxic model is fitted to that mixture by ``ROUNDS`` rounds of expectation
+maximisation: a word of toxic documents counts with the probability that it is toxic under the model of the round before.
+
+Counts cover every labelled row outside the held-out part and are keyed by the words and n-grams themselves. They, the backoff chain and the
+probabilities are DataFrame work; executors write the tables as slices of sorted 64-bit keys, which grow with the
+labelled corpus and are memory-mapped by the workers. The driver sees numbers of labels and, for the curve alone,
+the evidence of at most ``CURVE_ROWS`` rows of one fold, the first by hash, scored by a trial model of the other folds. Trial and final model are worked
+out together, as columns side by side.
+
+Two tables make a model. One is of both classes: of a seen n-gram its ordinary and its pooled probability, of a seen history the ordinary
+share of backoff. The other is of the toxic class: n-grams' probabilities and histories' shares. Of an n-gram that neither class has
+seen, the backoff terms cancel.
 
 Defined results: null and empty texts (no words) have the score of zero evidence; a null id is not held out and has no
-label; several labels of one id count as toxic if one says so; without labels of both kinds every score is 0; repeated rows are scored
+label; several labels of one id count as toxic if one says so; without labels of both kinds every score is 0; without a fold that can be left
+out for the curve (both kinds in it and beside it) the curve is ``FIXED_CURVE``; repeated rows are scored
 alike; an empty table gives no rows; other columns pass through.
 """
 
@@ -23,182 +32,334 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark import TaskContext
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from filewright.llm.common import drop_staged, filesystem, releasing, shared_dir, staged, table, text_or_empty, unused
 from filewright.llm.token_files import open_array
 
-ORDER, BITS, DISCOUNT, STRENGTH, SHARE = 6, 22, 0.75, 20.0, 0.005
-CELLS = 1 << BITS
-CURVE_ROWS, CURVE_FOLD, HELD_OUT = 20_000, 3, 2
+#: Characters of history; a full n-gram has one more.
+ORDER = 6
+DISCOUNT, STRENGTH, SHARE = 0.75, 20.0, 0.01
+#: Rounds that refit the toxic model to the mixture.
+ROUNDS = 3
+CURVE_ROWS, HELD_OUT = 20_000, 2
+#: Folds that may be left out for the curve, the first that can be first.
+CURVE_FOLDS = (3, 1, 0)
+#: Constant, mean and scaled sum of the curve where none can be fitted: zero evidence scores 0.12.
+FIXED_CURVE = (-2.0, 1.0, 0.5)
 #: Labels are broadcast up to so many rows, and joined by a shuffle beyond.
 BROADCAST_LABELS = 2_000_000
-MEMO, COUNTED, SLICE = 200_000, 100_000, 10_000
+#: Rows of a model slice; different words that a counting task, a scorer's memo and a step over n-grams hold.
+SLICE_ROWS, COUNTED, MEMO, STEP = 1_000_000, 250_000, 200_000, 10_000
 THRESHOLD = 0.3
+#: Marks of a word's start and end, and of a name that is a history.
+START, END, PAST = "\x02", "\x03", "\x01"
 WORD = re.compile(r"\w+").findall
 _BASE, _MIX = np.uint64(0x9E3779B97F4A7C15 | 1), np.uint64(0xD6E8FEB86659FD93)
+_PAST = np.uint64(0xA5A5A5A5A5A5A5A5)
+
+
+def _longer(h: np.ndarray, code: np.ndarray) -> np.ndarray:
+    """Hashes of strings from those of all but their last characters (code points)."""
+    return (h ^ (h >> np.uint64(29))) * _BASE + (code + np.uint64(1)) * _MIX
+
+
+def _key(h: np.ndarray, length) -> np.ndarray:
+    h = (h + np.asarray(length, np.uint64)) * _MIX
+    return (h ^ (h >> np.uint64(32))) * _BASE
+
+
+def keys_of(strings: list[str]) -> np.ndarray:
+    """The keys of n-grams, and of histories (after ``PAST``), as ``Grams`` works them out."""
+    past = np.fromiter((x[0] == PAST for x in strings), bool, len(strings))
+    strings = [x.removeprefix(PAST) for x in strings]
+    sizes = np.fromiter(map(len, strings), np.int64, len(strings))
+    out = np.zeros(len(strings), np.uint64)
+    for size in np.unique(sizes):
+        at = np.flatnonzero(sizes == size)
+        code = np.frombuffer("".join([strings[i] for i in at]).encode("utf-32-le"), "<u4").astype(np.uint64).reshape(-1, size)
+        h = np.zeros(len(at), np.uint64)
+        for k in range(size):
+            h = _longer(h, code[:, k])
+        out[at] = _key(h, size)
+    return np.where(past, out ^ _PAST, out)
 
 
 class Grams:
-    """The n-grams of some words: for each character, cells of its gram and history, and the shared lower orders."""
+    """The n-grams of some words, one for each character and for the word's end: the keys of it and its history, and its word."""
 
-    def __init__(self, words: list[str], lower: bool = False):
-        text = "".join(f"\x02{w}\x03" for w in words)
-        chars = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), "<u4").astype(np.uint64)
-        n = len(chars)
+    def __init__(self, words: list[str]):
+        self.whole = START + (END + START).join(words) + END if words else ""
+        code = np.frombuffer(self.whole.encode("utf-32-le"), "<u4").astype(np.uint64)
         sizes = np.fromiter(map(len, words), np.int64, len(words)) + 2
-        starts = np.concatenate([[0], np.cumsum(sizes)[:-1]]) if len(words) else np.zeros(0, np.int64)
-        offset = np.arange(n) - np.repeat(starts, sizes)
-        #: hashes[m]: of the m + 1 characters that end at each place
-        hashes = [(chars + np.uint64(1)) * _MIX]
-        for _ in range(ORDER):
-            back = np.zeros(n, np.uint64)
-            back[1:] = hashes[-1][:-1]
-            hashes.append((back ^ (back >> np.uint64(29))) * _BASE + hashes[0])
+        starts = np.cumsum(sizes) - sizes
+        offset = np.arange(len(code)) - np.repeat(starts, sizes)
         self.at = np.flatnonzero(offset > 0)
         self.word = np.repeat(np.arange(len(words)), sizes)[self.at]
-        full = np.minimum(offset[self.at], ORDER)
-        stack = np.stack(hashes) if n else np.zeros((ORDER + 1, 0), np.uint64)
-        self.gram = self.cell(stack[full, self.at], full + 1)
-        self.history = self.cell(stack[full - 1, self.at - 1], full)
-        self.suffix = self.cell(stack[full - 1, self.at], full)
-        self.length = full + 1
-        if lower:  # strings of 1 to ORDER characters that don't hold a word's start, with their history and suffix
-            self.shared = []
-            for m in range(1, ORDER + 1):
-                at = np.flatnonzero(offset >= m)
-                here = self.cell(hashes[m - 1][at], m)
-                past = self.cell(hashes[m - 2][at - 1], m - 1) if m > 1 else np.full(len(at), -1)
-                tail = self.cell(hashes[m - 2][at], m - 1) if m > 1 else np.full(len(at), -1)
-                self.shared.append((here, past, tail))
-
-    @staticmethod
-    def cell(h: np.ndarray, length) -> np.ndarray:
-        h = (h + np.asarray(length, np.uint64)) * _MIX
-        return ((h ^ (h >> np.uint64(32))) * _BASE >> np.uint64(64 - BITS)).astype(np.int64)
+        #: characters of each history
+        self.back = np.minimum(offset[self.at], ORDER)
+        h, history = np.zeros(len(self.at), np.uint64), np.zeros(len(self.at), np.uint64)
+        for k in range(ORDER, -1, -1):
+            in_ = self.back >= k
+            h[in_] = _longer(h[in_], code[self.at[in_] - k])
+            if k == 1:
+                history[:] = h
+        self.gram, self.history = _key(h, self.back + 1), _key(history, self.back) ^ _PAST
+
+    def name(self, i: int) -> str:
+        end = self.at[i] + 1
+        return self.whole[end - self.back[i] - 1 : end]
+
+
+COUNTS = ("n0", "n1", "m0", "m1")
+
+
+def _count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Labelled rows (text, toxic, curve) to documents by word and class: n of all, m of those outside the curve's fold."""
+    held: list[dict[str, int]] = [{}, {}, {}, {}]  # by toxic + 2 * curve
+
+    def flushed() -> Iterator[pa.RecordBatch]:
+        every = list(dict.fromkeys(chain.from_iterable(held)))
+        c = [np.fromiter((of.get(w, 0) for w in every), np.int64, len(every)) for of in held]
+        if every:
+            yield pa.record_batch([pa.array(every, pa.string()), *map(pa.array, (c[0] + c[2], c[1] + c[3], c[0], c[1]))], names=["word", *COUNTS])
+        for of in held:
+            of.clear()
 
+    for batch in batches:
+        for text, toxic, curve in zip(*(c for c in batch.columns), strict=True):
+            of = held[toxic.as_py() + 2 * curve.as_py()]
+            for w in set(WORD(text.as_py().lower())):
+                of[w] = of.get(w, 0) + 1
+            if sum(map(len, held)) > COUNTED:
+                yield from flushed()
+    yield from flushed()
 
-COUNTS = "kind int, cell int, history int, suffix int, length int, n0 long, n1 long, n0_curve long, n1_curve long"
 
+def _summed_grams(words: list[str], weights: np.ndarray, names: list[str]) -> pa.RecordBatch:
+    """gram and the sums of its words' weights (a row for each of ``names``)."""
+    grams = Grams(words)
+    _, first, back = np.unique(grams.gram, return_index=True, return_inverse=True)
+    sums = [np.bincount(back, w[grams.word], len(first)) for w in weights]
+    return pa.record_batch([pa.array([grams.name(i) for i in first.tolist()], pa.string()), *map(pa.array, sums)], names=["gram", *names])
 
-def _summed(cell, history, suffix, length, counts) -> np.ndarray:
-    """One column for each cell: cell, history, suffix, length, and the sums of its counts."""
-    found, first, back = np.unique(cell, return_index=True, return_inverse=True)
-    sums = [np.bincount(back, n, len(found)).astype(np.int64) for n in counts]
-    return np.stack([found, history[first], suffix[first], length[first], *sums])
 
+def _steps(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Batches of at most so many rows that their n-grams fit well into memory."""
+    for batch in batches:
+        for i in range(0, batch.num_rows, STEP):
+            yield batch.slice(i, STEP)
+
+
+def _grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for some in _steps(batches):
+        yield _summed_grams(some.column(0).to_pylist(), np.stack([c.to_numpy().astype(float) for c in some.columns[1:]]), list(COUNTS))
+
+
+def _shared(grams: DataFrame) -> DataFrame:
+    """x (up to ``ORDER`` characters without a word's start), p, p_trial: the shared Kneser-Ney probability of its last character after the others."""
+    has = {"n": F.col("n0") + F.col("n1") > 0, "m": F.col("m0") + F.col("m1") > 0}
+    full = grams.select(F.substring("gram", 2, ORDER).alias("x"), F.length("gram").alias("size"), *[c.alias(k) for k, c in has.items()])
+    levels: list[DataFrame] = []
+    for size in range(ORDER, 0, -1):
+        # different left extensions: strings one longer, and the n-grams that begin with the word's start
+        left = full.where(F.col("size") == size + 1).select("x", "n", "m")
+        if levels:
+            left = left.unionByName(levels[-1].select(F.substring("x", 2, ORDER).alias("x"), F.col("n") > 0, F.col("m") > 0).toDF("x", "n", "m"))
+        levels.append(staged(left.groupBy("x").agg(F.count_if("n").alias("n"), F.count_if("m").alias("m")), "continuations"))
+    done: list[DataFrame] = []
+    for level in reversed(levels):
+        w = Window.partitionBy(F.expr("left(x, length(x) - 1)"))
+        columns = {}
+        for n, p in (("n", "p"), ("m", "p_trial")):
+            total, kinds = F.sum(n).over(w), F.count_if(F.col(n) > 0).over(w)
+            rest = F.col(f"low_{p}") if done else F.lit(1.0) / F.greatest(kinds, F.lit(1))
+            own = (F.greatest(F.col(n) - DISCOUNT, F.lit(0.0)) + DISCOUNT * kinds * rest) / F.greatest(total, F.lit(1))
+            columns[p] = F.when(total > 0, own).otherwise(rest)
+        if done:
+            below = done[-1].select(F.col("x").alias("tail"), F.col("p").alias("low_p"), F.col("p_trial").alias("low_p_trial"))
+            level = level.withColumn("tail", F.substring("x", 2, ORDER)).join(below, "tail")
+        done.append(staged(level.withColumns(columns).select("x", "p", "p_trial"), "shared"))
+    out = done[0]
+    for level in done[1:]:
+        out = out.unionByName(level)
+    for level in levels:
+        drop_staged(level)
+    return out
+
+
+def _discounted(n: str, pooled: Column) -> tuple[Column, Column]:
+    """Log probability of an n-gram whose class count is ``n``, and the log of its history's share of backoff, by windows over the history."""
+    w = Window.partitionBy("history")
+    total, kept = F.sum(n).over(w), F.sum(F.greatest(F.col(n) - DISCOUNT, F.lit(0.0))).over(w)
+    share = (total - kept + STRENGTH) / (total + STRENGTH)
+    return F.log(F.greatest(F.col(n) - DISCOUNT, F.lit(0.0)) / (total + STRENGTH) + share * pooled), F.log(share)
+
+
+def _both_classes(grams: DataFrame, shared: DataFrame) -> DataFrame:
+    """gram, history, and for final and trial model (``_trial``) ordinary, pooled and share; null where the model hasn't seen it."""
+    rows = grams.withColumns({"x": F.substring("gram", 2, ORDER), "history": F.expr("left(gram, length(gram) - 1)")}).join(shared, "x")
+    w = Window.partitionBy("history")
+    for n, p, end in (("n", "p", ""), ("m", "p_trial", "_trial")):
+        both = F.col(f"{n}0") + F.col(f"{n}1")
+        total, kinds = F.sum(both).over(w), F.count_if(both > 0).over(w)
+        pooled = (F.greatest(both - DISCOUNT, F.lit(0.0)) + DISCOUNT * kinds * F.greatest(F.col(p), F.lit(1e-9))) / total
+        rows = rows.withColumns({f"pooled{end}": F.when(both > 0, pooled), f"total{end}": total})
+    for n, end in (("n", ""), ("m", "_trial")):
+        ordinary, share = _discounted(f"{n}0", F.col(f"pooled{end}"))
+        rows = rows.withColumns({f"ordinary{end}": ordinary, f"share{end}": F.when(F.col(f"total{end}") > 0, share)})
+    logs = {f"pooled{end}": F.log(f"pooled{end}") for end in ("", "_trial")}
+    return rows.withColumns(logs).select("gram", "history", "n1", *[f"{c}{end}" for end in ("", "_trial") for c in ("ordinary", "pooled", "share")])
+
+
+def _write_table(entries: DataFrame, folder: str) -> int:
+    """Writes (name, floats) as slices of sorted keys with an index of where their leading bits begin; returns how many slices."""
+    columns = entries.columns[1:]
+
+    def keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield pa.record_batch([pa.array(keys_of(batch.column(0).to_pylist()).view(np.int64)), *batch.columns[1:]], names=["key", *columns])
 
-def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Labelled rows (text, toxic, curve) to sparse counts: kind 0 class n-grams, kind 1 shared strings."""
-    words: list[dict[str, int]] = [{}, {}, {}, {}]  # by toxic + 2 * curve
+    floats = [F.coalesce(F.col(c), F.lit(float("nan"))).cast("float").alias(c) for c in columns]
+    kind = "key long, " + ", ".join(f"{c} float" for c in columns)
+    entries = staged(entries.select(entries.columns[0], *floats).mapInArrow(keyed, kind), "model")
+    slices = 1 << (entries.count() // SLICE_ROWS).bit_length()
+    bits = slices.bit_length() - 1
 
-    def counts() -> Iterator[pa.RecordBatch]:
-        every = sorted(set().union(*words))
-        if not every:
+    def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        parts = [[c.to_numpy() for c in batch.columns] for batch in batches if batch.num_rows]
+        if not parts:
             return
-        parts: tuple[list, list] = ([], [])
-        for i in range(0, len(every), SLICE):  # n-grams of some words at a time, as they take far more room than the words
-            some = every[i : i + SLICE]
-            grams = Grams(some, lower=True)
-            weights = np.array([[of.get(w, 0) for w in some] for of in words], np.int64)
-            parts[0].append(_summed(grams.gram, grams.history, grams.suffix, grams.length, weights[:, grams.word]))
-            for m, (here, past, tail) in enumerate(grams.shared, 1):
-                parts[1].append(_summed(here, past, tail, np.full(len(here), m), np.zeros((4, len(here)), np.int64)))
-        for kind, found in enumerate(parts):
-            columns = _summed(*np.concatenate([x[:4] for x in found], axis=1), np.concatenate([x[4:] for x in found], axis=1))
-            arrays = [pa.array(np.full(columns.shape[1], kind), pa.int32()), *(pa.array(x, pa.int32()) for x in columns[:4]), *(pa.array(x, pa.int64()) for x in columns[4:])]
-            yield pa.record_batch(arrays, names=[c.split()[0] for c in COUNTS.split(", ")])
-        for of in words:
-            of.clear()
-
-    for batch in batches:
-        for i in range(0, batch.num_rows, 512):
-            for text, toxic, curve in zip(*(c.to_pylist() for c in batch.slice(i, 512).columns), strict=True):
-                of = words[toxic + 2 * curve]
-                for w in set(WORD(text.lower())):
-                    of[w] = of.get(w, 0) + 1
-            if sum(map(len, words)) > COUNTED:
-                yield from counts()
-    yield from counts()
-
-
-class Model:
-    """Evidence tables from summed counts."""
-
-    def __init__(self, grams, shared, classes: np.ndarray):
-        """grams, shared: (cell, history, suffix, length) arrays; classes: counts of each gram in the ordinary and the toxic class."""
-        cell, history, suffix, length = grams
-        seen = classes.sum(axis=0) > 0
-        cell, history, suffix, length, classes = cell[seen], history[seen], suffix[seen], length[seen], classes[:, seen]
-        both = classes.sum(axis=0)
-        total, kinds = np.bincount(history, both, CELLS)[history], np.bincount(history, minlength=CELLS)[history]
-        pooled = (both - DISCOUNT + DISCOUNT * kinds * self._shared(suffix, shared)[suffix]) / total
-        self.gram, self.history = np.full(CELLS, np.nan, np.float32), np.zeros(CELLS, np.float32)
-        logs, rest = [], []
-        for n in classes:
-            total = np.bincount(history, n, CELLS)
-            kinds = np.bincount(history[n > 0], minlength=CELLS)
-            share = (DISCOUNT * kinds + STRENGTH) / (total + STRENGTH)
-            logs.append(np.log(np.maximum(n - DISCOUNT, 0) / (total + STRENGTH)[history] + share[history] * pooled))
-            rest.append(np.log(share))
-        self.gram[cell] = logs[1] - logs[0]
-        self.history[:] = rest[1] - rest[0]
+        of = int(parts[0][0][0])
+        key, *values = (np.concatenate([x[k] for x in parts]) for k in range(1, len(columns) + 2))
+        key = key.view(np.uint64)
+        order = np.argsort(key)
+        key = key[order]
+        lead_bits = max(1, len(key).bit_length())
+        index = np.searchsorted(key << np.uint64(bits) >> np.uint64(64 - lead_bits), np.arange((1 << lead_bits) + 1, dtype=np.uint64))
+        store, path = filesystem(folder)
+        store.create_dir(path, recursive=True)
+        for name, data in (("key", key), ("index", index.astype("<u4")), *((c, v[order].astype("<f4")) for c, v in zip(columns, values, strict=True))):
+            own = f"{path}/.{of}-{TaskContext.get().taskAttemptId()}.{name}"
+            with store.open_output_stream(own) as out:
+                out.write(data.tobytes())
+            store.move(own, f"{path}/{of}.{name}")
+        yield pa.record_batch({"slice": pa.array([of], pa.int32())})
+
+    slice_of = F.shiftrightunsigned("key", 64 - bits).cast("int") if bits else F.lit(0)
+    dealt = entries.select(slice_of.alias("slice"), *entries.columns).repartitionById(slices, F.col("slice"))
+    dealt.mapInArrow(releasing(write), "slice int").count()
+    drop_staged(entries)
+    return slices
+
+
+class Table:
+    """A written table, memory-mapped: values of keys, not-a-number where there is none."""
+
+    def __init__(self, folder: str, slices: int, columns: list[str]):
+        self.bits, self.width = slices.bit_length() - 1, len(columns)
+        self.slices = [self._slice(folder, k, columns) for k in range(slices)]
 
     @staticmethod
-    def _shared(suffix: np.ndarray, shared) -> np.ndarray:
-        """Kneser-Ney probability, from both classes, of the last character of each shared string after the others."""
-        cell, history, tail, length = shared
-        lefts = np.bincount(suffix, minlength=CELLS)  # different left extensions, from the full n-grams
-        longest = length.max(initial=0)
-        for m in range(longest, 1, -1):
-            of = length == m
-            lefts += np.bincount(tail[of], minlength=CELLS)
-        chance = np.full(CELLS, 1e-6)
-        for m in range(1, longest + 1):
-            of = np.flatnonzero(length == m)
-            c, h = cell[of], history[of] if m > 1 else np.zeros(len(of), np.int64)
-            n = lefts[c]
-            total, kinds = np.bincount(h, n, CELLS), np.bincount(h, n > 0, CELLS)
-            lower = chance[tail[of]] if m > 1 else np.full(len(of), 1 / max(1, len(of)))
-            chance[c] = np.where(total[h] > 0, (np.maximum(n - DISCOUNT, 0) + DISCOUNT * kinds[h] * lower) / np.maximum(total[h], 1), lower)
-        return np.maximum(chance, 1e-9)
+    def _slice(folder: str, k: int, columns: list[str]):
+        try:
+            return open_array(folder, f"{k}.key", "<u8"), open_array(folder, f"{k}.index", "<u4"), [open_array(folder, f"{k}.{c}", "<f4") for c in columns]
+        except FileNotFoundError:  # no key fell into it
+            return None
+
+    def __getitem__(self, keys: np.ndarray) -> np.ndarray:
+        """A row for each column."""
+        out = np.full((self.width, len(keys)), np.nan, np.float32)
+        if not self.bits:
+            self._fill(0, keys, slice(None), out)
+            return out
+        which = (keys >> np.uint64(64 - self.bits)).astype(np.uint16)
+        order = np.argsort(which, kind="stable")
+        bounds = np.searchsorted(which[order], np.arange(len(self.slices) + 1))
+        for k in np.flatnonzero(np.diff(bounds)):
+            at = order[bounds[k] : bounds[k + 1]]
+            self._fill(k, keys[at], at, out)
+        return out
+
+    def _fill(self, k: int, keys: np.ndarray, to, out: np.ndarray) -> None:
+        if self.slices[k] is None:
+            return
+        own, index, values = self.slices[k]
+        lead = (keys << np.uint64(self.bits) >> np.uint64(64 - (len(index) - 2).bit_length())).astype(np.int64)
+        at, end = index[lead], index[lead + 1]
+        left = np.flatnonzero(at < end)
+        at, end = at[left].astype(np.int64), end[left].astype(np.int64)
+        to = np.arange(len(keys)) if isinstance(to, slice) else to
+        while len(left):
+            hit = own[at] == keys[left]
+            for column, value in zip(out, values, strict=True):
+                column[to[left[hit]]] = value[at[hit]]
+            at = at + 1
+            go = np.flatnonzero(~hit & (at < end))
+            left, at, end = left[go], at[go], end[go]
+
+
+class Trained:
+    """A model's folders and numbers of slices (0: no model), and the curve's weights."""
+
+    def __init__(self, both: tuple[str, int], toxic: tuple[str, int], weights: np.ndarray):
+        self.both, self.toxic, self.weights = both, toxic, weights
+
+    def evidence_of(self, trial: bool = False):
+        """The function from words to log P(word | toxic) - log P(word | ordinary)."""
+        end = "_trial" * trial
+        both, toxic = Table(*self.both, [f"ordinary{end}", f"pooled{end}", f"share{end}"]), Table(*self.toxic, [f"toxic{end}", f"toxic_share{end}"])
+
+        def of(words: list[str]) -> np.ndarray:
+            grams = Grams(words)
+            ordinary, pooled, _ = both[grams.gram]
+            own = toxic[grams.gram][0]
+            share = np.nan_to_num(toxic[grams.history][1])
+            seen = ~np.isnan(pooled)
+            value = np.where(np.isnan(own), share + pooled, own) - ordinary
+            unseen = np.flatnonzero(~seen)
+            value[unseen] = share[unseen] - np.nan_to_num(both[grams.history[unseen]][2])
+            return np.bincount(grams.word, value, len(words))
+
+        return of
+
+
+def _mixed(e: np.ndarray) -> np.ndarray:
+    """A word's evidence where it is toxic with probability SHARE."""
+    return np.log1p(SHARE * np.expm1(np.minimum(e, 50)))
 
 
 class Scorer:
-    """Evidence of texts: sum over different words, and their number. Words seen before come from a bounded memo."""
+    """Evidence of texts: sum over words, and their number. Words seen before come from a bounded memo."""
 
-    def __init__(self, gram: np.ndarray, history: np.ndarray):
-        self.gram, self.history, self.memo = gram, history, {}
-
-    def evidence(self, words: list[str]) -> np.ndarray:
-        grams = Grams(words)
-        value = np.asarray(self.gram[grams.gram])
-        value = np.where(np.isnan(value), self.history[grams.history], value)
-        return np.log1p(SHARE * np.expm1(np.minimum(np.bincount(grams.word, value, len(words)), 50)))
+    def __init__(self, trained: Trained, trial: bool = False):
+        self.evidence_of, self.memo = trained.evidence_of(trial), {}
 
     def __call__(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         total, size = np.zeros(len(texts)), np.zeros(len(texts))
         for i, text in enumerate(texts):
-            words = set(WORD(text.lower()))
-            new = words.difference(self.memo)
+            words = WORD(text.lower())
+            new = set(words).difference(self.memo)
             if len(self.memo) + len(new) > MEMO:
                 self.memo.clear()
-                new = words
-            if new:
-                some = list(new)
-                self.memo.update(zip(some, self.evidence(some).tolist(), strict=True))
+                new = set(words)
+            some = list(new)
+            for k in range(0, len(some), STEP):
+                self.memo.update(zip(some[k : k + STEP], _mixed(self.evidence_of(some[k : k + STEP])).tolist(), strict=True))
             total[i], size[i] = sum(map(self.memo.__getitem__, words)), len(words)
         return total, size
 
 
 def features(total: np.ndarray, size: np.ndarray) -> np.ndarray:
-    """Evidence normalised by length: a word's mean, and the sum over the root of the number of words (chance variation)."""
+    """A constant, and evidence normalised by length: a word's mean, and the sum over the root of the number of words."""
     n = np.maximum(size, 1)
-    return np.stack([np.ones(len(n)), np.clip(100 * total / n, -5, 20), np.clip(10 * total / np.sqrt(n), -5, 20), np.log1p(size)], axis=1)
+    return np.stack([np.ones(len(n)), np.clip(100 * total / n, -5, 20), np.clip(10 * total / np.sqrt(n), -5, 20)], axis=1)
 
 
 def curve(x: np.ndarray, y: np.ndarray, ridge: float = 1e-2, rounds: int = 60) -> np.ndarray:
@@ -213,80 +374,103 @@ def curve(x: np.ndarray, y: np.ndarray, ridge: float = 1e-2, rounds: int = 60) -
     return w
 
 
-def train(docs: DataFrame, labels: DataFrame, id_column: str = "doc_id", text_column: str = "text") -> str:
-    """Learns from the labelled rows outside the held-out part; returns the model's folder (three files)."""
+def _curve_fold(by_fold: dict[tuple[int, int], int]) -> int | None:
+    """The first fold with both kinds of labels, both of which other folds have too."""
+    for fold in CURVE_FOLDS:
+        others = [sum(n for (f, toxic), n in by_fold.items() if f != fold and toxic == kind) for kind in (0, 1)]
+        if all(others) and all(by_fold.get((fold, kind)) for kind in (0, 1)):
+            return fold
+    return None
+
+
+def _toxic_words(trained: Trained | None):
+    """Words with n1, m1 to their n-grams' summed weights: the counts, times the probability that the word is toxic under a model."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        models = [trained.evidence_of(trial) for trial in (False, True)] if trained else []
+        for some in _steps(batches):
+            words = some.column(0).to_pylist()
+            weights = np.stack([some.column(k).to_numpy().astype(float) for k in (1, 2)])
+            for weight, model in zip(weights, models, strict=False):
+                odds = SHARE / (1 - SHARE) * np.exp(np.clip(model(words), -50, 50))
+                weight *= odds / (1 + odds)
+            yield _summed_grams(words, weights, ["w", "w_trial"])
+
+    return run
+
+
+def train(docs: DataFrame, labels: DataFrame, id_column: str = "doc_id", text_column: str = "text") -> Trained:
+    """Learns from the labelled rows outside the held-out part."""
     spark = docs.sparkSession
     known = labels.where(F.col("toxic").isNotNull() & F.col("doc_id").isNotNull()).groupBy(F.col("doc_id").alias("id")).agg(F.max("toxic").cast("int").alias("toxic"))
-    known = known.withColumn("fold", F.crc32(F.col("id").cast("string")) % 4).where(F.col("fold") != HELD_OUT)
+    known = known.withColumn("fold", (F.crc32(F.col("id").cast("string")) % 4).cast("int")).where(F.col("fold") != HELD_OUT)
     if labels.count() <= BROADCAST_LABELS:
         known = F.broadcast(known)
     rows = docs.select(F.col(id_column).alias("id"), text_or_empty(text_column).alias("text")).join(known, "id")
-    rows = rows.select("id", "text", "toxic", (F.col("fold") == CURVE_FOLD).cast("int").alias("curve"))
-    counts = rows.select("text", "toxic", "curve").mapInArrow(releasing(_count), COUNTS).groupBy("kind", "cell")
-    counts = staged(counts.agg(*[F.min(c).alias(c) for c in ("history", "suffix", "length")], *[F.sum(c).alias(c) for c in ("n0", "n1", "n0_curve", "n1_curve")]), "ngrams")
-
-    def gathered(kind: int, names: list[str]) -> list[np.ndarray]:
-        found = counts.where(F.col("kind") == kind).select(*names).toArrow()
-        return [found.column(c).to_numpy() for c in names]
-
-    *grams, n0, n1, n0_curve, n1_curve = gathered(0, ["cell", "history", "suffix", "length", "n0", "n1", "n0_curve", "n1_curve"])
-    shared = gathered(1, ["cell", "history", "suffix", "length"])
-    drop_staged(counts)
-    first, both = np.stack([n0, n1]), np.stack([n0 + n0_curve, n1 + n1_curve])
-    del n0, n1, n0_curve, n1_curve
-    weights = np.zeros(4)
+    by_fold = {(r.fold, r.toxic): r.n for r in rows.groupBy("fold", "toxic").agg(F.count("*").alias("n")).collect()}
+    if {toxic for _, toxic in by_fold} != {0, 1}:
+        return Trained(("", 0), ("", 0), np.array([-1e9, 0, 0]))
+    fold = _curve_fold(by_fold)
+    in_curve = F.lit(0) if fold is None else (F.col("fold") == fold).cast("int")
+    longs = ", ".join(f"{c} long" for c in COUNTS)
+    counted = rows.select("text", "toxic", in_curve.alias("curve")).mapInArrow(releasing(_count_words), f"word string, {longs}")
+    words = staged(counted.groupBy("word").agg(*[F.sum(c).alias(c) for c in COUNTS]), "words")
+    grams = words.mapInArrow(releasing(_grams), "gram string, " + ", ".join(f"{c} double" for c in COUNTS)).groupBy("gram")
+    grams = staged(grams.agg(*[F.sum(c).alias(c) for c in COUNTS]), "ngrams")
+    static = staged(_both_classes(grams, _shared(grams)), "both_classes")
+    ends = ("", "_trial")
+    entries = static.select(F.col("gram").alias("name"), *[f"{c}{end}" for end in ends for c in ("ordinary", "pooled", "share")])
+    shares = static.groupBy(F.concat(F.lit(PAST), "history").alias("name")).agg(*[F.first(f"share{end}").alias(f"share{end}") for end in ends])
     folder = shared_dir(spark, "toxicity_model")
-    store, path = filesystem(folder)
-    store.create_dir(path, recursive=True)
-
-    def save(name: str, data: np.ndarray) -> None:
-        with store.open_output_stream(f"{path}/{name}") as out:
-            out.write(data.tobytes())
-
-    def save_model(prefix: str, classes: np.ndarray) -> None:
-        model = Model(grams, shared, classes)
-        save(f"{prefix}gram", model.gram)
-        save(f"{prefix}history", model.history)
-
-    if both.sum(axis=1).all():
-        if first.sum(axis=1).all():
-            save_model("trial_", first)
-            picked = rows.where("curve = 1").select("id").withColumn("order", F.xxhash64("id")).orderBy("order").limit(CURVE_ROWS).select("id").distinct()
-            sample = rows.where("curve = 1").join(F.broadcast(picked), "id").select("toxic", "text")
-            sample = sample.mapInArrow(releasing(_evidence(folder, "trial_")), "toxic int, total double, size double").toArrow()
-            if sample.num_rows:
-                weights = curve(features(sample["total"].to_numpy(), sample["size"].to_numpy()), sample["toxic"].to_numpy())
-        save_model("", both)
-    else:
-        save("gram", np.full(CELLS, np.nan, np.float32))
-        save("history", np.zeros(CELLS, np.float32))
-        weights[0] = -1e9
-    save("curve", weights.astype(np.float64))
-    return folder
-
-
-def _evidence(folder: str, prefix: str):
-    """Adds total and size to rows whose last column is the text; the text itself is dropped."""
+    both = f"{folder}/both", _write_table(entries.unionByName(shares, allowMissingColumns=True), f"{folder}/both")
+    pooled = static.where("n1 > 0").select("gram", "history", *[F.exp(f"pooled{end}").alias(f"pooled{end}") for end in ends])
+    trained = None
+    for k in range(ROUNDS + 1):
+        weighted = words.where("n1 > 0").select("word", "n1", "m1").mapInArrow(releasing(_toxic_words(trained)), "gram string, w double, w_trial double")
+        toxic = weighted.groupBy("gram").agg(*[F.sum(f"w{end}").alias(f"w{end}") for end in ends]).join(pooled, "gram")
+        for end in ends:
+            own, share = _discounted(f"w{end}", F.col(f"pooled{end}"))
+            toxic = toxic.withColumns({f"toxic{end}": own, f"toxic_share{end}": share})
+        toxic = staged(toxic.select("gram", "history", *[f"{c}{end}" for end in ends for c in ("toxic", "toxic_share")]), "toxic")
+        values = toxic.select(F.col("gram").alias("name"), "toxic", "toxic_trial")
+        shares = toxic.groupBy(F.concat(F.lit(PAST), "history").alias("name")).agg(*[F.first(f"toxic_share{end}").alias(f"toxic_share{end}") for end in ends])
+        slices = _write_table(values.unionByName(shares, allowMissingColumns=True), f"{folder}/toxic-{k}")
+        trained = Trained(both, (f"{folder}/toxic-{k}", slices), np.array(FIXED_CURVE))
+        drop_staged(toxic)
+    for frame in (words, grams, static):
+        drop_staged(frame)
+    if fold is not None:
+        of_fold = rows.where(F.col("fold") == fold)
+        picked = of_fold.select("id").distinct().orderBy(F.xxhash64("id")).limit(CURVE_ROWS)
+        sample = of_fold.join(F.broadcast(picked), "id").select("toxic", "text")
+        sample = sample.mapInArrow(releasing(_evidence(trained)), "toxic int, total double, size double").toArrow()
+        trained.weights = curve(features(sample["total"].to_numpy(), sample["size"].to_numpy()), sample["toxic"].to_numpy())
+    return trained
+
+
+def _evidence(trained: Trained):
+    """(toxic, text) to toxic, evidence of the trial model, and number of words."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        scorer = Scorer(open_array(folder, f"{prefix}gram", "<f4"), open_array(folder, f"{prefix}history", "<f4"))
+        scorer = Scorer(trained, trial=True)
         for batch in batches:
-            total, size = scorer(batch.column(batch.num_columns - 1).to_pylist())
-            yield pa.record_batch([*batch.columns[:-1], pa.array(total), pa.array(size)], names=[*batch.schema.names[:-1], "total", "size"])
+            total, size = scorer(batch.column(1).to_pylist())
+            yield pa.record_batch([batch.column(0), pa.array(total), pa.array(size)], names=["toxic", "total", "size"])
 
     return run
 
 
-def score(docs: DataFrame, folder: str, keep: list[str], text_column: str = "text", score_column: str = "score") -> DataFrame:
+def score(docs: DataFrame, trained: Trained, keep: list[str], text_column: str = "text", score_column: str = "score") -> DataFrame:
     """The columns in ``keep`` and the score of every row."""
+    if not trained.both[1]:
+        return docs.select(*keep).withColumn(score_column, F.lit(0.0))
     kept = docs.select(*keep, text_or_empty(text_column).alias(unused(docs, "scored_text")))
     schema = docs.select(*keep).schema.add(score_column, "double")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        scorer = Scorer(open_array(folder, "gram", "<f4"), open_array(folder, "history", "<f4"))
-        weights = np.asarray(open_array(folder, "curve", "<f8"))
+        scorer = Scorer(trained)
         for batch in (b.slice(i, 512) for b in batches for i in range(0, b.num_rows, 512)):
-            x = features(*scorer(batch.column(batch.num_columns - 1).to_pylist())) @ weights
+            x = features(*scorer(batch.column(batch.num_columns - 1).to_pylist())) @ trained.weights
             value = 1 / (1 + np.exp(-np.clip(x, -700, 700)))
             yield pa.record_batch([*batch.columns[:-1], pa.array(value)], names=[*batch.schema.names[:-1], score_column])
 

@@ -1,11 +1,14 @@
+import math
 import random
 import zlib
+from collections import Counter
 
 import numpy as np
 import pytest
 from data import awkward, frame
 
 from filewright.llm import toxicity as T
+from filewright.llm.common import shared_dir
 
 LABELS = "doc_id long, quality int, toxic int"
 
@@ -60,19 +63,110 @@ def test_without_both_kinds_of_labels(spark, labels):
     assert T.without_toxic(frame(spark, []), spark.createDataFrame(labels, LABELS)).count() == 0
 
 
-def test_models_are_distributions():
-    """Over what may follow a history, each class's probabilities add up to 1 or less (what is left is unseen)."""
-    words = ["banana", "bandana", "band", "ban"]
-    g = T.Grams(words, lower=True)
-    assert len(g.gram) == sum(len(w) + 1 for w in words) and len(g.shared) == T.ORDER
-    counts = np.array([5, 3, 2, 9])[g.word]
-    cell, first, back = np.unique(g.gram, return_index=True, return_inverse=True)
-    n = np.bincount(back, counts)
-    model = T.Model((cell, g.history[first], g.suffix[first], g.length[first]), _shared(g), np.stack([n, n]))
-    assert np.allclose(model.gram[cell], 0) and np.allclose(model.history, 0)  # equal classes: no evidence
+def fold(i):
+    return zlib.crc32(str(i).encode()) % 4
 
 
-def _shared(g):
-    parts = [np.stack([*x, np.full(len(x[0]), m)]) for m, x in enumerate(g.shared, 1)]
-    every = np.unique(np.concatenate(parts, axis=1), axis=1)
-    return tuple(every)
+@pytest.mark.parametrize("empty", [(3,), (0, 1), (1, 3)])
+def test_folds_without_labels(spark, empty):
+    """A fold without labels, or labels in one fold only, doesn't make every document toxic."""
+    texts, labels = corpus(400)
+    toxic = {i for i, _, t in labels if t}
+    labels = [x for x in labels if fold(x[0]) not in empty]
+    df = frame(spark, texts)
+    got = {r.doc_id: r.s for r in T.score(df, T.train(df, spark.createDataFrame(labels, LABELS)), ["doc_id"], score_column="s").collect()}
+    found = [got[i] >= T.THRESHOLD for i in toxic]
+    false = [s >= T.THRESHOLD for i, s in got.items() if i not in toxic]
+    assert np.mean(false) < 0.05 and np.mean(found) > 0.5
+
+
+def plain_model(docs):
+    """Evidence of words, from (words, toxic) by Kneser-Ney in plain Python."""
+    counts = [Counter(w for words, toxic in docs if toxic == k for w in set(words)) for k in (0, 1)]
+    pad = lambda w: "\x02" + w + "\x03"
+    grams_of = lambda w: [pad(w)[max(0, k - T.ORDER) : k + 1] for k in range(1, len(w) + 2)]
+    n = [Counter() for _ in (0, 1)]
+    for k in (0, 1):
+        for w, c in counts[k].items():
+            for g in grams_of(w):
+                n[k][g] += c
+    grams = set(n[0]) | set(n[1])
+    lefts = {m: Counter() for m in range(1, T.ORDER + 1)}
+    strings = {m: {pad(w)[i : i + m] for c in counts for w in c for i in range(1, len(w) + 3 - m)} for m in range(1, T.ORDER + 1)}
+    for g in grams:
+        if len(g) == T.ORDER + 1 or g[0] == "\x02":
+            lefts[len(g) - 1][g[1:]] += 1
+    for m in range(2, T.ORDER + 1):
+        for x in strings[m]:
+            lefts[m - 1][x[1:]] += 1
+
+    def shared(x):
+        if not x:
+            return 1 / len(lefts[1])
+        of = {y: c for y, c in lefts[len(x)].items() if y[:-1] == x[:-1]}
+        return (max(lefts[len(x)][x] - T.DISCOUNT, 0) + T.DISCOUNT * len(of) * shared(x[1:])) / sum(of.values())
+
+    following = {}
+    for g in grams:
+        following.setdefault(g[:-1], set()).add(g)
+
+    def pooled(g):
+        of = following[g[:-1]]
+        return (n[0][g] + n[1][g] - T.DISCOUNT + T.DISCOUNT * len(of) * shared(g[1:])) / sum(n[0][x] + n[1][x] for x in of)
+
+    base = {g: pooled(g) for g in grams}
+
+    def share(c, h):
+        total = sum(c[g] for g in following.get(h, ()))
+        return (sum(min(c[g], T.DISCOUNT) for g in following.get(h, ())) + T.STRENGTH) / (total + T.STRENGTH), total
+
+    def chance(c, g):
+        s, total = share(c, g[:-1])
+        return (max(c[g] - T.DISCOUNT, 0) / (total + T.STRENGTH) + s * base[g]) if g in grams else s
+
+    def evidence(w, toxic):
+        return sum(math.log(chance(toxic, g) / chance(n[0], g)) for g in grams_of(w))
+
+    toxic = n[1]
+    for _ in range(T.ROUNDS):
+        new = Counter()
+        for w, c in counts[1].items():
+            odds = T.SHARE / (1 - T.SHARE) * math.exp(evidence(w, toxic))
+            for g in grams_of(w):
+                new[g] += c * odds / (1 + odds)
+        toxic = new
+    return lambda w: evidence(w, toxic)
+
+
+def test_evidence_equals_plain_kneser_ney(spark):
+    texts, labels = corpus(120)
+    toxic = {i: t for i, _, t in labels}
+    trained = T.train(frame(spark, texts), spark.createDataFrame(labels, LABELS))
+    expected = plain_model([(T.WORD(t), toxic[i]) for i, t in texts if not held(i)])
+    words = [*T.WORD(texts[0][1])[:10], "vexgruma", "vexgru", "vex", "quite", "unseen", "a"]
+    assert np.allclose(trained.evidence_of()(words), [expected(w) for w in words], atol=1e-3)
+
+
+def test_repetition_counts_and_length_does_not(spark):
+    texts, labels = corpus(300)
+    more = [(1001, "vexgruma " + texts[0][1]), (1002, "vexgruma " * 30 + texts[0][1]), (1003, texts[1][1]), (1004, " ".join([texts[1][1]] * 4))]
+    trained = T.train(frame(spark, texts), spark.createDataFrame(labels, LABELS))
+    total, size = T.Scorer(trained)([t for _, t in more])
+    assert total[1] - total[0] > 20 * (total[0] - T.Scorer(trained)([texts[0][1]])[0][0]) and np.isclose(total[3] / size[3], total[2] / size[2])
+    assert T.features(np.zeros(3), np.array([0.0, 5.0, 5000.0])).std(axis=0).max() == 0
+
+
+def test_tables_of_many_slices(spark, monkeypatch):
+    monkeypatch.setattr(T, "SLICE_ROWS", 40)
+    names = sorted({f"n{i % 97}{i}" for i in range(500)})
+    folder = shared_dir(spark, "test")
+    slices = T._write_table(spark.createDataFrame([(x, float(i)) for i, x in enumerate(names)], "name string, v double"), folder)
+    found = T.Table(folder, slices, ["v"])[T.keys_of([*names, "none"])][0]
+    assert slices > 8 and found[:-1].tolist() == list(range(len(names))) and np.isnan(found[-1])
+
+
+def test_query_columns(spark, sf_dir):
+    rows = T.op2_toxicity(spark, sf_dir).collect()
+    assert len(rows) == spark.read.parquet(f"{sf_dir}/documents.parquet").count()
+    for r in rows:
+        assert r.held_out == held(r.doc_id) and 0 <= r.score <= 1 and r.predicted == int(r.score >= 0.3)

@@ -55,8 +55,8 @@ CURVE_FOLDS = (3, 1, 0)
 FIXED_CURVE = (-2.0, 1.0, 0.5)
 #: Labels are broadcast up to so many rows, and joined by a shuffle beyond.
 BROADCAST_LABELS = 2_000_000
-#: Rows of a model slice; different words that a counting task, a scorer's memo and a step over n-grams hold.
-SLICE_ROWS, COUNTED, MEMO, STEP = 1_000_000, 250_000, 200_000, 10_000
+#: Rows of a model slice; different words that a counting task, a scorer's memo and a step over n-grams hold; texts that are scored together.
+SLICE_ROWS, COUNTED, MEMO, STEP, TEXTS = 1_000_000, 250_000, 200_000, 10_000, 256
 THRESHOLD = 0.3
 #: Marks of a word's start and end, and of a name that is a history.
 START, END, PAST = "\x02", "\x03", "\x01"
@@ -342,18 +342,17 @@ class Scorer:
         self.evidence_of, self.memo = trained.evidence_of(trial), {}
 
     def __call__(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        total, size = np.zeros(len(texts)), np.zeros(len(texts))
-        for i, text in enumerate(texts):
-            words = WORD(text.lower())
-            new = set(words).difference(self.memo)
-            if len(self.memo) + len(new) > MEMO:
-                self.memo.clear()
-                new = set(words)
-            some = list(new)
-            for k in range(0, len(some), STEP):
-                self.memo.update(zip(some[k : k + STEP], _mixed(self.evidence_of(some[k : k + STEP])).tolist(), strict=True))
-            total[i], size[i] = sum(map(self.memo.__getitem__, words)), len(words)
-        return total, size
+        lists = [WORD(text.lower()) for text in texts]
+        every = set().union(*lists)
+        new = every.difference(self.memo)
+        if len(self.memo) + len(new) > MEMO:
+            self.memo.clear()
+            new = every
+        some = list(new)
+        for k in range(0, len(some), STEP):
+            self.memo.update(zip(some[k : k + STEP], _mixed(self.evidence_of(some[k : k + STEP])).tolist(), strict=True))
+        total = np.fromiter((sum(map(self.memo.__getitem__, words)) for words in lists), float, len(texts))
+        return total, np.fromiter(map(len, lists), float, len(texts))
 
 
 def features(total: np.ndarray, size: np.ndarray) -> np.ndarray:
@@ -453,7 +452,7 @@ def _evidence(trained: Trained):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scorer = Scorer(trained, trial=True)
-        for batch in batches:
+        for batch in (b.slice(i, TEXTS) for b in batches for i in range(0, b.num_rows, TEXTS)):
             total, size = scorer(batch.column(1).to_pylist())
             yield pa.record_batch([batch.column(0), pa.array(total), pa.array(size)], names=["toxic", "total", "size"])
 
@@ -469,7 +468,7 @@ def score(docs: DataFrame, trained: Trained, keep: list[str], text_column: str =
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scorer = Scorer(trained)
-        for batch in (b.slice(i, 512) for b in batches for i in range(0, b.num_rows, 512)):
+        for batch in (b.slice(i, TEXTS) for b in batches for i in range(0, b.num_rows, TEXTS)):
             x = features(*scorer(batch.column(batch.num_columns - 1).to_pylist())) @ trained.weights
             value = 1 / (1 + np.exp(-np.clip(x, -700, 700)))
             yield pa.record_batch([*batch.columns[:-1], pa.array(value)], names=[*batch.schema.names[:-1], score_column])

@@ -9,7 +9,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from filewright.functions.names import inherited
-from filewright.functions.patterns import PatternError, date_format_of, date_pattern, group_count
+from filewright.functions.patterns import PatternError, date_format_of, date_pattern, group_count, optional_groups
 
 DEFAULT_CAPTURE_FORMAT = "Y-m-d_H-i-s-v"
 #: English names, in order.
@@ -92,26 +92,40 @@ def _formatted(format_: str, at: Moment) -> Column:
     return F.when(at.date.isNotNull(), F.concat(*parts) if parts else F.lit(""))
 
 
+#: Marks around what a date pattern matches; file names hold no such characters.
+_MATCH, _GROUP = "\x00\x01", "\x00\x02"
+
+
 def date_renamed(stem_: Column, ext: Column, pattern: str, replacement: str) -> Column:
-    """The name with the date that a date pattern finds, formatted anew, and the last capture group after it.
+    """The name with every date that a date pattern finds formatted anew, and the match's last capture group after each.
 
-    Input is the name without a duplicate number. The first match is replaced; without one the name is unchanged. Parts that
-    the pattern lacks are 0 (year, time) or 1 (month, day).
+    Input is the name without a duplicate number; without a match it is unchanged. Parts that the pattern lacks are 0 (year, time) or 1
+    (month, day). Trailing groups that take no part in a match don't count as its last group. One replacement marks all
+    matches and their groups; the marked name is then taken apart.
     """
     compiled = date_pattern(pattern)
-    groups = group_count(compiled.java)
-    around = rf"(?s)^(.*?)(?-s:{compiled.java})(.*)$"
-    name = inherited(stem_, ext)
-    part = lambda k: F.regexp_extract(name, around, k + 1)
-    values: dict[str, Column] = {}
-    for k, placeholder in enumerate(compiled.placeholders, 1):
-        value = F.expr("try_cast(NULL AS INT)") if k > groups else part(k).try_cast("int")
-        values["Y" if placeholder == "y" else placeholder] = four_digit_year(value) if placeholder == "y" else value
-    at = moment(*(values.get(p, F.lit(default)) for p, default in (("Y", 0), ("m", 1), ("d", 1), ("H", 0), ("i", 0), ("s", 0))))
-    # without capture groups the last group is the whole match
-    last = part(groups) if groups else F.regexp_extract(name, f"({compiled.java})", 1)
-    made = F.concat(part(0), formatted(date_format_of(replacement), at), last, part(groups + 1))
-    return F.when(name.rlike(compiled.java), made).otherwise(name)
+    groups, optional = group_count(compiled.java), optional_groups(compiled.java)
+    listed = _GROUP.join(f"${k}" for k in range(groups + 1))
+    format_ = date_format_of(replacement)
+
+    def made(match: Column) -> Column:
+        return bound(F.split(match, _GROUP), of_groups)
+
+    def of_groups(g: Column) -> Column:
+        values: dict[str, Column] = {}
+        for k, placeholder in enumerate(compiled.placeholders, 1):
+            value = F.expr("try_cast(NULL AS INT)") if k > groups else F.get(g, F.lit(k)).try_cast("int")
+            values["Y" if placeholder == "y" else placeholder] = four_digit_year(value) if placeholder == "y" else value
+        at = moment(*(values.get(p, F.lit(default)) for p, default in (("Y", 0), ("m", 1), ("d", 1), ("H", 0), ("i", 0), ("s", 0))))
+        # without capture groups the last group is the whole match
+        last = [F.get(g, F.lit(k)) for k in range(groups, max(groups - optional, 0) - 1, -1)]
+        return F.concat(formatted(format_, at), F.coalesce(*[F.nullif(x, F.lit("")) for x in last[:-1]], last[-1]))
+
+    def renamed(name: Column) -> Column:
+        parts = F.split(F.regexp_replace(name, F.lit(compiled.java), F.lit(_MATCH + listed + _MATCH)), _MATCH)
+        return bound(parts, lambda p: F.when(F.size(p) > 1, F.array_join(F.transform(p, lambda x, i: F.when(i % 2 == 1, made(x)).otherwise(x)), "")).otherwise(name))
+
+    return bound(inherited(stem_, ext), renamed)
 
 
 def capture_time(original: Column, sub_second: Column) -> Column:

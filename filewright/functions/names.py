@@ -11,7 +11,7 @@ MARKER = "-duplicate-"
 
 
 def directory(path: Column) -> Column:
-    return F.regexp_extract(path, r"(?s)^(.*)/[^/]*$", 1)
+    return F.left(path, F.length(path) - F.length(filename(path)) - 1)
 
 
 def filename(path: Column) -> Column:
@@ -20,12 +20,13 @@ def filename(path: Column) -> Column:
 
 def extension(name: Column) -> Column:
     """What follows the last dot; empty without one."""
-    return F.regexp_extract(name, r"\.([^.]*)$", 1)
+    return F.when(F.contains(name, F.lit(".")), F.substring_index(name, ".", -1)).otherwise(F.when(name.isNotNull(), ""))
 
 
 def stem(name: Column) -> Column:
     """The name without its extension, unless that is all of it (``.hidden``)."""
-    return F.regexp_replace(name, r"(?s)(?<=.)\.[^.]*\z", "")
+    cut = F.length(name) - F.length(F.substring_index(name, ".", -1)) - 1
+    return F.when(F.contains(name, F.lit(".")) & (cut > 0), F.left(name, cut)).otherwise(name)
 
 
 def decomposed(df: DataFrame, path: str = "path") -> DataFrame:
@@ -36,7 +37,7 @@ def decomposed(df: DataFrame, path: str = "path") -> DataFrame:
 
 def without_marker(stem_: Column) -> Column:
     """The stem without a duplicate number of exactly three digits at its end."""
-    return F.regexp_replace(stem_, f"{MARKER}[0-9]{{3}}$", "")
+    return F.when(F.contains(stem_, F.lit(MARKER)), F.regexp_replace(stem_, f"{MARKER}[0-9]{{3}}$", "")).otherwise(stem_)
 
 
 def inherited(stem_: Column, ext: Column) -> Column:

@@ -62,6 +62,21 @@ def group_count(java: str) -> int:
     return len(re.findall(r"\((?!\?)|\(\?<(?![=!])", plain))
 
 
+def optional_groups(java: str) -> int:
+    """How many of an expression's last groups may take no part in a match: those with ``?`` or ``*`` after them, all with an alternation."""
+    plain = re.sub(r"\\.|\[(?:\\.|[^\]\\])*\]", "xx", java)
+    open_, ends = [], []
+    for m in re.finditer(r"\((?!\?)|\(\?<(?![=!])|\(\?|\)", plain):
+        if m[0] != ")":
+            open_.append(len(ends) if m[0] != "(?" else None)
+            if m[0] != "(?":
+                ends.append(0)
+        elif open_ and (k := open_.pop()) is not None:
+            ends[k] = m.end()
+    may_miss = [bool(re.match(r"[?*]|\{0", plain[e:])) or "|" in plain for e in ends]
+    return next((k for k, x in enumerate(reversed(may_miss)) if not x), len(may_miss))
+
+
 def java_replacement(replacement: str, groups: int) -> str:
     r"""``\1``, ``$1``, ``${1}`` and ``$0`` of a replacement for Java; a group that isn't there is empty text."""
 

@@ -7,26 +7,32 @@ from pyspark.sql import functions as F
 
 from filewright.functions import names as N
 
+COLUMNS = ["path", "dir", "filename", "stem", "ext", "t_stem", "t_ext", "group_key", "phase"]
 
-def companions(inventory: DataFrame, primary: DataFrame, group_targets: DataFrame) -> DataFrame:
-    """Files that are in no group but share a grouped file's path without extension, as rows with targets (phase 1).
 
-    primary: rows with targets; group_targets: group_key, g_stem. A file that meets several groups joins the first, by the groups' first
-    paths. Its key is the group's stem with its own extension.
+def companion_target(dir_="dir", stem="t_stem", ext="ext"):
+    """A companion's target: its own directory and extension, the group's stem."""
+    return F.concat(dir_, F.lit("/"), stem, F.lit("."), ext)
+
+
+def companion_key(stem="t_stem", ext="ext"):
+    """A companion's key: the group's stem with its own extension."""
+    return F.concat(stem, F.lit("."), ext)
+
+
+def with_companions(rows: DataFrame) -> DataFrame:
+    """Grouped files (phase 0), and their companions (phase 1): files in no group that share a grouped file's path without extension.
+
+    rows: all files with targets, group_key null where a file is in no group. A companion takes the stem of its group's first target, and its
+    key is that stem with its own extension. A file that meets several groups joins the first, by the groups' first paths. Two windows
+    do it, over the key (files without one are spread by path) and over the path without extension, so files are read once.
     """
-    rest = N.decomposed(inventory).join(primary.select("path"), "path", "left_anti").withColumn("pair", N.pair_stem(F.col("path")))
-    first = F.min("path").over(Window.partitionBy("group_key"))
-    known = primary.select("group_key", "path").withColumns({"group_first": first, "pair": N.pair_stem(F.col("path"))}).withColumnRenamed("path", "mate")
-    known = known.join(group_targets.select("group_key", "g_stem"), "group_key").drop("group_key")
-    met = rest.join(known, "pair")
-    best = met.withColumn("nth", F.row_number().over(Window.partitionBy("path").orderBy("group_first", "mate"))).where("nth = 1")
-    rows = best.withColumns({"t_stem": F.col("g_stem"), "t_ext": F.col("ext"), "phase": F.lit(1)})
-    return rows.withColumn("group_key", F.concat("t_stem", F.lit("."), "t_ext")).drop("pair", "group_first", "mate", "g_stem", "nth")
-
-
-def with_companions(inventory: DataFrame, primary: DataFrame) -> DataFrame:
-    """The primary rows and their companions."""
-    w = Window.partitionBy("group_key").orderBy("path")
-    groups = primary.withColumn("nth", F.row_number().over(w)).where("nth = 1").select("group_key", F.col("t_stem").alias("g_stem"))
-    columns = ["path", "dir", "filename", "stem", "ext", "t_stem", "t_ext", "group_key", "phase"]
-    return primary.select(*columns).unionByName(companions(inventory, primary, groups).select(*columns))
+    group = Window.partitionBy(F.coalesce("group_key", F.concat(F.lit("\0"), "path"))).orderBy("path")
+    first = rows.withColumns({"group_first": F.first("path").over(group), "g_stem": F.first("t_stem").over(group), "pair": N.pair_stem(F.col("path"))})
+    mate = F.when(F.col("group_key").isNotNull(), F.struct("group_first", "path", "g_stem"))
+    met = first.withColumn("mate", F.min(mate).over(Window.partitionBy("pair"))).where("group_key is not null or mate is not null")
+    alone = F.col("group_key").isNull()
+    stem = F.when(alone, F.col("mate.g_stem")).otherwise(F.col("t_stem"))
+    ext = F.when(alone, F.col("ext")).otherwise(F.col("t_ext"))
+    met = met.withColumns({"t_stem": stem, "t_ext": ext, "phase": alone.cast("int"), "group_key": F.when(alone, companion_key(stem, F.col("ext"))).otherwise(F.col("group_key"))})
+    return met.select(*COLUMNS)

@@ -1,12 +1,15 @@
 """The rename plan: grouping, targets, ordinals and duplicate numbers.
 
 Rows of a group are ordered by (phase, path). All per-group values share one exchange on the group key and one sort; a group
-with many rows streams through the window and spills. Only groups whose numbers are partly taken on disk go
-through a fold, which needs a group's rows together.
+with many rows streams through the window and spills. Groups whose numbers are partly taken on disk stream through
+a counter in order.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -17,15 +20,16 @@ def ordered() -> Window:
     return Window.partitionBy("group_key").orderBy("phase", "path")
 
 
-def with_targets(inventory: DataFrame, new_name: Column, key: Column, source_root: str, target_root: str, nullable_key: bool = True) -> DataFrame:
-    """Adds new_name, target_path, t_stem, t_ext, group_key and phase 0; rows without a name or key go.
+def with_targets(inventory: DataFrame, new_name: Column, key: Column, source_root: str, target_root: str, nullable_key: bool = True, keep_unnamed: bool = False) -> DataFrame:
+    """Adds new_name, target_path, t_stem, t_ext, group_key and phase 0; rows without a name or key go, or stay with null columns.
 
     A key made from the target (``nullable_key`` false) is never null, and not asking saves working the name out again below it.
     """
-    df = N.decomposed(inventory).withColumn("new_name", new_name).where(F.col("new_name").isNotNull())
+    df = N.decomposed(inventory).withColumn("new_name", new_name)
+    df = df if keep_unnamed else df.where(F.col("new_name").isNotNull())
     df = df.withColumns({"target_path": N.target_path(F.col("dir"), F.col("new_name"), source_root, target_root), "t_stem": N.stem(F.col("new_name")), "t_ext": N.extension(F.col("new_name"))})
     df = df.withColumn("group_key", key)
-    return (df.where(F.col("group_key").isNotNull()) if nullable_key else df).withColumn("phase", F.lit(0))
+    return (df.where(F.col("group_key").isNotNull()) if nullable_key and not keep_unnamed else df).withColumn("phase", F.lit(0))
 
 
 def group_targets(rows: DataFrame, source_root: str, target_root: str, own_extension: bool = False) -> DataFrame:
@@ -54,11 +58,11 @@ def with_exists(rows: DataFrame, existing: DataFrame) -> DataFrame:
 
 
 def occupied_numbers(existing: DataFrame) -> DataFrame:
-    """t_dir, g_stem, end_ext, occupied: the duplicate numbers that are on disk, as they would be written."""
+    """t_dir, g_stem, end_ext, number: the duplicate numbers that are on disk, as they would be written."""
     df = N.decomposed(existing.select("path")).withColumn("m", F.regexp_extract("stem", rf"(?s)^(.*){N.MARKER}([0-9]+)$", 2))
     df = df.where("m <> ''").withColumns({"number": F.expr("try_cast(m AS INT)"), "g_stem": F.regexp_extract("stem", rf"(?s)^(.*){N.MARKER}[0-9]+$", 1)})
     df = df.where(F.format_string("%03d", "number") == F.col("m"))
-    return df.groupBy(F.col("dir").alias("t_dir"), "g_stem", F.col("ext").alias("end_ext")).agg(F.array_sort(F.collect_set("number")).alias("occupied"))
+    return df.select(F.col("dir").alias("t_dir"), "g_stem", F.col("ext").alias("end_ext"), "number").distinct()
 
 
 def counted(rows: DataFrame) -> DataFrame:
@@ -68,31 +72,52 @@ def counted(rows: DataFrame) -> DataFrame:
     return rows.withColumn("dup_no", F.when(needs, running))
 
 
-#: A group's rows in order to their numbers: an existing target takes the next free number from the counter on, a later row the counter.
-_FOLD = """
-aggregate(items, named_struct('c', 1, 'out', cast(array() as array<int>)),
-  (acc, x) -> named_struct(
-    'c', CASE WHEN x.exists THEN array_min(array_except(sequence(acc.c, acc.c + size(x.occupied)), x.occupied)) + 1
-              WHEN x.idx > 0 THEN acc.c + 1 ELSE acc.c END,
-    'out', concat(acc.out, array(
-      CASE WHEN x.exists THEN array_min(array_except(sequence(acc.c, acc.c + size(x.occupied)), x.occupied))
-           WHEN x.idx > 0 THEN acc.c END))),
-  acc -> acc.out)
-"""
+def _numbers(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows by group and order (taken numbers first) to the groups' files with their numbers.
+
+    Holds a group's counter and its taken numbers that the counter hasn't passed, not its files.
+    """
+    group, counter, taken = None, 1, {}
+    for batch in batches:
+        paths, numbers = [], []
+        for key, place, number, path, exists, idx in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            if key != group:
+                group, counter, taken = key, 1, {}
+            if number is not None:
+                taken.setdefault(place, set()).add(number)
+                continue
+            n = None
+            if exists:
+                held = taken.get(place, ())
+                while counter in held:
+                    counter += 1
+            if exists or idx > 0:
+                n, counter = counter, counter + 1
+            paths.append(path)
+            numbers.append(n)
+        yield pa.record_batch([pa.array(paths, pa.string()), pa.array(numbers, pa.int32())], names=["path", "dup_no"])
 
 
 def numbered(rows: DataFrame, existing: DataFrame | None) -> DataFrame:
-    """Adds exists and dup_no; with numbers on disk, each existing target takes the next free one."""
+    """Adds exists and dup_no; with numbers on disk, each existing target takes the next free one.
+
+    Groups without taken numbers are counted by the window. Of the others, few as a rule, the files stream through in order behind their taken numbers.
+    """
     if existing is None:
         return counted(rows.withColumn("exists", F.lit(False)))
-    df = with_exists(rows, existing).join(occupied_numbers(existing), ["t_dir", "g_stem", "end_ext"], "left")
-    df = df.withColumn("taken", F.max(F.col("occupied").isNotNull()).over(Window.partitionBy("group_key")))
+    place = ["t_dir", "g_stem", "end_ext"]
+    occupied = occupied_numbers(existing)
+    df = with_exists(rows, existing).join(occupied.select(*place).distinct().withColumn("occupied", F.lit(True)), place, "left")
+    df = df.withColumn("taken", F.max(F.coalesce("occupied", F.lit(False))).over(Window.partitionBy("group_key")))
     free = counted(df.where("not taken")).drop("occupied", "taken")
-    folding = df.where("taken").withColumn("occupied", F.coalesce("occupied", F.expr("cast(array() as array<int>)")))
-    item = F.struct("idx", "phase", "path", "exists", "occupied")
-    folded = folding.groupBy("group_key").agg(F.array_sort(F.collect_list(item)).alias("items")).withColumn("numbers", F.expr(_FOLD))
-    pairs = folded.select(F.explode(F.arrays_zip("items.path", "numbers")).alias("p")).select(F.col("p.path").alias("path"), F.col("p.numbers").alias("dup_no"))
-    return free.unionByName(folding.join(pairs, "path").select(*free.columns))
+    folding = df.where("taken").drop("occupied", "taken")
+    at = F.concat_ws("/", "t_dir", "end_ext")
+    files = folding.select("group_key", at.alias("place"), F.lit(None).cast("int").alias("number"), "path", "exists", "idx")
+    held = folding.select("group_key", *place).distinct().join(occupied, place)
+    held = held.select("group_key", at.alias("place"), "number", F.lit(None).cast("string").alias("path"), F.lit(False).alias("exists"), F.lit(-1).alias("idx"))
+    ordered_ = files.unionByName(held).repartition("group_key").sortWithinPartitions("group_key", "idx")
+    numbers = ordered_.mapInArrow(_numbers, "path string, dup_no int")
+    return free.unionByName(folding.join(numbers, "path").select(*free.columns))
 
 
 def finished(rows: DataFrame, skip_duplicates: bool = False, copy: bool = False) -> DataFrame:

@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
+import os
 from collections.abc import Callable
-from dataclasses import dataclass, field
+from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from filewright.functions import dates, keys, names
@@ -13,8 +14,11 @@ from filewright.functions.patterns import date_pattern, java_regex
 from filewright.operators.collection import filename_matches
 from filewright.operators.pairing import with_companions
 from filewright.operators.plan import rename_plan, with_targets
+from filewright.operators.sink import Outcome, apply_plan
 from filewright.plans.options import RenameOptions
+from filewright.sources import content, inventory
 
+#: The commands' default options.
 DEFAULT_PATTERN, DEFAULT_REPLACEMENT = "/^(.+)(jpeg)$/", "$1jpg"
 DEFAULT_DATE_PATTERN, DEFAULT_DATE_REPLACEMENT = "/^{y}-{m}-{d}.{H}-{i}-{s}(.+)$/", "{Y}-{m}-{d}_{H}-{i}-{s}"
 
@@ -23,7 +27,9 @@ DEFAULT_DATE_PATTERN, DEFAULT_DATE_REPLACEMENT = "/^{y}-{m}-{d}.{H}-{i}-{s}(.+)$
 class RenameQuery:
     """new_name and key are columns over an inventory with name parts (new_name) and targets (key); null drops a row.
 
-    expand may add rows after grouping; own_extension keeps each file's extension; filename_regex filters the scan by raw names.
+    expand may add rows after grouping: it gets all files, with null targets where a file is in no group, and returns the grouped ones;
+    own_extension keeps each file's extension; filename_regex filters the scan by raw names; reads says what is read of a file's bytes
+    (``content_hash`` or ``exif``).
     """
 
     new_name: Column
@@ -32,21 +38,44 @@ class RenameQuery:
     filename_regex: str | None = None
     own_extension: bool = False
     nullable_key: bool = True
-    expand: Callable[[DataFrame, DataFrame], DataFrame] | None = field(default=None)
+    expand: Callable[[DataFrame], DataFrame] | None = None
+    reads: str | None = None
 
-    def rows(self, inventory: DataFrame) -> DataFrame:
-        scanned = inventory
+    def rows(self, files: DataFrame) -> DataFrame:
+        scanned = files
         if self.filename_regex is not None:
-            scanned = filename_matches(names.decomposed(inventory), self.filename_regex).select(*inventory.columns)
-        rows = with_targets(scanned, self.new_name, self.key, self.options.source_dir, self.options.target_root, self.nullable_key)
-        return self.expand(scanned, rows) if self.expand else rows
-
-    def plan(self, inventory: DataFrame, existing: DataFrame | None = None) -> DataFrame:
-        """existing: paths in the target tree at planning time, unfiltered; in place this is the inventory itself."""
-        if existing is None and self.options.target_root == self.options.source_dir:
-            existing = inventory.select("path")
+            scanned = filename_matches(names.decomposed(files), self.filename_regex).select(*files.columns)
+        if self.reads == "content_hash" and "content_hash" not in files.columns:
+            scanned = scanned.withColumn("content_hash", keys.content_key())
+        rows = with_targets(scanned, self.new_name, self.key, self.options.source_dir, self.options.target_root, self.nullable_key, self.expand is not None)
+        return self.expand(rows) if self.expand else rows
+
+    def scan(self, spark: SparkSession) -> DataFrame:
+        """The source directory as the inventory that this command needs: only files whose names pass are opened."""
+        files = inventory.scan(spark, self.options.source_dir)
+        if self.filename_regex is not None:
+            files = filename_matches(names.decomposed(files), self.filename_regex).where("is_file").select(*files.columns)
+        return content.with_read(files, self.reads) if self.reads else files
+
+    def plan(self, files: DataFrame, existing: DataFrame | None = None) -> DataFrame:
+        """existing: paths in the target tree at planning time, unfiltered.
+
+        In place these are ``files`` themselves unless given; another target is scanned unless given.
+        """
         o = self.options
-        return rename_plan(self.rows(inventory), o.source_dir, o.target_root, existing, self.own_extension, o.skip_duplicates, o.copy)
+        if existing is None:
+            existing = files.select("path") if o.target_root == o.source_dir else target_tree(files.sparkSession, o.target_root)
+        return rename_plan(self.rows(files), o.source_dir, o.target_root, existing, self.own_extension, o.skip_duplicates, o.copy)
+
+    def run(self, spark: SparkSession) -> tuple[DataFrame, Outcome | None]:
+        """Scans, plans and, unless it is a dry run, carries the plan out; returns the plan and what was done."""
+        plan = self.plan(self.scan(spark), target_tree(spark, self.options.target_root))
+        return plan, None if self.options.dry_run else apply_plan(plan)
+
+
+def target_tree(spark: SparkSession, root: str) -> DataFrame | None:
+    """The paths below a target directory; None if there is no such directory, so that nothing has to be probed."""
+    return inventory.scan(spark, root).select("path") if os.path.isdir(root) else None
 
 
 def _parts() -> tuple[Column, Column]:
@@ -70,13 +99,14 @@ def date(options: RenameOptions, pattern: str = DEFAULT_DATE_PATTERN, replacemen
 
 
 def content_hash(options: RenameOptions) -> RenameQuery:
-    return RenameQuery(names.inherited(*_parts()), keys.content_key(), options)
+    """The inventory has the content, or a content_hash worked out where the bytes are."""
+    return RenameQuery(names.inherited(*_parts()), F.col("content_hash"), options, reads="content_hash")
 
 
 def exif_date(options: RenameOptions, target_filename_pattern: str = dates.DEFAULT_CAPTURE_FORMAT) -> RenameQuery:
     """The inventory has an exif struct; see sources.exif."""
     name = dates.capture_renamed(F.col("exif.date_time_original"), F.col("exif.sub_sec_time_original"), F.col("ext"), target_filename_pattern)
-    return RenameQuery(name, keys.target_filename_key(), options, own_extension=True, nullable_key=False, expand=with_companions)
+    return RenameQuery(name, keys.target_filename_key(), options, own_extension=True, nullable_key=False, expand=with_companions, reads="exif")
 
 
 #: By the commands' names.

@@ -7,7 +7,7 @@ from dataclasses import dataclass
 
 @dataclass(frozen=True)
 class RenameOptions:
-    """source_dir and target_dir lose trailing slashes; without a target the source is renamed in place."""
+    """source_dir and target_dir lose trailing slashes; without a target the source is renamed in place. A dry run only plans."""
 
     source_dir: str
     target_dir: str | None = None

@@ -59,7 +59,7 @@ def v4(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def v5(spark: SparkSession, sf_dir: str) -> DataFrame:
     df = _table(spark, sf_dir, "pages").withColumn("p", F.regexp_extract("url", r"^[^:]*://[^/?#]*([^?#]*)", 1))
-    return from_table(df.where("p <> '' and not endswith(p, '/')"), F.concat(F.lit("/src/"), "page_id", "p"), content=F.col("html"))
+    return from_table(df, F.concat(F.lit("/src/"), "page_id", "p"), content=F.col("html"))
 
 
 V_SQL = {
@@ -71,7 +71,7 @@ V_SQL = {
     "v4": """SELECT '/src/' || p_brand || '/' || replace(p_name, ' ', '_') || '-duplicate-' ||
   printf('%03d', row_number() OVER (PARTITION BY p_brand, p_name ORDER BY p_partkey)) || '.jpeg' AS path FROM part""",
     "v5": r"""SELECT '/src/' || page_id || p AS path, html AS content FROM
-  (SELECT page_id, html, regexp_extract(url, '^[^:]*://[^/?#]*([^?#]*)', 1) AS p FROM pages) WHERE p <> '' AND NOT ends_with(p, '/')""",
+  (SELECT page_id, html, regexp_extract(url, '^[^:]*://[^/?#]*([^?#]*)', 1) AS p FROM pages)""",
 }
 
 
@@ -282,8 +282,8 @@ def merged(s: SparkSession, d: str) -> DataFrame:
 query("j1_pairing", f"SELECT path, group_key FROM ({COMPANION_ROWS})")(lambda s, d: merged(s, d).where("phase = 1").select("path", "group_key"))
 query("u1_merge", f"SELECT path, group_key, phase FROM ({MERGED_ROWS})")(lambda s, d: merged(s, d).select("path", "group_key", "phase"))
 query("j3_upsert", f"SELECT group_key, count(*) AS n FROM ({MERGED_ROWS}) GROUP BY group_key")(lambda s, d: merged(s, d).groupBy("group_key").agg(F.count("*").alias("n")))
-query("p16_companion_target", f"SELECT path, dir || '/' || t_stem || '.' || ext AS target FROM ({COMPANION_ROWS})")(lambda s, d: merged(s, d).where("phase = 1").select("path", F.concat("dir", F.lit("/"), "t_stem", F.lit("."), "ext").alias("target")))
-query("p17_companion_key", f"SELECT path, t_stem || '.' || ext AS group_key FROM ({COMPANION_ROWS})")(lambda s, d: merged(s, d).where("phase = 1").select("path", "group_key"))
+query("p16_companion_target", f"SELECT path, dir || '/' || t_stem || '.' || ext AS target FROM ({COMPANION_ROWS})")(lambda s, d: merged(s, d).where("phase = 1").select("path", pairing.companion_target().alias("target")))
+query("p17_companion_key", f"SELECT path, t_stem || '.' || ext AS group_key FROM ({COMPANION_ROWS})")(lambda s, d: merged(s, d).where("phase = 1").select("path", pairing.companion_key().alias("group_key")))
 
 # whole commands
 LOWER_ROWS = rows_sql(V_SQL["v1"], f"lower({INHERIT})", "target_path")
@@ -300,6 +300,11 @@ command("cmd_lower", plan_sql(LOWER_ROWS, existing=V_SQL["v1"]), lambda: command
 command("cmd_pattern", plan_sql(PATTERN_ROWS, "/out"), lambda: commands.pattern(ELSEWHERE), v4)
 command("cmd_date_pattern", DATE_PLAN, lambda: commands.date(ELSEWHERE, DATE_WITHOUT_KEY), v3)
 command("cmd_hash", HASH_PLAN, lambda: commands.content_hash(IN_PLACE), v1)
+#: Every seventh document's target is on disk already, without numbers.
+OUT_V1 = "SELECT replace(path, '/src/', '/out/') AS path FROM (" + V_SQL["v1"] + ") WHERE CAST(regexp_extract(path, '([0-9]+)[.]TXT$', 1) AS BIGINT) % 7 = 0"
+query("cmd_hash_existing", f"SELECT {SOME} FROM ({plan_sql(rows_sql(V_SQL['v1'], INHERIT, 'sha256(content)', '/out'), '/out', existing=OUT_V1)})")(
+    lambda s, d: commands.content_hash(ELSEWHERE).plan(v1(s, d), v1(s, d).where("regexp_extract(path, '([0-9]+)[.]TXT$', 1) % 7 = 0").select(F.replace("path", F.lit("/src/"), F.lit("/out/")).alias("path"))).select(*PLAN)
+)
 command("cmd_hash_target", HASH_OUT, lambda: commands.content_hash(ELSEWHERE), v1)
 command("f6_skip_duplicates", HASH_SKIP, lambda: commands.content_hash(SKIPPING), v1)
 command("cmd_exifdate", plan_sql(MERGED_ROWS, existing=V_SQL["v2"], own_ext=True), lambda: commands.exif_date(IN_PLACE), v2)

@@ -13,8 +13,8 @@ SCHEMA = "date_time_original string, sub_sec_time_original string"
 EXIF_DIRECTORY, DATE_TIME_ORIGINAL, SUB_SEC_TIME_ORIGINAL = 0x8769, 0x9003, 0x9291
 
 
-def capture_fields(data: bytes | None) -> tuple[str | None, str | None]:
-    """(DateTimeOriginal, SubSecTimeOriginal), None where missing or malformed."""
+def capture_fields(data) -> tuple[str | None, str | None]:
+    """(DateTimeOriginal, SubSecTimeOriginal) of bytes or a memory map, None where missing or malformed."""
     try:
         tiff = _tiff(data or b"")
         if tiff is None:

@@ -1,7 +1,7 @@
 """File inventories: from a directory tree, or from any table with a path column.
 
-The directory source lists leaves of a tree, hidden ones too, and doesn't follow links to directories (such a link is a leaf). Each
-sub-directory below the root is a partition. ``columns`` says what is read of a file, so a listing never opens one.
+The directory source lists leaves of a tree, hidden ones too, and doesn't follow links to directories (such a link is a leaf). A tree is divided
+into subtrees, each a partition. ``columns`` says what is read of a file, so a listing never opens one.
 """
 
 from __future__ import annotations
@@ -23,20 +23,25 @@ class Subtree(InputPartition):
         self.path, self.deep = path, deep
 
 
+#: Subtrees that a scan is divided into, if the tree has so many directories.
+SUBTREES = 64
+
+
 class _Reader(DataSourceReader):
     def __init__(self, options: dict):
         self.root = options["path"].rstrip("/") or "/"
-        self.pattern = options.get("filename_regex")
         self.content = options.get("columns", "listing") == "content"
 
     def partitions(self) -> list[Subtree]:
-        below = sorted(e.path for e in os.scandir(self.root) if e.is_dir(follow_symlinks=False))
-        return [Subtree(self.root, False), *(Subtree(p, True) for p in below)]
+        """Directories are divided into their own files and their sub-directories, level by level, until there are enough subtrees."""
+        done, below = [], [self.root]
+        while below and len(done) + len(below) < SUBTREES:
+            deeper = [e.path for d in below for e in os.scandir(d) if e.is_dir(follow_symlinks=False)]
+            done += [Subtree(d, False) for d in below]
+            below = sorted(deeper)
+        return done + [Subtree(d, True) for d in below]
 
     def read(self, partition: Subtree) -> Iterator[tuple]:
-        import re
-
-        wanted = re.compile(self.pattern).search if self.pattern else None
         stack = [partition.path]
         while stack:
             for e in os.scandir(stack.pop()):
@@ -45,8 +50,6 @@ class _Reader(DataSourceReader):
                         stack.append(e.path)
                     continue
                 regular = e.is_file()
-                if wanted and not (regular and wanted(e.name)):
-                    continue
                 row = (e.path, e.stat().st_size if regular else None, regular)
                 if self.content:
                     data = None
@@ -74,11 +77,10 @@ class FileInventory(DataSource):
         return _Reader(dict(self.options))
 
 
-def scan(spark: SparkSession, root: str, content: bool = False, filename_regex: str | None = None) -> DataFrame:
-    """A directory tree as an inventory; a filter on file names is applied while listing."""
+def scan(spark: SparkSession, root: str, content: bool = False) -> DataFrame:
+    """A directory tree as an inventory. With ``content``, small files' bytes come along; ``sources.content`` reads large ones in place."""
     spark.dataSource.register(FileInventory)
-    reader = spark.read.format("file_inventory").option("columns", "content" if content else "listing")
-    return (reader.option("filename_regex", filename_regex) if filename_regex else reader).load(root)
+    return spark.read.format("file_inventory").option("columns", "content" if content else "listing").load(root)
 
 
 def from_table(df: DataFrame, path: Column, content: Column | None = None, exif: Column | None = None) -> DataFrame:

@@ -1,12 +1,15 @@
+import hashlib
 import os
 import struct
 
 import pytest
 from pyspark.sql import functions as F
 
-from filewright.operators.sink import PlanError, apply_plan
+from filewright.__main__ import main
+from filewright.operators.sink import PlanError, apply_on_executors, apply_plan, transfer
 from filewright.plans import commands
 from filewright.plans.options import RenameOptions
+from filewright.sources.content import with_read
 from filewright.sources.exif import capture_fields, exif
 from filewright.sources.inventory import scan
 
@@ -53,8 +56,82 @@ def test_scan(spark, tmp_path):
     os.symlink("nowhere", f"{tmp_path}/broken")
     got = {os.path.relpath(r.path, tmp_path): (r.is_file, r.length) for r in scan(spark, str(tmp_path)).collect()}
     assert got == {"a.txt": (True, 1), ".hidden": (True, 1), ".dir/x": (True, 1), "_d/y.txt": (True, 1), "d/e/z.TXT": (True, 1), "link": (False, None), "broken": (False, None)}
-    got = {os.path.basename(r.path): bytes(r.content) for r in scan(spark, str(tmp_path), content=True, filename_regex=r"\.txt$").collect()}
-    assert got == {"a.txt": b"1", "y.txt": b"4"}
+    got = {os.path.basename(r.path): bytes(r.content) for r in scan(spark, str(tmp_path), content=True).where("is_file").collect()}
+    assert got == {"a.txt": b"1", ".hidden": b"2", "x": b"3", "y.txt": b"4", "z.TXT": b"5"}
+
+
+def test_deep_trees_are_read_by_several_tasks(spark, tmp_path):
+    write(tmp_path, {f"only/one/d{i}/e{k}/f.txt": b"x" for i in range(6) for k in range(3)})
+    found = scan(spark, str(tmp_path))
+    assert found.count() == 18 and found.rdd.getNumPartitions() > 10
+
+
+def test_bytes_are_read_where_the_files_are(spark, tmp_path, monkeypatch):
+    write(tmp_path, {"a.jpg": image("2024:01:20 12:10:05", "555"), "b.tif": image("2024:01:20 12:10:05")[12:-2], "c.txt": b"", "d.txt": b"x" * 100})
+    os.symlink("nowhere", f"{tmp_path}/broken")
+    hashes = {os.path.basename(r.path): r.content_hash for r in with_read(scan(spark, str(tmp_path)), "content_hash").collect()}
+    assert hashes["d.txt"] == hashlib.sha256(b"x" * 100).hexdigest() and hashes["broken"] is None and len(hashes) == 5
+    fields = {os.path.basename(r.path): tuple(r.exif) for r in with_read(scan(spark, str(tmp_path)), "exif").collect()}
+    assert fields == {"a.jpg": ("2024:01:20 12:10:05", "555"), "b.tif": ("2024:01:20 12:10:05", None), "c.txt": (None, None), "d.txt": (None, None), "broken": (None, None)}
+
+
+def read(path):
+    with open(path, "rb") as f:
+        return f.read()
+
+
+@pytest.mark.parametrize("copy", [True, False])
+def test_files_in_the_target_keep_their_bytes(spark, tmp_path, copy):
+    root, out = str(tmp_path / "in"), str(tmp_path / "out")
+    write(root, {"a/x.j": b"new", "a/y.j": b"other"})
+    write(out, {"a/x.j": b"precious old"})
+    apply_plan(commands.content_hash(RenameOptions(root, out, copy=copy)).plan(scan(spark, root, content=True)))
+    assert tree(out) == {"a/x.j", "a/x-duplicate-001.j", "a/y.j"}
+    assert read(f"{out}/a/x.j") == b"precious old" and read(f"{out}/a/x-duplicate-001.j") == b"new"
+
+
+def test_transfer_refuses_a_target_that_is_there(tmp_path):
+    write(tmp_path, {"a": b"new", "b": b"old", "same": b"new"})
+    a, b, same = (str(tmp_path / n) for n in ("a", "b", "same"))
+    for copy in (True, False):
+        with pytest.raises(PlanError):
+            transfer(a, b, copy)
+    assert read(b) == b"old" and read(a) == b"new"
+    transfer(a, same, copy=True)  # copied already
+    transfer(a, b, overwrite=True)
+    assert read(b) == b"new" and not os.path.exists(a)
+
+
+def test_numbers_that_are_not_checked_do_not_overwrite(spark, tmp_path):
+    """A second file's number isn't looked up on disk (Q7): the plan names a file that is there, and the sink refuses."""
+    root, out = str(tmp_path / "in"), str(tmp_path / "out")
+    write(root, {"a/x.j": b"same", "a/y.j": b"same"})
+    write(out, {"a/x-duplicate-001.j": b"precious"})
+    plan = commands.content_hash(RenameOptions(root, out, copy=True)).plan(scan(spark, root, content=True))
+    outcome = apply_plan(plan, on_error="continue")
+    assert outcome.done == 1 and len(outcome.failed) == 1 and read(f"{out}/a/x-duplicate-001.j") == b"precious"
+
+
+def test_executors_carry_out_a_plan(spark, tmp_path):
+    root, out = str(tmp_path / "in"), str(tmp_path / "out")
+    write(root, {f"d{i}/x{i}.j": str(i % 7).encode() for i in range(20)})
+    plan = commands.lower(RenameOptions(root, out, copy=True)).plan(scan(spark, root))
+    for _ in range(2):  # again: done already
+        assert [r.failure for r in apply_on_executors(plan).collect()] == [None] * 20
+    assert len(tree(out)) == 20
+    clash = plan.withColumn("target_path", F.lit(f"{out}/one"))
+    assert all(r.failure for r in apply_on_executors(clash).collect())
+
+
+def test_command_line(spark, tmp_path, capsys):
+    root, out = str(tmp_path / "in"), str(tmp_path / "out")
+    write(root, {"A.JPEG": b"1", "b.jpeg": b"2", "18-12-31 22-15-00.jpg": b"3"})
+    assert main(["rename:pattern", root, out, "--copy", "--dry-run"], spark) == 0
+    assert not os.path.exists(out) and "b.jpg" in capsys.readouterr().out
+    assert main(["rename:pattern", root, out, "-c"], spark) == 0 and tree(out) == {"b.jpg"}
+    assert main(["rename:date-pattern", root, out, "-c"], spark) == 0 and tree(out) == {"b.jpg", "2018-12-31_22-15-00.jpg"}
+    assert main(["rename:lower", root], spark) == 0 and tree(root) == {"a.jpeg", "b.jpeg", "18-12-31 22-15-00.jpg"}
+    assert main(["rename:hash", root, "--copy"], spark) == 1 and main(["rename:pattern", root, out, "-p", "bad"], spark) == 1
 
 
 def test_dry_run_move_and_copy(spark, tmp_path):

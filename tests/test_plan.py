@@ -4,8 +4,11 @@ import re
 import pytest
 from model import rename, split
 
+from filewright.functions.names import decomposed
+from filewright.operators.collection import sliced
 from filewright.plans import commands
 from filewright.plans.options import RenameOptions
+from filewright.sources.inventory import scan_order
 
 
 def inventory(spark, files):
@@ -54,6 +57,73 @@ def test_documented_examples(spark):
     assert {k: v[0] for k, v in planned(commands.date(o).plan(df)).items()} == {"/r/18-12-31 22-15-00.jpg": "/t/2018-12-31_22-15-00.jpg", "/r/23-02-31 25-61-00.jpg": "/t/2023-03-04_02-01-00.jpg"}
 
 
+@pytest.mark.parametrize("name, pattern, replacement, expected", [
+    ("20-01-02,21-03-04", "/{y}-{m}-{d}/", "{Y}{m}{d}", "2020010202,2021030404."),  # without a group of its own the last part comes again
+    ("20-01-02,21-03-04.j", r"/{y}-{m}-{d}(,?)/", "{Y}{m}{d}", "20200102,20210304.j"),
+    ("20-01-02x.j", r"/{y}-{m}-{d}(x)(y)?/", "{Y}", "2020x.j"),
+    ("20-01-02xy.j", r"/{y}-{m}-{d}(x)(y)?/", "{Y}", "2020y.j"),
+    ("none.j", "/{y}-{m}-{d}/", "{Y}", None),
+])
+def test_every_match_of_a_date_pattern(spark, name, pattern, replacement, expected):
+    df = inventory(spark, [("/r/" + name, "")])
+    got = {k: v[0] for k, v in planned(commands.date(RenameOptions("/r", "/t"), pattern, replacement).plan(df)).items()}
+    assert got == ({"/r/" + name: "/t/" + expected} if expected else {})
+
+
+@pytest.mark.parametrize("name, stem, ext, directory", [("/a/b.c", "b", "c", "/a"), ("/a/.b", ".b", "b", "/a"), ("/a/b", "b", "", "/a"), ("/a/b.", "b", "", "/a"), ("/a/", "", "", "/a"), ("b.c.d", "b.c", "d", ""), ("/a/..", ".", "", "/a"), ("/a/.", ".", "", "/a")])
+def test_name_parts(spark, name, stem, ext, directory):
+    row = decomposed(inventory(spark, [(name, "")])).first()
+    assert (row.stem, row.ext, row.dir) == (stem, ext, directory) and split(row.filename) == (stem, ext)
+
+
+def test_companions_of_several_groups_and_none(spark):
+    date = lambda s: (f"2024:01:20 12:10:0{s}", None)
+    rows = [("/r/a/I.JPG", date(1)), ("/r/a/I.HEIC", date(2)), ("/r/a/I.mov", None), ("/r/a/alone.mov", None), ("/r/b/K.JPG", date(2)), ("/r/b/K", None)]
+    df = spark.createDataFrame(rows, "path string, exif struct<date_time_original:string,sub_sec_time_original:string>")
+    got = {k: v[0] for k, v in planned(commands.exif_date(RenameOptions("/r")).plan(df)).items()}
+    name = "2024-01-20_12-10-0"
+    assert got == {
+        "/r/a/I.HEIC": f"/r/a/{name}2-000.HEIC", "/r/a/I.JPG": f"/r/a/{name}1-000.JPG", "/r/b/K.JPG": f"/r/b/{name}2-000.JPG",
+        "/r/a/I.mov": f"/r/a/{name}2-000.mov", "/r/b/K": f"/r/b/{name}2-000.",
+    }
+
+
+def test_ordered_results(spark):
+    """The sort and the scan order give rows in order."""
+    df = inventory(spark, [(f"/r/{n}", "") for n in ("b", "a", "c/a", "B", "é")])
+    assert [r.path for r in scan_order(df).collect()] == ["/r/B", "/r/a", "/r/b", "/r/c/a", "/r/é"]
+    assert [r.path for r in sliced(df, ["path"], -2).collect()] == ["/r/c/a", "/r/é"]
+    assert [r.path for r in sliced(df, ["path"], 1, -2).collect()] == ["/r/a", "/r/b"]
+
+
+def test_plans_read_once(spark):
+    """One scan and one pass of the pattern for dates; one scan for companions."""
+    df = inventory(spark, [("/r/20-01-02 10-11-12.j", "")])
+    plan = lambda q, df: q.plan(df)._jdf.queryExecution().executedPlan().toString()
+    text = plan(commands.date(RenameOptions("/r", "/t")), df)
+    assert text.count("regexp_extract") == 0 and len(set(re.findall(r"regexp_replace\([^,]*, \^\(", text))) <= 2
+    exif = spark.createDataFrame([("/r/a.j", ("2024:01:20 12:10:05", None))], "path string, exif struct<date_time_original:string,sub_sec_time_original:string>")
+    assert plan(commands.exif_date(RenameOptions("/r", "/t")), exif).count("Scan ExistingRDD") <= 1
+
+
+@pytest.mark.parametrize("q, files, target, expected", [
+    ("Q6", ["a/ba/a/x.j"], "t", {"a/ba/a/x.j": "t/b/x.j"}),
+    ("Q10", ["20-01-02.j"], "{Y}_d", {"20-01-02.j": "2020_02.j"}),
+    ("Q11", ["20-01-02.j"], "{Y}", {"20-01-02.j": "2020.j"}),
+    ("Q13", ["20-01-02-duplicate-001.j"], "{Y}", {"20-01-02-duplicate-001.j": "2020.j"}),
+])
+def test_quirks(spark, q, files, target, expected):
+    df = inventory(spark, [(f, "x") for f in files])
+    if q == "Q6":  # the source root's text goes wherever it stands
+        command = commands.content_hash(RenameOptions("a", "t"))
+    elif q == "Q13":  # the filter sees the marked name, the replacement the plain one
+        command = commands.date(RenameOptions("", "/"), "/^{y}-{m}-{d}(-duplicate-001)?(\\.j)$/", target)
+    else:
+        command = commands.date(RenameOptions("", "/"), "/^{y}-{m}-{d}(\\.j)$/", target)
+    got = {k: v[0].lstrip("/") for k, v in planned(command.plan(df)).items()}
+    assert got == expected
+
+
 @pytest.mark.parametrize("sub, expected", [("555", "12-10-05-555"), ("1234", "12-10-06-234"), ("123456", "12-10-05-123"), ("", "12-10-05-000"), (None, "12-10-05-000"), ("5", "12-10-05-005")])
 def test_capture_time(spark, sub, expected):
     rows = [("/r/a/I.JPG", ("2024:01:20 12:10:05", sub)), ("/r/a/I.mov", None), ("/r/b/I.mov", None), ("/r/a/bad.JPG", ("0000:00:00 00:00:00", None))]

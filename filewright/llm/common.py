@@ -15,10 +15,12 @@ from pyspark.sql import functions as F
 def shared_dir(spark: SparkSession, label: str) -> str:
     """A new folder below ``spark.checkpoint.dir``, which driver and executors share.
 
-    Only where the session names no such folder (tests, one machine) is a temporary one made.
+    Only on one machine (tests), where the session names no such folder, is a temporary one made.
     """
     base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not base:
+        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         base = "file://" + tempfile.mkdtemp(prefix="checkpoint-")
         spark.sparkContext.setCheckpointDir(base)
     return f"{base.rstrip('/')}/{label}-{uuid.uuid4().hex}"
@@ -40,6 +42,25 @@ def drop_staged(df: DataFrame) -> None:
         path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
+#: Plans of these nodes read files, or rows given by hand, in one order whenever they run.
+REPEATABLE = {"Project", "Filter", "LogicalRelation", "LocalRelation", "LogicalRDD", "SubqueryAlias", "View"}
+
+
+def repeatable(df: DataFrame) -> DataFrame:
+    """``df`` if its rows have the same numbers whenever it runs (a scan, with projections and filters); else ``df`` written once.
+
+    Operators that know rows by their number in the scan read their input through this.
+    """
+    nodes, stack = set(), [df._jdf.queryExecution().analyzed()]
+    plan = stack[0]
+    while stack:
+        node = stack.pop()
+        nodes.add(node.nodeName())
+        below = node.children()
+        stack += [below.apply(i) for i in range(below.size())]
+    return df if nodes <= REPEATABLE and plan.deterministic() else staged(df, "input")
+
+
 def filesystem(uri: str):
     """(pyarrow file system, path in it) of a folder; local folders can be memory-mapped."""
     from pyarrow import fs

@@ -19,8 +19,8 @@ match become rows; a larger benchmark meets all windows as rows. The benchmark's
 drop. Documents are read once for templates and once for literal windows, and again only where matched windows hold placeholders.
 
 Defined results: null and empty texts match nothing; repeated rows match
-alike; items with equal texts each match; empty tables give no rows; other columns are ignored. ``docs`` must be a plan that yields the same
-rows when run again (a file scan, a written table).
+alike; items with equal texts each match; empty tables give no rows; other columns are ignored. A frame that isn't a
+scan is written once, so that rows keep their numbers.
 """
 
 from __future__ import annotations
@@ -28,7 +28,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from filewright.llm.common import numbered, staged, table, text_or_empty
+from filewright.llm.common import numbered, repeatable, staged, table, text_or_empty
 
 WINDOW, ENOUGH = 5, 9
 #: Placeholders that a window may hold.
@@ -162,7 +162,7 @@ def _literal(rows: DataFrame, items: DataFrame) -> DataFrame:
 
 def leaks(docs: DataFrame, benchmark: DataFrame, text_column: str = "text", item_text_column: str = "text", item_id_column: str = "item_id") -> DataFrame:
     """row (number in the scan), item_id, matched, windows: the items that leak into each document."""
-    rows = docs.select(F.monotonically_increasing_id().alias("row"), text_or_empty(text_column).alias("text"))
+    rows = repeatable(docs).select(F.monotonically_increasing_id().alias("row"), text_or_empty(text_column).alias("text"))
     items = staged(benchmark.select(F.monotonically_increasing_id().alias("item"), F.col(item_id_column).alias("item_id"), text_or_empty(item_text_column).alias("item_text")), "items")
     own = staged(_slots(items, "item", F.col("item_text")).withColumnRenamed("value", "item_value"), "item_slots")
     before = F.explode(F.array(*[F.col("place") - k for k in range(WINDOW)]))
@@ -198,6 +198,7 @@ def leaks(docs: DataFrame, benchmark: DataFrame, text_column: str = "text", item
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """The rows of ``docs`` into which no item leaks, with all their columns."""
+    docs = repeatable(docs)
     rows, row = numbered(docs)
     gone = staged(leaks(docs, benchmark).select(F.col("row").alias(row)).distinct(), "leaking")
     return rows.join(_sized(gone), row, "left_anti").drop(row)

@@ -19,8 +19,8 @@ on the input, and overlaps count.
 Combining before a shuffle: a task sends one run of each (anchor, content) a batch to be compared; its further copies are known to be repeats.
 
 Defined results: null and empty texts have no bytes; texts of fewer than 100 bytes lose none; repeated rows are copies, of which the first in
-the scan stays; an empty table gives no rows; other columns are ignored. ``docs`` must be a plan that yields the
-same rows when run again (a file scan, a written table).
+the scan stays; an empty table gives no rows; other columns are ignored. A frame that isn't a scan is
+written once, so that rows keep their numbers.
 """
 
 from __future__ import annotations
@@ -33,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from filewright.llm.common import partitions, staged, table, text_or_empty
+from filewright.llm.common import partitions, repeatable, staged, table, text_or_empty
 
 LENGTH, GRAM = 100, 32
 WINDOWS = LENGTH - GRAM + 1
@@ -403,7 +403,7 @@ def merged(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
 
 def _ordered(docs: DataFrame, id_column: str, text_column: str) -> tuple[DataFrame, bool]:
     """key (the place in the order of documents), doc_id, text; whether the key is the id itself, as where ids are unique and not null."""
-    rows = docs.select(F.monotonically_increasing_id().alias("row"), F.col(id_column).cast("long").alias("doc_id"), text_or_empty(text_column).alias("text"))
+    rows = repeatable(docs).select(F.monotonically_increasing_id().alias("row"), F.col(id_column).cast("long").alias("doc_id"), text_or_empty(text_column).alias("text"))
     ids = rows.select("doc_id").groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1 or doc_id is null")
     if ids.isEmpty():
         return rows.select(F.col("doc_id").alias("key"), "doc_id", "text"), True

@@ -54,7 +54,8 @@ class ByteBpe:
 
     A pre-token's ids don't depend on its neighbours, so texts are cut into pre-tokens by the file's own published
     pattern, written here for Latin-1 text without superscripts, fractions and separator controls: ``LETTER`` is its
-    ``\\p{L}``, ``SPACE`` its ``\\s``. Any other text goes to the library whole.
+    ``\\p{L}``, ``SPACE`` its ``\\s``. Any other text goes to the library whole, and so does one that holds an added token's string
+    (``<|endoftext|>``), which the library takes for that token.
     """
 
     LETTER, SPACE = "A-Za-zªµºÀ-ÖØ-öø-ÿ", r"\t-\r \x85\xa0"
@@ -65,7 +66,7 @@ class ByteBpe:
         from tokenizers import Tokenizer, pre_tokenizers
 
         self.whole, self.pieces = Tokenizer.from_file(path), Tokenizer.from_file(path)
-        self.whole.encode_special_tokens = self.pieces.encode_special_tokens = True
+        self.added = [t.content for t in self.whole.get_added_tokens_decoder().values()]
         self.pieces.pre_tokenizer = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
         self.limit, self.end_id = memo, end_id
         self.numbers = _Numbers()
@@ -75,6 +76,8 @@ class ByteBpe:
         self.numbers.next = 1
 
     def _plain(self, text: str) -> bool:
+        if any(x in text for x in self.added):
+            return False
         try:
             raw = text.encode("latin-1")
         except UnicodeEncodeError:

@@ -9,7 +9,7 @@ from data import awkward, frame
 from tokenizers import Tokenizer
 
 from filewright.llm.common import filesystem, shared_dir
-from filewright.llm.token_files import ByteBpe, byte_bpe, open_array, read_token_files, vocabulary_size, write_token_files
+from filewright.llm.token_files import ByteBpe, byte_bpe, op1_token_files, open_array, read_token_files, vocabulary_size, write_token_files
 
 PATH = public_tokenizers.path("byte_bpe_50k.json")
 
@@ -17,13 +17,12 @@ PATH = public_tokenizers.path("byte_bpe_50k.json")
 @pytest.fixture(scope="module")
 def library():
     t = Tokenizer.from_file(PATH)
-    t.encode_special_tokens = True
     return lambda text: t.encode(text or "", add_special_tokens=False).ids
 
 
 @pytest.mark.parametrize("memo", [0, 5, 100_000])
 def test_encoder_equals_the_library(library, memo):
-    texts = [t or "" for _, t in awkward()] + ["it's 'tis we've DON'T", " lead  and\n\n trail ", "<|endoftext|>", "foo_bar __ 1a2", "x\x85y\xa0z"]
+    texts = [t or "" for _, t in awkward()] + ["it's 'tis we've DON'T", " lead  and\n\n trail ", "<|endoftext|>", "a <|endoftext|> b", "é<|endoftext|>x", "<|endoftext", "foo_bar __ 1a2", "x\x85y\xa0z"]
     encode = ByteBpe(PATH, 0, memo)
     for _ in range(2):
         ids, lengths = encode(texts)
@@ -56,3 +55,13 @@ def test_empty(spark):
     folder = shared_dir(spark, "test")
     assert write_token_files(frame(spark, []), folder, partial(byte_bpe, PATH, 0), 50257)["parts"] == []
     assert read_token_files(spark, folder).count() == 0
+
+
+def test_query_columns(spark, sf_dir, library):
+    got = {r.doc_id: r for r in op1_token_files(spark, sf_dir).collect()}
+    docs, start = spark.read.parquet(f"{sf_dir}/documents.parquet").orderBy("doc_id").collect(), 0
+    for d in docs:
+        ids = np.array(library(d.text) + [0], "<u4")
+        r = got[d.doc_id]
+        assert (r.start, r.n_tokens, r.ids_crc32) == (start, len(ids), zlib.crc32(ids.tobytes()))
+        start += len(ids)

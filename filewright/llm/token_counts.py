@@ -17,14 +17,14 @@ from __future__ import annotations
 
 import base64
 import uuid
-from collections.abc import Iterator
-from functools import lru_cache
+from collections.abc import Callable, Iterator
+from functools import lru_cache, partial
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from filewright.llm.common import shared_dir, table, text_or_empty
+from filewright.llm.common import shared_dir, staged, table, text_or_empty
 
 DELTA = "source string, lang string, tokenizer string, docs long, tokens long"
 
@@ -69,54 +69,62 @@ class TokenLedger:
         return sums.where((F.col("docs") != 0) | (F.col("tokens") != 0))
 
 
-def words_v1() -> Column:
-    """Runs of characters other than white space."""
-    return F.size(F.array_remove(F.split(F.col("text"), r"\s+"), "")).cast("long")
-
-
-def words_v2() -> Column:
-    """Runs of letters, marks and digits, which leave punctuation out."""
-    return F.size(F.array_remove(F.split(F.col("text"), r"[^\p{L}\p{M}\p{N}]+"), "")).cast("long")
-
-
-@lru_cache(maxsize=1)
-def _byte_bpe(path: str, pattern: str):
+@lru_cache(maxsize=4)
+def byte_bpe(path: str, pattern: str):
+    """The counting function of a byte-level BPE given as ranks."""
     import tiktoken
 
     with open(path, "rb") as f:
         ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
-    return tiktoken.Encoding("byte_bpe", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
+    encoding = tiktoken.Encoding("byte_bpe", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
+    return lambda texts: [len(encoding.encode_ordinary(x)) for x in texts]
 
 
-def counted(docs: DataFrame, tokenizer: str, count: Column, sign: int = 1) -> DataFrame:
-    """Signed rows of a version whose count is a column over ``text``."""
-    rows = docs.select("source", "lang", text_or_empty().alias("text"))
-    return rows.select("source", "lang", F.lit(tokenizer).alias("tokenizer"), count.alias("tokens"), F.lit(sign).alias("sign"))
+@lru_cache(maxsize=4)
+def pieces(path: str):
+    """The counting function of a SentencePiece model."""
+    import sentencepiece
 
+    model = sentencepiece.SentencePieceProcessor(model_file=path)
+    return lambda texts: [len(x) for x in model.encode(texts, num_threads=1)]
 
-def counted_bpe(docs: DataFrame, tokenizer: str, path: str, pattern: str, sign: int = 1) -> DataFrame:
-    """Signed rows of a byte-level BPE given as ranks."""
+
+def token_counts(docs: DataFrame, tokenizers: dict[str, Callable[[], Callable[[list[str]], list[int]]]]) -> DataFrame:
+    """source, lang and a column of counts for each tokenizer version; texts are read once for all.
+
+    tokenizers: by version, what makes on the executor the function from texts to their numbers of tokens.
+    """
+    schema = pa.schema([("source", pa.string()), ("lang", pa.string()), *((name, pa.int64()) for name in tokenizers)])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = _byte_bpe(path, pattern).encode_ordinary
+        count = [make() for make in tokenizers.values()]
         for batch in batches:
-            sizes = [len(encode(text.as_py())) for text in batch.column(2)]
-            yield pa.record_batch([batch.column(0), batch.column(1), pa.array(sizes, pa.int64())], names=["source", "lang", "tokens"])
+            for i in range(0, batch.num_rows, 256):
+                some = batch.slice(i, 256)
+                texts = some.column(2).to_pylist()
+                yield pa.record_batch([*some.columns[:2], *(pa.array(c(texts), pa.int64()) for c in count)], schema=schema)
+
+    kind = "source string, lang string, " + ", ".join(f"`{name}` long" for name in tokenizers)
+    return docs.select("source", "lang", text_or_empty().alias("text")).mapInArrow(run, kind)
+
 
-    rows = docs.select("source", "lang", text_or_empty().alias("text")).mapInArrow(run, "source string, lang string, tokens long")
-    return rows.select("source", "lang", F.lit(tokenizer).alias("tokenizer"), "tokens", F.lit(sign).alias("sign"))
+def signed(counts: DataFrame, tokenizer: str, sign: int = 1) -> DataFrame:
+    """The rows of ``token_counts`` under one version, inserted or (-1) deleted."""
+    return counts.select("source", "lang", F.lit(tokenizer).alias("tokenizer"), F.col(f"`{tokenizer}`").alias("tokens"), F.lit(sign).alias("sign"))
 
 
 def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Inserts all documents under two versions, revises one version, sends each batch again, and returns the totals."""
-    import public_tokenizers
+    """Inserts all documents under two tokenizer versions, revises one to a third, sends each batch again, and returns the totals."""
+    import public_tokenizers as public
 
-    docs = table(spark, sf_dir, "documents")
-    ledger = TokenLedger(spark, shared_dir(spark, "token_counts"))
+    versions = {name: partial(byte_bpe, public.path(f"{name}.tiktoken"), public.PATTERN) for name in ("byte_bpe_50k", "byte_bpe_multi_50k")}
+    versions["piece_bpe_32k"] = partial(pieces, public.path("piece_bpe_32k.model"))
+    counts = staged(token_counts(table(spark, sf_dir, "documents"), versions), "token_counts")
+    ledger = TokenLedger(spark, shared_dir(spark, "ledger"))
     batches = {
-        "insert words-1": counted(docs, "words-1", words_v1()),
-        "insert byte_bpe_50k": counted_bpe(docs, "byte_bpe_50k", public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN),
-        "revise words-1 to words-2": counted(docs, "words-1", words_v1(), -1).unionByName(counted(docs, "words-2", words_v2())),
+        "insert byte_bpe_50k": signed(counts, "byte_bpe_50k"),
+        "insert piece_bpe_32k": signed(counts, "piece_bpe_32k"),
+        "revise byte_bpe_50k to byte_bpe_multi_50k": signed(counts, "byte_bpe_50k", -1).unionByName(signed(counts, "byte_bpe_multi_50k")),
     }
     for _ in range(2):
         for name, rows in batches.items():

@@ -1,39 +1,55 @@
-import re
 from collections import Counter
+from functools import partial
 
 import public_tokenizers
+import sentencepiece
 from data import awkward, frame
 from tokenizers import Tokenizer
 
 from filewright.llm.common import shared_dir
-from filewright.llm.token_counts import TokenLedger, counted, counted_bpe, words_v1, words_v2
+from filewright.llm.token_counts import TokenLedger, byte_bpe, op9_token_counts, pieces, signed, token_counts
+
+VERSIONS = {"bpe": partial(byte_bpe, public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN), "piece": partial(pieces, public_tokenizers.path("piece_bpe_32k.model"))}
 
 
 def totals(ledger):
     return {(r.source, r.lang, r.tokenizer): (r.docs, r.tokens) for r in ledger.totals().collect()}
 
 
+def expected(texts, names):
+    bpe = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    bpe.encode_special_tokens = True
+    model = sentencepiece.SentencePieceProcessor(model_file=public_tokenizers.path("piece_bpe_32k.model"))
+    count = {"bpe": lambda t: len(bpe.encode(t, add_special_tokens=False).ids), "piece": lambda t: len(model.encode(t))}
+    out = Counter()
+    for source, lang, text in texts:
+        for name in names:
+            n = out.get((source, lang, name), (0, 0))
+            out[source, lang, name] = (n[0] + 1, n[1] + count[name](text or ""))
+    return dict(out)
+
+
 def test_batches(spark):
     texts = awkward()
     df = frame(spark, texts).selectExpr("text", "if(doc_id % 2 = 0, 'a', null) as source", "lang", "'x' as tokens", "1 as sign")
-    bpe = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
-    bpe.encode_special_tokens = True
-    expected = Counter()
-    count = {"one": lambda t: len(t.split()), "bpe": lambda t: len(bpe.encode(t).ids), "two": lambda t: len(re.findall(r"[^\W_]+", t))}
-    for i, t in texts:
-        for name, f in count.items():
-            key = ("a" if i is not None and i % 2 == 0 else None, "en", name)
-            n = expected.get(key, (0, 0))
-            expected[key] = (n[0] + 1, n[1] + f((t or "").replace("\x1c", "")))
+    rows = [("a" if i is not None and i % 2 == 0 else None, "en", t) for i, t in texts]
+    counts = token_counts(df, VERSIONS)
     ledger = TokenLedger(spark, shared_dir(spark, "ledger"))
     assert totals(ledger) == {}
-    clean = df.selectExpr("replace(text, '\x1c', '') as text", "source", "lang")
-    assert ledger.commit("a", counted(clean, "one", words_v1()))
-    assert not ledger.commit("a", counted(clean, "one", words_v1()))  # sent again
-    assert ledger.commit("b", counted_bpe(clean, "bpe", public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN))
-    assert totals(ledger) == {k: v for k, v in expected.items() if k[2] != "two"}
-    assert ledger.commit("revised", counted(clean, "one", words_v1(), -1).unionByName(counted(clean, "two", words_v2())))
-    assert totals(ledger) == {k: v for k, v in expected.items() if k[2] != "one"}
-    assert ledger.commit("deleted", counted_bpe(clean, "bpe", public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN, -1))
-    assert ledger.commit("nothing", counted(clean.limit(0), "one", words_v1()))
-    assert totals(TokenLedger(spark, ledger.folder)) == {k: v for k, v in expected.items() if k[2] == "two"}
+    assert ledger.commit("a", signed(counts, "bpe"))
+    assert not ledger.commit("a", signed(counts, "bpe"))  # sent again
+    assert totals(ledger) == expected(rows, ["bpe"])
+    assert ledger.commit("revised", signed(counts, "bpe", -1).unionByName(signed(counts, "piece")))
+    assert totals(ledger) == expected(rows, ["piece"])
+    odd = token_counts(df.where("source is null"), VERSIONS)
+    assert ledger.commit("deleted", signed(odd, "piece", -1))
+    assert ledger.commit("nothing", signed(counts.limit(0), "bpe"))
+    assert totals(TokenLedger(spark, ledger.folder)) == expected([r for r in rows if r[0]], ["piece"])
+
+
+def test_query(spark, sf_dir):
+    docs = [(d.source, d.lang, d.text) for d in spark.read.parquet(f"{sf_dir}/documents.parquet").collect()]
+    got = {(r.source, r.lang, r.tokenizer): (r.docs, r.tokens) for r in op9_token_counts(spark, sf_dir).collect()}
+    assert {k[2] for k in got} == {"piece_bpe_32k", "byte_bpe_multi_50k"}
+    piece = {(a, b, "piece_bpe_32k"): n for (a, b, _), n in expected(docs, ["piece"]).items()}
+    assert {k: v for k, v in got.items() if k[2] == "piece_bpe_32k"} == piece

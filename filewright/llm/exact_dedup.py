@@ -9,7 +9,7 @@ hold over a thousandth of the rows each are broadcast and all others are shuffle
 
 Defined results: null text is the empty text; of equal texts the row with the largest id stays (null ids are
 smallest, of repeated ids the later row); repeated rows are copies; an empty table gives no rows; other columns are
-ignored. ``docs`` must be a plan that yields the same rows when run again (a file scan, a written table).
+ignored. A frame that isn't a scan is written once, so that rows keep their numbers.
 """
 
 from __future__ import annotations
@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from filewright.llm.common import join_hot, numbered, partitions, releasing, staged, table, text_or_empty
+from filewright.llm.common import join_hot, numbered, partitions, releasing, repeatable, staged, table, text_or_empty
 
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: Keys that one index holds before it is emptied (map side) or split over more partitions (reduce side).
@@ -28,7 +28,7 @@ KEYS = 250_000
 
 
 class CuckooIndex:
-    """A cuckoo filter over live keys, with the keys and their values in content buckets.
+    """A cuckoo filter over live keys, with the keys and their values in content buckets, and a stash for keys that no resizing would place.
 
     Buckets have four 16-bit fingerprints; a key's second bucket is the first xor a hash of the fingerprint, so a fingerprint can move
     without its key. Content lies in the bucket of the key's own hash, which does not change when fingerprints move.
@@ -42,6 +42,8 @@ class CuckooIndex:
 
     def _lay_out(self, buckets: int) -> None:
         self.mask = buckets - 1
+        #: hashes that found no room though the filter is nearly empty: keys that share their first eight bytes
+        self.stash: dict[int, int] = {}
         self.prints = [[] for _ in range(buckets)]
         self.content: list[dict | None] = [None] * buckets
         self.turn = 0
@@ -55,7 +57,7 @@ class CuckooIndex:
     def get(self, key: bytes):
         """The value of a live key, or None. A filter hit is verified against the content."""
         mark, a, b = self._places(key)
-        if mark not in self.prints[a] and mark not in self.prints[b]:
+        if mark not in self.prints[a] and mark not in self.prints[b] and not (self.stash and int.from_bytes(key[:8], "little") in self.stash):
             return None
         bucket = self.content[a]
         return None if bucket is None else bucket.get(key)
@@ -71,7 +73,7 @@ class CuckooIndex:
         if not live:
             self.size += 1
             if not self._insert(mark, a, b):
-                self._grow()
+                self._grow() if self._is_full() else self._set_aside(key)
 
     def delete(self, key: bytes) -> bool:
         mark, a, b = self._places(key)
@@ -79,10 +81,24 @@ class CuckooIndex:
         if bucket is None or key not in bucket:
             return False
         del bucket[key]
-        self.prints[a if mark in self.prints[a] else b].remove(mark)
         self.size -= 1
+        h = int.from_bytes(key[:8], "little")
+        if h in self.stash:
+            self.stash[h] -= 1
+            if not self.stash[h]:
+                del self.stash[h]
+        else:
+            self.prints[a if mark in self.prints[a] else b].remove(mark)
         return True
 
+    def _is_full(self) -> bool:
+        """Whether more buckets can help: not where a tenth of the slots is all that is used."""
+        return 10 * self.size > self.SLOTS * (self.mask + 1)
+
+    def _set_aside(self, key: bytes) -> None:
+        h = int.from_bytes(key[:8], "little")
+        self.stash[h] = self.stash.get(h, 0) + 1
+
     def items(self) -> Iterator[tuple]:
         for bucket in self.content:
             if bucket:
@@ -115,7 +131,9 @@ class CuckooIndex:
                     self.content[a] = {}
                 self.content[a][key] = value
                 if not self._insert(mark, a, b):
-                    break
+                    if self._is_full():
+                        break
+                    self._set_aside(key)
             else:
                 return
 
@@ -175,7 +193,7 @@ def retire(index: DataFrame, gone: DataFrame) -> DataFrame:
 
 def exact_groups(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
     """For every row: row, doc_id, digest, keep_id, group_size, kept."""
-    rows = staged(digests(docs, id_column, text_column), "digests")
+    rows = staged(digests(repeatable(docs), id_column, text_column), "digests")
     index = staged(build_index(rows), "digest_index")
     found = join_hot(rows.drop("n_bytes"), index, "digest", "group_size", rows.count())
     return found.select("row", "doc_id", "digest", "keep_id", "group_size", (F.col("row") == F.col("keep_row")).alias("kept"))
@@ -183,6 +201,7 @@ def exact_groups(docs: DataFrame, id_column: str = "doc_id", text_column: str =
 
 def exact_dedup(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
     """The rows of ``docs`` that stay, with all their columns."""
+    docs = repeatable(docs)
     rows, row = numbered(docs)
     kept = exact_groups(docs, id_column, text_column).where("kept").select(F.col("row").alias(row))
     return rows.join(kept, row, "left_semi").drop(row)

@@ -17,9 +17,10 @@ given twice counts once (block wins over allow); other columns are ignored.
 
 from __future__ import annotations
 
-from bisect import bisect_right
 from collections.abc import Iterator
 
+import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -30,9 +31,13 @@ RULES = [("net", "/", "block"), ("example.net", "/en/", "allow"), ("example.com"
 SAMPLE_PER_RANGE = 50
 
 
+def lower_case(host: Column) -> Column:
+    """A-Z alone, for pages and rules alike."""
+    return F.translate(host, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+
+
 def host_of(url: Column) -> Column:
-    rest = F.regexp_extract(url, r"(?s)^.*?://([^/?#]*)", 1)
-    return F.coalesce(F.translate(rest, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"), F.lit(""))
+    return F.coalesce(lower_case(F.regexp_extract(url, r"(?s)^.*?://([^/?#]*)", 1)), F.lit(""))
 
 
 def path_of(url: Column) -> Column:
@@ -54,17 +59,20 @@ def judge(pages: DataFrame, rules: DataFrame, default: str = "allow", id_column:
     bounds = sorted(r[0] for r in rows.select("place").sample(rated, seed=7).collect())
     bounds = [bounds[len(bounds) * i // n] for i in range(1, n)] if bounds else []
 
+    starts = np.array(bounds, object)
+
     @F.pandas_udf("int")
-    def range_of(place):
-        return place.map(lambda x: bisect_right(bounds, x)).astype("int32")
+    def range_of(place: pd.Series) -> pd.Series:
+        return pd.Series(np.searchsorted(starts, place.to_numpy(object), "right").astype(np.int32))
 
-    @F.pandas_udf("array<int>")
-    def ranges_of(low):
-        return low.map(lambda x: list(range(bisect_right(bounds, x), bisect_right(bounds, x[:-1] + "/" if x else x + "\x01\U0010ffff") + 1)))
+    def past(key: Column) -> Column:
+        """What all keys at or below a rule's lie before: the last dot raised by one, and for no host all of its places."""
+        return F.when(key == "", F.lit("\x01\U0010ffff")).otherwise(F.concat(F.left(key, F.length(key) - 1), F.lit("/")))
 
     asked = rows.select(range_of("place").alias("range"), "place", F.lit(1).alias("kind"), "key", "host", "path", "page_id", F.lit("").alias("verdict"))
-    rule_rows = rules.select(F.lower("host").alias("host"), "path", "verdict").groupBy("host", "path").agg(F.max("verdict").alias("verdict"))
-    rule_rows = rule_rows.withColumn("key", host_key(F.col("host"))).withColumn("range", F.explode(ranges_of("key")))
+    rule_rows = rules.select(lower_case(F.col("host")).alias("host"), "path", "verdict").groupBy("host", "path").agg(F.max("verdict").alias("verdict"))
+    rule_rows = rule_rows.withColumn("key", host_key(F.col("host"))).withColumn("past", past(F.col("key")))
+    rule_rows = rule_rows.withColumn("range", F.explode(F.sequence(range_of("key"), range_of("past"))))
     given = rule_rows.select("range", F.col("key").alias("place"), F.lit(0).alias("kind"), "key", "host", "path", F.lit(None).cast("long").alias("page_id"), "verdict")
     merged = asked.unionByName(given).repartitionById(n, F.col("range")).sortWithinPartitions("range", "place", "kind", "path")
 

@@ -9,8 +9,8 @@ it, that is, if BPE encodes the two pieces' joined text as just these two. For B
 and it is what merging gives, so the ids equal the sentencepiece library's.
 
 The piece tables are built once a worker process from the model file; segments seen before come from a bounded memo keyed by a hash of
-64 bits and the length. Segments with runs of meta symbols (the model breaks ties among such pieces by place) or of over
-``LONG`` characters are merged one by one.
+64 bits and the length. Segments of any length take this way. Only segments that begin outside the model, and those with runs of meta symbols (among whose
+pieces the model breaks ties by place), are merged one by one.
 
 Defined results: null and empty texts have no ids; characters outside the model become bytes; decoding returns the text that was encoded
 (a literal meta symbol decodes as a space, as in the library); texts may be of any length; repeated rows are encoded
@@ -240,36 +240,40 @@ class Encoder:
         doubled[1:] = (char[1:] == meta) & (char[:-1] == meta)
         doubles = np.cumsum(doubled)
         runs = doubles[starts + lengths - 1] - doubles[starts]
-        odd = (runs > 0) | (lengths > LONG) | (char[starts] == 0)
+        odd = (runs > 0) | (char[starts] == 0)
         one = (lengths == 1) & ~odd & (p.single[char[starts]] >= 0)
         by_hand = {int(i): np.array(p.merge(whole[starts[i] : starts[i] + lengths[i]]), np.int32) for i in np.flatnonzero(odd | ((lengths == 1) & ~one))}
-        rest = np.flatnonzero(~odd & (lengths > 1))
-        size = lengths[rest] + 1  # a separator after each
-        n = int(size.sum())
-        text = np.zeros(n, np.uint16)
-        head = np.cumsum(size) - size
-        offset = np.arange(n) - np.repeat(head, size)
-        inner = offset < np.repeat(lengths[rest], size)
-        text[inner] = char[(np.repeat(starts[rest], size) + offset)[inner]]
-        last, back = self._relax(text, *self._edges(text), offset, inner, size)
-        # walk all segments back from their ends together
-        ends, of = head + lengths[rest], np.arange(len(rest))
         steps = []
-        while len(of):
-            steps.append((of, last[ends]))
-            ends = back[ends]
-            go = ends > head[of]
-            ends, of = ends[go], of[go]
-        for of, _ in steps:
-            counts[rest[of]] += 1
+        # long segments go through the same steps apart, as all segments of a call are relaxed place by place together
+        for some in (lengths <= LONG, lengths > LONG):
+            rest = np.flatnonzero(~odd & (lengths > 1) & some)
+            if not len(rest):
+                continue
+            size = lengths[rest] + 1  # a separator after each
+            n = int(size.sum())
+            text = np.zeros(n, np.uint16)
+            head = np.cumsum(size) - size
+            offset = np.arange(n) - np.repeat(head, size)
+            inner = offset < np.repeat(lengths[rest], size)
+            text[inner] = char[(np.repeat(starts[rest], size) + offset)[inner]]
+            last, back = self._relax(text, *self._edges(text), offset, inner, size)
+            # walk all segments back from their ends together
+            ends, of, k = head + lengths[rest], np.arange(len(rest)), 0
+            while len(of):
+                steps.append((rest[of], last[ends], k))
+                ends, k = back[ends], k + 1
+                go = ends > head[of]
+                ends, of = ends[go], of[go]
+        for of, _, _ in steps:
+            counts[of] += 1
         counts[one] = 1
         for i, ids in by_hand.items():
             counts[i] = len(ids)
         out = np.zeros(int(counts.sum()), np.int32)
         to = np.cumsum(counts)
         out[to[one] - 1] = p.single[char[starts[one]]]
-        for k, (of, piece) in enumerate(steps):
-            out[to[rest[of]] - 1 - k] = p.ids[piece]
+        for of, piece, k in steps:
+            out[to[of] - 1 - k] = p.ids[piece]
         for i, ids in by_hand.items():
             out[to[i] - len(ids) : to[i]] = ids
         return out, counts
@@ -318,7 +322,7 @@ class Encoder:
         last[:n][offset == 0] = START
         end = place + p.sizes[piece]
         until = offset[place] + p.sizes[piece]
-        order = np.argsort(until.astype(np.uint16), kind="stable")
+        order = np.argsort(until.astype(np.uint16) if len(until) and until.max() < 1 << 16 else until, kind="stable")
         place, piece, end, until = place[order], piece[order], end[order], until[order]
         bounds = np.searchsorted(until, np.arange(1, (int(until.max()) if len(until) else 0) + 2))
         for a, b in zip(bounds[:-1], bounds[1:], strict=True):

@@ -32,6 +32,25 @@ def test_equals_the_library(model, monkeypatch):
                 assert encoder.decode(ids) == model.decode(model.encode(t)) == t
 
 
+def test_long_segments_equal_the_library(model):
+    """Unbroken text of thousands of characters takes the same way."""
+    rng = random.Random(3)
+    letters = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/"
+    texts = ["".join(rng.choice(letters) for _ in range(n)) for n in (129, 1000, 5000)] + ["a" * 2000, "ab" * 900, "=" * 700, "the" * 500, "".join(rng.choice("ethaino") for _ in range(4000)), "日本語の文章" * 200]
+    encoder = S.Encoder(PATH)
+    for t, ids in zip(texts, encoder(texts), strict=True):
+        assert ids.tolist() == model.encode(t), t[:50]
+
+
+def test_query_columns(spark, sf_dir, model):
+    docs = {d.doc_id: d.text or "" for d in spark.read.parquet(f"{sf_dir}/documents.parquet").collect()}
+    rows = S.op5_sentencepiece(spark, sf_dir).collect()
+    assert len(rows) == len(docs)
+    for r in rows:
+        ids = np.array(model.encode(docs[r.doc_id]), "<u4")
+        assert (r.n_ids, r.ids_crc32) == (len(ids), zlib.crc32(ids.tobytes())) and r.round_trip
+
+
 def test_suffix_array_finds_every_occurrence():
     pieces = S.Pieces(PATH)
     encoder = S.Encoder(PATH)

@@ -115,9 +115,12 @@ HOT_SHARE = 1000
 def join_hot(left: DataFrame, right: DataFrame, key: str, size: str, total: int) -> DataFrame:
     """Inner join with ``right``, which has one row a key and the key's number of left rows in ``size``.
 
-    The hot keys' rows, a thousand at most, are broadcast; the others meet in a shuffle that no key dominates.
+    The hot keys' rows, a thousand at most by their share of ``total``, are broadcast; the others meet in a shuffle that no key dominates.
     """
     is_hot = F.col(size) * HOT_SHARE > total
     hot = right.where(is_hot)
-    rest = left.join(F.broadcast(hot.select(key)), key, "left_anti").join(right.where(~is_hot), key)
-    return left.join(F.broadcast(hot), key).unionByName(rest)
+    keys = [r[0] for r in hot.select(key).collect()]
+    if not keys:
+        return left.join(right, key)
+    in_hot = F.col(key).isin(keys)
+    return left.where(in_hot).join(F.broadcast(hot), key).unionByName(left.where(~in_hot).join(right.where(~is_hot), key))

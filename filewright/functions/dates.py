@@ -60,7 +60,14 @@ def formatted(format_: str, at: Moment) -> Column:
 
 
 def _formatted(format_: str, at: Moment) -> Column:
-    number = lambda width, x: F.format_string(f"%0{width}d" if width > 1 else "%d", x.cast("int"))
+    def number(width: int, x: Column) -> Column:
+        text = x.cast("int").cast("string")
+        if width == 1:
+            return text
+        # format_string is several times slower; only a year can be negative or too long
+        plain = F.lpad(text, F.greatest(F.length(text), F.lit(width)), F.lit("0"))
+        return F.when(x < 0, F.format_string(f"%0{width}d", x.cast("int"))).otherwise(plain) if width == 4 else plain
+
     year, month, day, hour = F.year(at.date), F.month(at.date), F.day(at.date), F.floor(at.second / 3600)
     twelve = F.pmod(hour + 11, F.lit(12)) + 1
     tokens = {
@@ -108,10 +115,7 @@ def date_renamed(stem_: Column, ext: Column, pattern: str, replacement: str) ->
     listed = _GROUP.join(f"${k}" for k in range(groups + 1))
     format_ = date_format_of(replacement)
 
-    def made(match: Column) -> Column:
-        return bound(F.split(match, _GROUP), of_groups)
-
-    def of_groups(g: Column) -> Column:
+    def made(g: Column) -> Column:
         values: dict[str, Column] = {}
         for k, placeholder in enumerate(compiled.placeholders, 1):
             value = F.expr("try_cast(NULL AS INT)") if k > groups else F.get(g, F.lit(k)).try_cast("int")
@@ -121,11 +125,9 @@ def date_renamed(stem_: Column, ext: Column, pattern: str, replacement: str) ->
         last = [F.get(g, F.lit(k)) for k in range(groups, max(groups - optional, 0) - 1, -1)]
         return F.concat(formatted(format_, at), F.coalesce(*[F.nullif(x, F.lit("")) for x in last[:-1]], last[-1]))
 
-    def renamed(name: Column) -> Column:
-        parts = F.split(F.regexp_replace(name, F.lit(compiled.java), F.lit(_MATCH + listed + _MATCH)), _MATCH)
-        return bound(parts, lambda p: F.when(F.size(p) > 1, F.array_join(F.transform(p, lambda x, i: F.when(i % 2 == 1, made(x)).otherwise(x)), "")).otherwise(name))
-
-    return bound(inherited(stem_, ext), renamed)
+    marked = F.regexp_replace(inherited(stem_, ext), F.lit(compiled.java), F.lit(_MATCH + listed + _MATCH))
+    each = lambda x, i: F.when(i % 2 == 1, bound(F.split(x, _GROUP), made)).otherwise(x)
+    return F.array_join(F.transform(F.split(marked, _MATCH), each), "")
 
 
 def capture_time(original: Column, sub_second: Column) -> Column:

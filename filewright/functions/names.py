@@ -1,4 +1,7 @@
-"""File names and paths as columns. All take and return columns and run in the JVM."""
+"""File names and paths as columns. All take and return columns and run in the JVM.
+
+Each uses its argument once where it can: Spark puts columns into one another, and what is used thrice at every level would grow without bound.
+"""
 
 from __future__ import annotations
 
@@ -11,7 +14,7 @@ MARKER = "-duplicate-"
 
 
 def directory(path: Column) -> Column:
-    return F.left(path, F.length(path) - F.length(filename(path)) - 1)
+    return F.regexp_extract(path, r"(?s)^(.*)/[^/]*$", 1)
 
 
 def filename(path: Column) -> Column:
@@ -20,13 +23,12 @@ def filename(path: Column) -> Column:
 
 def extension(name: Column) -> Column:
     """What follows the last dot; empty without one."""
-    return F.when(F.contains(name, F.lit(".")), F.substring_index(name, ".", -1)).otherwise(F.when(name.isNotNull(), ""))
+    return F.regexp_extract(name, r"\.([^.]*)$", 1)
 
 
 def stem(name: Column) -> Column:
     """The name without its extension, unless that is all of it (``.hidden``)."""
-    cut = F.length(name) - F.length(F.substring_index(name, ".", -1)) - 1
-    return F.when(F.contains(name, F.lit(".")) & (cut > 0), F.left(name, cut)).otherwise(name)
+    return F.regexp_replace(name, r"(?s)(?<=.)\.[^.]*\z", "")
 
 
 def decomposed(df: DataFrame, path: str = "path") -> DataFrame:
@@ -37,7 +39,7 @@ def decomposed(df: DataFrame, path: str = "path") -> DataFrame:
 
 def without_marker(stem_: Column) -> Column:
     """The stem without a duplicate number of exactly three digits at its end."""
-    return F.when(F.contains(stem_, F.lit(MARKER)), F.regexp_replace(stem_, f"{MARKER}[0-9]{{3}}$", "")).otherwise(stem_)
+    return F.regexp_replace(stem_, f"{MARKER}[0-9]{{3}}$", "")
 
 
 def inherited(stem_: Column, ext: Column) -> Column:

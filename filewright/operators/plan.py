@@ -20,13 +20,14 @@ def ordered() -> Window:
     return Window.partitionBy("group_key").orderBy("phase", "path")
 
 
-def with_targets(inventory: DataFrame, new_name: Column, key: Column, source_root: str, target_root: str, nullable_key: bool = True, keep_unnamed: bool = False) -> DataFrame:
+def with_targets(inventory: DataFrame, new_name: Column, key: Column, source_root: str, target_root: str, nullable_key: bool = True, keep_unnamed: bool = False, nullable_name: bool = True) -> DataFrame:
     """Adds new_name, target_path, t_stem, t_ext, group_key and phase 0; rows without a name or key go, or stay with null columns.
 
-    A key made from the target (``nullable_key`` false) is never null, and not asking saves working the name out again below it.
+    A key made from the target (``nullable_key`` false) is never null, nor is a name that every path has (``nullable_name`` false): not asking
+    saves working the name out again below it.
     """
-    df = N.decomposed(inventory).withColumn("new_name", new_name)
-    df = df if keep_unnamed else df.where(F.col("new_name").isNotNull())
+    df = N.decomposed(inventory if nullable_name else inventory.where(F.col("path").isNotNull())).withColumn("new_name", new_name)
+    df = df.where(F.col("new_name").isNotNull()) if nullable_name and not keep_unnamed else df
     df = df.withColumns({"target_path": N.target_path(F.col("dir"), F.col("new_name"), source_root, target_root), "t_stem": N.stem(F.col("new_name")), "t_ext": N.extension(F.col("new_name"))})
     df = df.withColumn("group_key", key)
     return (df.where(F.col("group_key").isNotNull()) if nullable_key and not keep_unnamed else df).withColumn("phase", F.lit(0))
@@ -51,18 +52,19 @@ def with_ordinal(rows: DataFrame) -> DataFrame:
     return rows.withColumn("idx", (F.row_number().over(ordered()) - 1).cast("int"))
 
 
-def with_exists(rows: DataFrame, existing: DataFrame) -> DataFrame:
-    """Adds exists: whether the target is among the paths on disk."""
-    on_disk = existing.select(F.col("path").alias("target")).distinct().withColumn("exists", F.lit(True))
-    return rows.join(on_disk, "target", "left").withColumn("exists", F.coalesce("exists", F.lit(False)))
+def on_disk(existing: DataFrame) -> DataFrame:
+    """target, number of the paths on disk: number null for a path itself; a path with a duplicate number also counts as its number of the plain target."""
+    numbered_ = rf"(?s){N.MARKER}([0-9]{{3}}|[1-9][0-9]{{3,8}})(\.[^./]*)\z"
+    marked = existing.where(F.col("path").rlike(numbered_))
+    plain, number = F.regexp_replace("path", numbered_, "$2"), F.regexp_extract("path", numbered_, 1).cast("int")
+    return existing.select(F.col("path").alias("target"), F.lit(None).cast("int").alias("number")).unionByName(marked.select(plain.alias("target"), number.alias("number")))
 
 
-def occupied_numbers(existing: DataFrame) -> DataFrame:
-    """t_dir, g_stem, end_ext, number: the duplicate numbers that are on disk, as they would be written."""
-    df = N.decomposed(existing.select("path")).withColumn("m", F.regexp_extract("stem", rf"(?s)^(.*){N.MARKER}([0-9]+)$", 2))
-    df = df.where("m <> ''").withColumns({"number": F.expr("try_cast(m AS INT)"), "g_stem": F.regexp_extract("stem", rf"(?s)^(.*){N.MARKER}[0-9]+$", 1)})
-    df = df.where(F.format_string("%03d", "number") == F.col("m"))
-    return df.select(F.col("dir").alias("t_dir"), "g_stem", F.col("ext").alias("end_ext"), "number").distinct()
+def with_exists(rows: DataFrame, existing: DataFrame) -> DataFrame:
+    """Adds exists, whether the target is among the paths on disk, and occupied, whether any of its duplicate numbers is."""
+    found = on_disk(existing).groupBy("target").agg(F.max(F.col("number").isNull()).alias("exists"), F.max(F.col("number").isNotNull()).alias("occupied"))
+    false = F.lit(False)
+    return rows.join(found, "target", "left").withColumns({"exists": F.coalesce("exists", false), "occupied": F.coalesce("occupied", false)})
 
 
 def counted(rows: DataFrame) -> DataFrame:
@@ -95,29 +97,24 @@ def _numbers(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 n, counter = counter, counter + 1
             paths.append(path)
             numbers.append(n)
-        yield pa.record_batch([pa.array(paths, pa.string()), pa.array(numbers, pa.int32())], names=["path", "dup_no"])
+        yield pa.record_batch([pa.array(paths, pa.string()), pa.array(numbers, pa.int32())], names=["path", "own_no"])
 
 
 def numbered(rows: DataFrame, existing: DataFrame | None) -> DataFrame:
     """Adds exists and dup_no; with numbers on disk, each existing target takes the next free one.
 
-    Groups without taken numbers are counted by the window. Of the others, few as a rule, the files stream through in order behind their taken numbers.
+    The window counts groups without taken numbers. Of the others, few as a rule, the files stream through in order behind their taken numbers.
     """
     if existing is None:
         return counted(rows.withColumn("exists", F.lit(False)))
-    place = ["t_dir", "g_stem", "end_ext"]
-    occupied = occupied_numbers(existing)
-    df = with_exists(rows, existing).join(occupied.select(*place).distinct().withColumn("occupied", F.lit(True)), place, "left")
-    df = df.withColumn("taken", F.max(F.coalesce("occupied", F.lit(False))).over(Window.partitionBy("group_key")))
-    free = counted(df.where("not taken")).drop("occupied", "taken")
-    folding = df.where("taken").drop("occupied", "taken")
-    at = F.concat_ws("/", "t_dir", "end_ext")
-    files = folding.select("group_key", at.alias("place"), F.lit(None).cast("int").alias("number"), "path", "exists", "idx")
-    held = folding.select("group_key", *place).distinct().join(occupied, place)
-    held = held.select("group_key", at.alias("place"), "number", F.lit(None).cast("string").alias("path"), F.lit(False).alias("exists"), F.lit(-1).alias("idx"))
-    ordered_ = files.unionByName(held).repartition("group_key").sortWithinPartitions("group_key", "idx")
-    numbers = ordered_.mapInArrow(_numbers, "path string, dup_no int")
-    return free.unionByName(folding.join(numbers, "path").select(*free.columns))
+    df = with_exists(rows, existing).withColumn("taken", F.max("occupied").over(Window.partitionBy("group_key")))
+    df = counted(df).drop("occupied")
+    files = df.where("taken").select("group_key", F.col("target").alias("place"), F.lit(None).cast("int").alias("number"), "path", "exists", "idx")
+    held = files.select("group_key", "place").distinct().join(on_disk(existing).where("number is not null").distinct().withColumnRenamed("target", "place"), "place")
+    held = held.select("group_key", "place", "number", F.lit(None).cast("string").alias("path"), F.lit(False).alias("exists"), F.lit(-1).alias("idx"))
+    numbers = files.unionByName(held).repartition("group_key").sortWithinPartitions("group_key", "idx").mapInArrow(_numbers, "path string, own_no int")
+    own = F.when(F.col("taken"), F.col("own_no")).otherwise(F.col("dup_no"))
+    return df.join(numbers, "path", "left").withColumn("dup_no", own).drop("taken", "own_no")
 
 
 def finished(rows: DataFrame, skip_duplicates: bool = False, copy: bool = False) -> DataFrame:

@@ -40,6 +40,7 @@ class RenameQuery:
     nullable_key: bool = True
     expand: Callable[[DataFrame], DataFrame] | None = None
     reads: str | None = None
+    nullable_name: bool = False
 
     def rows(self, files: DataFrame) -> DataFrame:
         scanned = files
@@ -47,7 +48,7 @@ class RenameQuery:
             scanned = filename_matches(names.decomposed(files), self.filename_regex).select(*files.columns)
         if self.reads == "content_hash" and "content_hash" not in files.columns:
             scanned = scanned.withColumn("content_hash", keys.content_key())
-        rows = with_targets(scanned, self.new_name, self.key, self.options.source_dir, self.options.target_root, self.nullable_key, self.expand is not None)
+        rows = with_targets(scanned, self.new_name, self.key, self.options.source_dir, self.options.target_root, self.nullable_key, self.expand is not None, self.nullable_name)
         return self.expand(rows) if self.expand else rows
 
     def scan(self, spark: SparkSession) -> DataFrame:
@@ -106,7 +107,7 @@ def content_hash(options: RenameOptions) -> RenameQuery:
 def exif_date(options: RenameOptions, target_filename_pattern: str = dates.DEFAULT_CAPTURE_FORMAT) -> RenameQuery:
     """The inventory has an exif struct; see sources.exif."""
     name = dates.capture_renamed(F.col("exif.date_time_original"), F.col("exif.sub_sec_time_original"), F.col("ext"), target_filename_pattern)
-    return RenameQuery(name, keys.target_filename_key(), options, own_extension=True, nullable_key=False, expand=with_companions, reads="exif")
+    return RenameQuery(name, keys.target_filename_key(), options, own_extension=True, nullable_key=False, expand=with_companions, reads="exif", nullable_name=True)
 
 
 #: By the commands' names.

@@ -84,12 +84,15 @@ class ByteBpe:
             return False
         return len(raw.translate(None, self.ODD)) == len(raw)
 
+    def cut(self, text: str) -> list[str]:
+        return self.CUT(text)
+
     def __call__(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """ids of the texts, each followed by the end id, end to end; and the number of ids of each."""
         pieces: list = []
         for text in texts:
             if self._plain(text):
-                pieces += self.CUT(text)
+                pieces += self.cut(text)
             else:
                 pieces.append((text,))
             pieces.append(None)

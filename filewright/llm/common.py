@@ -42,23 +42,30 @@ def drop_staged(df: DataFrame) -> None:
         path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
-#: Plans of these nodes read files, or rows given by hand, in one order whenever they run.
-REPEATABLE = {"Project", "Filter", "LogicalRelation", "LocalRelation", "LogicalRDD", "SubqueryAlias", "View"}
+#: Plans of these nodes read files as they are.
+REPEATABLE = {"Project", "Filter", "LogicalRelation", "SubqueryAlias", "View"}
+#: Files up to which their numbers are broadcast (16 bytes each); those of more are joined in a shuffle.
+NUMBERED_FILES = 1 << 20
 
 
 def repeatable(df: DataFrame) -> DataFrame:
-    """``df`` if its rows have the same numbers whenever it runs (a scan, with projections and filters); else ``df`` written once.
+    """``df`` if it is a scan of Parquet files, with projections and filters; else ``df`` written once.
 
-    Operators that know rows by their number in the scan read their input through this.
+    Operators that know rows by their number read their input through this: a row's place in its file is the same whenever the frame
+    runs, while its place in the scan, or in any other plan, changes with the cores that are there.
     """
     nodes, stack = set(), [df._jdf.queryExecution().analyzed()]
-    plan = stack[0]
+    plan, formats = stack[0], set()
     while stack:
         node = stack.pop()
         nodes.add(node.nodeName())
+        if node.nodeName() == "LogicalRelation":
+            relation = node.relation()
+            formats.add(relation.fileFormat().toString() if relation.getClass().getSimpleName() == "HadoopFsRelation" else "")
         below = node.children()
         stack += [below.apply(i) for i in range(below.size())]
-    return df if nodes <= REPEATABLE and plan.deterministic() else staged(df, "input")
+    plain = nodes <= REPEATABLE and formats == {"Parquet"} and plan.deterministic()
+    return df if plain else staged(df, "input")
 
 
 def filesystem(uri: str):
@@ -91,9 +98,14 @@ def unused(df: DataFrame, name: str) -> str:
 
 
 def numbered(df: DataFrame) -> tuple[DataFrame, str]:
-    """The frame with its rows' numbers in the scan, and their column's name."""
-    row = unused(df, "row")
-    return df.withColumn(row, F.monotonically_increasing_id()), row
+    """A ``repeatable`` frame with its rows' numbers, and their column's name: the file's number (by name) and the row's in the file."""
+    row, file, number = (unused(df, name) for name in ("row", "file_hash", "file_number"))
+    meta = df.metadataColumn("_metadata")
+    paths = sorted(r[0] for r in df.select(meta["file_path"]).distinct().collect())  # reads no column
+    files = df.sparkSession.createDataFrame(list(enumerate(paths)), f"{number} long, path string").select(F.xxhash64("path").alias(file), number)
+    files = F.broadcast(files) if len(paths) <= NUMBERED_FILES else files
+    placed = df.select("*", F.xxhash64(meta["file_path"]).alias(file), meta["row_index"].alias(row)).join(files, file)
+    return placed.withColumn(row, F.shiftleft(number, 33) + F.col(row)).drop(file, number), row
 
 
 def text_or_empty(column: str = "text") -> Column:

@@ -161,8 +161,9 @@ def _literal(rows: DataFrame, items: DataFrame) -> DataFrame:
 
 
 def leaks(docs: DataFrame, benchmark: DataFrame, text_column: str = "text", item_text_column: str = "text", item_id_column: str = "item_id") -> DataFrame:
-    """row (number in the scan), item_id, matched, windows: the items that leak into each document."""
-    rows = repeatable(docs).select(F.monotonically_increasing_id().alias("row"), text_or_empty(text_column).alias("text"))
+    """row (its number), item_id, matched, windows: the items that leak into each document."""
+    docs, row = numbered(repeatable(docs))
+    rows = docs.select(F.col(row).alias("row"), text_or_empty(text_column).alias("text"))
     items = staged(benchmark.select(F.monotonically_increasing_id().alias("item"), F.col(item_id_column).alias("item_id"), text_or_empty(item_text_column).alias("item_text")), "items")
     own = staged(_slots(items, "item", F.col("item_text")).withColumnRenamed("value", "item_value"), "item_slots")
     before = F.explode(F.array(*[F.col("place") - k for k in range(WINDOW)]))
@@ -205,7 +206,8 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 
 
 def op4_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
+    docs = repeatable(table(spark, sf_dir, "documents"))
     found = staged(leaks(docs, table(spark, sf_dir, "benchmark")), "leaks")
-    ids = docs.select(F.monotonically_increasing_id().alias("row"), "doc_id")
+    docs, row = numbered(docs)
+    ids = docs.select(F.col(row).alias("row"), "doc_id")
     return ids.join(_sized(found), "row").select("doc_id", "item_id", "matched", "windows")

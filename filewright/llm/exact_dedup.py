@@ -9,7 +9,7 @@ hold over a thousandth of the rows each are broadcast and all others are shuffle
 
 Defined results: null text is the empty text; of equal texts the row with the largest id stays (null ids are
 smallest, of repeated ids the later row); repeated rows are copies; an empty table gives no rows; other columns are
-ignored. A frame that isn't a scan is written once, so that rows keep their numbers.
+ignored. A frame that isn't a scan of Parquet files is written once, so that rows keep their numbers.
 """
 
 from __future__ import annotations
@@ -172,9 +172,10 @@ def _fold(flush: bool):
 
 
 def digests(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
-    """row (its number in the scan), doc_id, digest, n_bytes."""
+    """row (its number), doc_id, digest, n_bytes."""
     plain = F.translate(text_or_empty(text_column), UPPER, LOWER)
-    return docs.select(F.monotonically_increasing_id().alias("row"), F.col(id_column).alias("doc_id"), F.unhex(F.sha2(F.encode(plain, "UTF-8"), 256)).alias("digest"), F.octet_length(plain).cast("long").alias("n_bytes"))
+    docs, row = numbered(docs)
+    return docs.select(F.col(row).alias("row"), F.col(id_column).alias("doc_id"), F.unhex(F.sha2(F.encode(plain, "UTF-8"), 256)).alias("digest"), F.octet_length(plain).cast("long").alias("n_bytes"))
 
 
 def build_index(rows: DataFrame) -> DataFrame:

@@ -33,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from filewright.llm.common import partitions, repeatable, staged, table, text_or_empty
+from filewright.llm.common import numbered, partitions, repeatable, staged, table, text_or_empty
 
 LENGTH, GRAM = 100, 32
 WINDOWS = LENGTH - GRAM + 1
@@ -403,10 +403,13 @@ def merged(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
 
 def _ordered(docs: DataFrame, id_column: str, text_column: str) -> tuple[DataFrame, bool]:
     """key (the place in the order of documents), doc_id, text; whether the key is the id itself, as where ids are unique and not null."""
-    rows = repeatable(docs).select(F.monotonically_increasing_id().alias("row"), F.col(id_column).cast("long").alias("doc_id"), text_or_empty(text_column).alias("text"))
-    ids = rows.select("doc_id").groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1 or doc_id is null")
+    docs = repeatable(docs)
+    own = [F.col(id_column).cast("long").alias("doc_id"), text_or_empty(text_column).alias("text")]
+    ids = docs.select(own[0]).groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1 or doc_id is null")
     if ids.isEmpty():
-        return rows.select(F.col("doc_id").alias("key"), "doc_id", "text"), True
+        return docs.select(own[0].alias("key"), *own), True
+    docs, row = numbered(docs)
+    rows = docs.select(F.col(row).alias("row"), *own)
     narrow = rows.select("doc_id", "row").repartitionByRange(partitions(docs.sparkSession), "doc_id", "row").sortWithinPartitions("doc_id", "row")
     narrow = staged(narrow.withColumn("key", F.monotonically_increasing_id()), "keys")
     return rows.drop("doc_id").join(narrow, "row").select("key", "doc_id", "text"), False

@@ -4,13 +4,14 @@ from __future__ import annotations
 
 import argparse
 import sys
+from dataclasses import replace
 
 from pyspark.sql import SparkSession
 
 from filewright.functions import dates
 from filewright.functions.patterns import PatternError
 from filewright.operators import report
-from filewright.operators.sink import PlanError
+from filewright.operators.journal import PlanError, new_journal
 from filewright.plans import commands
 from filewright.plans.options import RenameOptions
 
@@ -23,6 +24,7 @@ def arguments(args: list[str]) -> argparse.Namespace:
     common.add_argument("-d", "--dry-run", action="store_true")
     common.add_argument("-c", "--copy", action="store_true")
     common.add_argument("-s", "--skip-duplicates", action="store_true")
+    common.add_argument("-j", "--journal", help="folder of the plan and of what was done; with that of a run that was killed, goes on with it")
     names = parser.add_subparsers(dest="command", required=True)
     for name in commands.COMMANDS:
         own = names.add_parser(name, parents=[common])
@@ -45,14 +47,14 @@ def main(args: list[str] | None = None, spark: SparkSession | None = None) -> in
         options = RenameOptions(asked["source_directory"], asked["target_directory"], asked["copy"], asked["skip_duplicates"], asked["dry_run"])
         command = commands.COMMANDS[asked["command"]](options, **own)
         spark = spark or SparkSession.builder.appName("filewright").getOrCreate()
-        plan = command.plan(command.scan(spark), commands.target_tree(spark, options.target_root)).cache()  # what is printed is what is done
+        journal = asked["journal"] or new_journal(spark)
+        plan, _ = replace(command, options=replace(options, dry_run=True)).run(spark, journal)  # what is printed is what is done
         for row in report.lines(plan).toLocalIterator():
             print(row.line)
         counts = report.summary(plan).first()
         print(f"{counts.n_groups} groups, {counts.n_duplicates} possible duplicates, {counts.n_files} files{' (dry run)' if options.dry_run else ''}")
         if not options.dry_run:
-            commands.apply_plan(plan)
-        plan.unpersist()
+            command.run(spark, journal)
     except (ValueError, PatternError, PlanError) as e:
         print(e, file=sys.stderr)
         return 1

@@ -12,9 +12,10 @@ from pyspark.sql import functions as F
 from filewright.functions import dates, keys, names
 from filewright.functions.patterns import date_pattern, java_regex
 from filewright.operators.collection import filename_matches
+from filewright.operators.journal import new_journal, write_plan, written_plan
 from filewright.operators.pairing import with_companions
 from filewright.operators.plan import rename_plan, with_targets
-from filewright.operators.sink import Outcome, apply_plan
+from filewright.operators.sink import Outcome, apply_on_executors, apply_plan
 from filewright.plans.options import RenameOptions
 from filewright.sources import content, inventory
 
@@ -68,10 +69,19 @@ class RenameQuery:
             existing = files.select("path") if o.target_root == o.source_dir else target_tree(files.sparkSession, o.target_root)
         return rename_plan(self.rows(files), o.source_dir, o.target_root, existing, self.own_extension, o.skip_duplicates, o.copy)
 
-    def run(self, spark: SparkSession) -> tuple[DataFrame, Outcome | None]:
-        """Scans, plans and, unless it is a dry run, carries the plan out; returns the plan and what was done."""
-        plan = self.plan(self.scan(spark), target_tree(spark, self.options.target_root))
-        return plan, None if self.options.dry_run else apply_plan(plan)
+    def run(self, spark: SparkSession, journal: str | None = None, on_executors: bool = False) -> tuple[DataFrame, Outcome | DataFrame | None]:
+        """Scans, plans and, unless it is a dry run, carries the plan out; returns the plan and what was done.
+
+        The plan is written into the journal (a new one unless given) before the first file moves, and is returned as written. With the journal of a run
+        that was killed, nothing is scanned or planned: that run's plan is carried on.
+        """
+        folder = journal or new_journal(spark)
+        plan = written_plan(spark, folder)
+        if plan is None:
+            plan = write_plan(self.plan(self.scan(spark), target_tree(spark, self.options.target_root)), folder)
+        if self.options.dry_run:
+            return plan, None
+        return plan, apply_on_executors(plan, journal=folder) if on_executors else apply_plan(plan, journal=folder)
 
 
 def target_tree(spark: SparkSession, root: str) -> DataFrame | None:

@@ -6,8 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from filewright.functions import names as N
-
-COLUMNS = ["path", "dir", "filename", "stem", "ext", "t_stem", "t_ext", "group_key", "phase"]
+from filewright.operators.plan import COLUMNS, divided, over_groups
 
 
 def companion_target(dir_="dir", stem="t_stem", ext="ext"):
@@ -25,10 +24,11 @@ def with_companions(rows: DataFrame) -> DataFrame:
 
     rows: all files with targets, group_key null where a file is in no group. A companion takes the stem of its group's first target, and its
     key is that stem with its own extension. A file that meets several groups joins the first, by the groups' first paths. Two windows
-    do it, over the key (files without one are spread by path) and over the path without extension, so files are read once.
+    do it, over the key (files without one are spread by path; large inventories are divided, see ``operators.plan``) and over the path without extension, so
+    files are read once.
     """
-    group = Window.partitionBy(F.coalesce("group_key", F.concat(F.lit("\0"), "path"))).orderBy("path")
-    first = rows.withColumns({"group_first": F.first("path").over(group), "g_stem": F.first("t_stem").over(group), "pair": N.pair_stem(F.col("path"))})
+    keyed = divided(rows).withColumns({"own_key": F.col("group_key"), "group_key": F.coalesce("group_key", F.concat(F.lit("\0"), "path"))})
+    first = over_groups(keyed, first={"group_first": F.col("path"), "g_stem": F.col("t_stem")}).withColumns({"group_key": F.col("own_key"), "pair": N.pair_stem(F.col("path"))})
     mate = F.when(F.col("group_key").isNotNull(), F.struct("group_first", "path", "g_stem"))
     met = first.withColumn("mate", F.min(mate).over(Window.partitionBy("pair"))).where("group_key is not null or mate is not null")
     alone = F.col("group_key").isNull()

@@ -1,8 +1,14 @@
 """The rename plan: grouping, targets, ordinals and duplicate numbers.
 
-Rows of a group are ordered by (phase, path). All per-group values share one exchange on the group key and one sort; a group
-with many rows streams through the window and spills. Groups whose numbers are partly taken on disk stream through
-a counter in order.
+Rows of a group are ordered by (phase, path). All per-group values share one exchange on the group key and one sort.
+
+Rows of large inventories are written once and divided: paths that stand at equal distances in a sample of all paths cut the order into buckets of about
+``TASK_ROWS`` rows, so even a group that holds a third of all rows has no more than that in one of them. What a row needs to know of the rows before it is then a sum over
+its own (group, bucket), plus a prefix sum over the summaries of the group's earlier buckets (its first row, rows, no-ops, needs), of which a group has few.
+
+Numbers that are taken on disk are kept as intervals. A group's files that share a target, one after the other, are a run; only runs, not
+files, go through a counter that walks over the intervals, and gives each run the number it begins at. A file's own number is the free number of a rank, which
+is met by a join of ranks with the free intervals, cut into bins.
 """
 
 from __future__ import annotations
@@ -14,10 +20,68 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from filewright.functions import names as N
-
-
-def ordered() -> Window:
-    return Window.partitionBy("group_key").orderBy("phase", "path")
+from filewright.operators.staging import estimated_bytes, written
+
+#: Rows of a group that a task has at a time in a large inventory; the estimated bytes from which one is large; sampled paths a bucket; ranks a bin.
+TASK_ROWS, LARGE_BYTES, SAMPLED, BIN = 1 << 20, 1 << 30, 64, 1024
+
+
+def ordered(chunked: bool = False) -> Window:
+    return Window.partitionBy("group_key", *(["bucket"] if chunked else [])).orderBy("phase", "path")
+
+
+def _bucket(path: Column, bounds: list[str]) -> Column:
+    """How many of the sorted bounds are at most the path, found by halving."""
+    held = F.array(*[F.lit(b) for b in bounds])
+    halves = [1 << k for k in reversed(range(len(bounds).bit_length()))]
+    reached = lambda at, step: (at + step <= len(bounds)) & (F.get(held, at + step - 1) <= path)
+    return F.aggregate(F.array(*[F.lit(h) for h in halves]), F.lit(0), lambda at, step: F.when(reached(at, step), at + step).otherwise(at))
+
+
+#: What planning needs of a row.
+COLUMNS = ["path", "dir", "filename", "stem", "ext", "t_stem", "t_ext", "group_key", "phase"]
+
+
+def divided(rows: DataFrame) -> DataFrame:
+    """Rows of a large inventory with their bucket, written once; others as they are."""
+    rows = rows.select(*COLUMNS)
+    size = estimated_bytes(rows)
+    return divide(written(rows, "rows")) if size is not None and size > LARGE_BYTES else rows
+
+
+def divide(rows: DataFrame) -> DataFrame:
+    """Adds bucket to a written table's rows, if they are more than a task's: the order by (phase, path) cut into even parts."""
+    n = rows.count()
+    parts = -(-n // TASK_ROWS)
+    if parts < 2:
+        return rows
+    sample = rows.select("path").sample(min(1.0, 1.2 * SAMPLED * parts / n), seed=0)
+    paths = sorted(r.path for r in sample.limit(2 * SAMPLED * parts).collect())  # a bounded number for each part
+    bounds = sorted({paths[len(paths) * k // parts] for k in range(1, parts)}) if paths else []
+    if not bounds:
+        return rows
+    return rows.withColumn("bucket", F.col("phase") * (len(bounds) + 1) + _bucket(F.col("path"), bounds))
+
+
+def over_groups(rows: DataFrame, first: dict[str, Column] | None = None, running: dict[str, Column] | None = None, largest: dict[str, Column] | None = None) -> DataFrame:
+    """Adds, for each row, values of its group's first row, sums over the group's rows up to it, and the group's largest values."""
+    first, running, largest = first or {}, running or {}, largest or {}
+    chunked = "bucket" in rows.columns
+    own = ordered(chunked).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    if not chunked:
+        added = {n: F.first(c).over(ordered()) for n, c in first.items()} | {n: F.sum(c).over(own) for n, c in running.items()}
+        return rows.withColumns(added | {n: F.max(c).over(Window.partitionBy("group_key")) for n, c in largest.items()})
+    place = F.struct("phase", "path")
+    sums = [F.min_by(F.struct(*[c.alias(n) for n, c in first.items()]), place).alias("_first")] if first else []
+    sums += [F.sum(c).alias(f"_sum_{n}") for n, c in running.items()] + [F.max(c).alias(f"_max_{n}") for n, c in largest.items()]
+    chunks = rows.groupBy("group_key", "bucket").agg(*sums)
+    by_bucket = Window.partitionBy("group_key").orderBy("bucket")
+    bases = {f"_sum_{n}": F.coalesce(F.sum(f"_sum_{n}").over(by_bucket.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)) for n in running}
+    bases |= {f"_max_{n}": F.max(f"_max_{n}").over(Window.partitionBy("group_key")) for n in largest}
+    chunks = chunks.withColumns(bases | ({"_first": F.first("_first").over(by_bucket)} if first else {}))
+    met = rows.join(chunks, ["group_key", "bucket"])
+    added = {n: F.col(f"_first.{n}") for n in first} | {n: F.col(f"_sum_{n}") + F.sum(c).over(own) for n, c in running.items()} | {n: F.col(f"_max_{n}") for n in largest}
+    return met.withColumns(added).drop(*[c for c in chunks.columns if c.startswith("_")])
 
 
 def with_targets(inventory: DataFrame, new_name: Column, key: Column, source_root: str, target_root: str, nullable_key: bool = True, keep_unnamed: bool = False, nullable_name: bool = True) -> DataFrame:
@@ -35,28 +99,34 @@ def with_targets(inventory: DataFrame, new_name: Column, key: Column, source_roo
 
 def group_targets(rows: DataFrame, source_root: str, target_root: str, own_extension: bool = False) -> DataFrame:
     """Adds g_stem, g_ext (of the group's first row), t_dir and target: the row's own directory with the group's name."""
-    w = ordered()
-    df = rows.withColumns({"g_stem": F.first("t_stem").over(w), "g_ext": F.first("t_ext").over(w), "t_dir": N.target_directory(F.col("dir"), source_root, target_root)})
+    df = over_groups(rows, first={"g_stem": F.col("t_stem"), "g_ext": F.col("t_ext")}).withColumn("t_dir", N.target_directory(F.col("dir"), source_root, target_root))
     df = df.withColumn("end_ext", F.col("ext") if own_extension else F.col("g_ext"))
     return df.withColumn("target", F.concat("t_dir", F.lit("/"), "g_stem", F.lit("."), "end_ext"))
 
 
 def without_first_noop(rows: DataFrame) -> DataFrame:
-    """Drops each group's first row whose target is its path; later such rows stay."""
+    """Drops each group's first row whose target is its path; later such rows stay. Leaves idx, the ordinal of those that stay."""
     same = (F.col("path") == F.col("target")).cast("int")
-    df = rows.withColumn("noops", F.sum(same).over(ordered().rowsBetween(Window.unboundedPreceding, Window.currentRow)))
-    return df.where(~((F.col("path") == F.col("target")) & (F.col("noops") == 1))).drop("noops")
+    df = over_groups(rows, running={"noops": same, "nth": F.lit(1)})
+    df = df.withColumn("idx", (F.col("nth") - 1 - F.least("noops", F.lit(1))).cast("int"))
+    return df.where(~((F.col("path") == F.col("target")) & (F.col("noops") == 1))).drop("noops", "nth")
 
 
 def with_ordinal(rows: DataFrame) -> DataFrame:
-    return rows.withColumn("idx", (F.row_number().over(ordered()) - 1).cast("int"))
+    """Adds idx, where ``without_first_noop`` hasn't."""
+    if "idx" in rows.columns:
+        return rows
+    return over_groups(rows, running={"nth": F.lit(1)}).withColumn("idx", (F.col("nth") - 1).cast("int")).drop("nth")
+
+
+#: A path with a duplicate number.
+NUMBERED = rf"(?s){N.MARKER}([0-9]{{3}}|[1-9][0-9]{{3,8}})(\.[^./]*)\z"
 
 
 def on_disk(existing: DataFrame) -> DataFrame:
     """target, number of the paths on disk: number null for a path itself; a path with a duplicate number also counts as its number of the plain target."""
-    numbered_ = rf"(?s){N.MARKER}([0-9]{{3}}|[1-9][0-9]{{3,8}})(\.[^./]*)\z"
-    marked = existing.where(F.col("path").rlike(numbered_))
-    plain, number = F.regexp_replace("path", numbered_, "$2"), F.regexp_extract("path", numbered_, 1).cast("int")
+    marked = existing.where(F.col("path").rlike(NUMBERED))
+    plain, number = F.regexp_replace("path", NUMBERED, "$2"), F.regexp_extract("path", NUMBERED, 1).cast("int")
     return existing.select(F.col("path").alias("target"), F.lit(None).cast("int").alias("number")).unionByName(marked.select(plain.alias("target"), number.alias("number")))
 
 
@@ -67,54 +137,110 @@ def with_exists(rows: DataFrame, existing: DataFrame) -> DataFrame:
     return rows.join(found, "target", "left").withColumns({"exists": F.coalesce("exists", false), "occupied": F.coalesce("occupied", false)})
 
 
+def needs_number() -> Column:
+    return F.col("exists") | (F.col("idx") > 0)
+
+
 def counted(rows: DataFrame) -> DataFrame:
     """Adds dup_no: the running number of the rows that need one, where no number is taken."""
-    needs = F.col("exists") | (F.col("idx") > 0)
-    running = F.sum(needs.cast("int")).over(ordered().rowsBetween(Window.unboundedPreceding, Window.currentRow)).cast("int")
-    return rows.withColumn("dup_no", F.when(needs, running))
+    df = over_groups(rows, running={"running": needs_number().cast("int")})
+    return df.withColumn("dup_no", F.when(needs_number(), F.col("running").cast("int"))).drop("running")
+
 
+def taken_intervals(existing: DataFrame) -> DataFrame:
+    """target, a, b: the taken numbers of each target as intervals from a to b that don't touch; taken: how many numbers lie before."""
+    numbers = on_disk(existing).where("number is not null").distinct()
+    island = F.col("number") - F.row_number().over(Window.partitionBy("target").orderBy("number"))
+    joined = numbers.withColumn("island", island).groupBy("target", "island").agg(F.min("number").alias("a"), F.max("number").alias("b"))
+    before = Window.partitionBy("target").orderBy("a").rowsBetween(Window.unboundedPreceding, -1)
+    return joined.select("target", "a", "b", F.coalesce(F.sum(F.col("b") - F.col("a") + 1).over(before), F.lit(0)).alias("taken"))
 
-def _numbers(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows by group and order (taken numbers first) to the groups' files with their numbers.
 
-    Holds a group's counter and its taken numbers that the counter hasn't passed, not its files.
+def _begins(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Runs by group and order, each with its taken intervals behind it, to the number that each begins at and how many free ones lie before.
+
+    Of a run, k numbers are wanted from the counter on, without the taken ones; the counter then stands behind the last. Holds a counter only.
     """
-    group, counter, taken = None, 1, {}
+    names = ["group_key", "bucket", "run", "begin", "free"]
+    group = run = None
+    counter, begin, below, left = 1, 1, 0, 0
+
+    def ended() -> tuple:
+        return group, *run, begin, begin - 1 - below
+
     for batch in batches:
-        paths, numbers = [], []
-        for key, place, number, path, exists, idx in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-            if key != group:
-                group, counter, taken = key, 1, {}
-            if number is not None:
-                taken.setdefault(place, set()).add(number)
+        out = []
+        for key, bucket, number, k, a, b in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            if key != group or (bucket, number) != run:
+                if run is not None:
+                    out.append(ended())
+                    counter += left
+                if key != group:
+                    group, counter = key, 1
+                run, begin, below, left = (bucket, number), counter, 0, k
+            if a is None:
                 continue
-            n = None
-            if exists:
-                held = taken.get(place, ())
-                while counter in held:
-                    counter += 1
-            if exists or idx > 0:
-                n, counter = counter, counter + 1
-            paths.append(path)
-            numbers.append(n)
-        yield pa.record_batch([pa.array(paths, pa.string()), pa.array(numbers, pa.int32())], names=["path", "own_no"])
+            if b < begin:
+                below += b - a + 1
+            elif a < begin:
+                below, counter = below + begin - a, b + 1
+            elif left:
+                free = min(left, a - counter)
+                left, counter = left - free, counter + free
+                if left:
+                    counter = b + 1
+        yield _run_rows(out, names)
+    if run is not None:
+        yield _run_rows([ended()], names)
+
+
+def _run_rows(rows: list[tuple], names: list[str]) -> pa.RecordBatch:
+    kinds = (pa.string(), pa.int32(), pa.int64(), pa.int64(), pa.int64())
+    return pa.record_batch([pa.array([r[k] for r in rows], t) for k, t in enumerate(kinds)], names=names)
+
+
+def _between_taken(files: DataFrame, existing: DataFrame) -> DataFrame:
+    """path, own_no of the files that need a number, of groups some of whose numbers are taken."""
+    files = files if "bucket" in files.columns else files.withColumn("bucket", F.lit(0))
+    w = ordered(True)
+    changes = F.coalesce((F.col("target") != F.lag("target").over(w)).cast("int"), F.lit(1))
+    files = files.where(needs_number()).select("group_key", "bucket", "phase", "path", "target", "exists", changes.alias("changes"))
+    files = files.withColumn("run", F.sum("changes").over(w.rowsBetween(Window.unboundedPreceding, Window.currentRow)))
+    files = files.withColumn("nth", F.row_number().over(Window.partitionBy("group_key", "bucket", "run").orderBy("phase", "path")))
+    intervals = taken_intervals(existing)
+    runs = files.groupBy("group_key", "bucket", "run").agg(F.first("target").alias("target"), F.first("exists").alias("exists"), F.count("*").alias("k"))
+    no = F.lit(None).cast("int")
+    walls = runs.where("exists").join(intervals, "target").select("group_key", "bucket", "run", "k", "a", "b")
+    sent = runs.select("group_key", "bucket", "run", "k", no.alias("a"), no.alias("b")).unionByName(walls)
+    begins = sent.repartition("group_key").sortWithinPartitions("group_key", "bucket", "run", F.asc_nulls_first("a")).mapInArrow(_begins, "group_key string, bucket int, run long, begin long, free long")
+    placed = files.join(begins, ["group_key", "bucket", "run"])
+    unchecked = placed.where("not exists").select("path", (F.col("begin") + F.col("nth") - 1).alias("own_no"))
+    # of a file whose number has to be free: its rank among its target's free numbers, and the interval of free numbers that holds the rank
+    ranked = placed.where("exists").select("path", "target", (F.col("free") + F.col("nth")).alias("rank"))
+    most = ranked.groupBy("target").agg(F.max("rank").alias("most"))
+    by_place = Window.partitionBy("target").orderBy("a")
+    ahead = F.col("a") - 1 - F.col("taken")  # free numbers before the interval
+    behind = intervals.select("target", ahead.alias("low"), F.lead(ahead).over(by_place).alias("high"), (F.col("taken") + F.col("b") - F.col("a") + 1).alias("add"))
+    front = intervals.where("taken = 0").select("target", F.lit(0).alias("low"), ahead.alias("high"), F.lit(0).alias("add"))
+    free = most.join(behind.unionByName(front), "target", "left").select("target", F.coalesce("low", F.lit(0)).alias("low"), F.coalesce(F.least("high", "most"), "most").alias("high"), F.coalesce("add", F.lit(0)).alias("add")).where("low < high")
+    bins = free.withColumn("bin", F.explode(F.sequence(F.floor((F.col("low") + 1) / BIN), F.floor(F.col("high") / BIN))))
+    found = ranked.withColumn("bin", F.floor(F.col("rank") / BIN)).join(bins, ["target", "bin"]).where("rank > low and rank <= high")
+    return unchecked.unionByName(found.select("path", (F.col("rank") + F.col("add")).alias("own_no")))
 
 
 def numbered(rows: DataFrame, existing: DataFrame | None) -> DataFrame:
     """Adds exists and dup_no; with numbers on disk, each existing target takes the next free one.
 
-    The window counts groups without taken numbers. Of the others, few as a rule, the files stream through in order behind their taken numbers.
+    Whether there are any is asked first, as a rule there are none. Then windows count.
     """
     if existing is None:
         return counted(rows.withColumn("exists", F.lit(False)))
-    df = with_exists(rows, existing).withColumn("taken", F.max("occupied").over(Window.partitionBy("group_key")))
-    df = counted(df).drop("occupied")
-    files = df.where("taken").select("group_key", F.col("target").alias("place"), F.lit(None).cast("int").alias("number"), "path", "exists", "idx")
-    held = files.select("group_key", "place").distinct().join(on_disk(existing).where("number is not null").distinct().withColumnRenamed("target", "place"), "place")
-    held = held.select("group_key", "place", "number", F.lit(None).cast("string").alias("path"), F.lit(False).alias("exists"), F.lit(-1).alias("idx"))
-    numbers = files.unionByName(held).repartition("group_key").sortWithinPartitions("group_key", "idx").mapInArrow(_numbers, "path string, own_no int")
-    own = F.when(F.col("taken"), F.col("own_no")).otherwise(F.col("dup_no"))
-    return df.join(numbers, "path", "left").withColumn("dup_no", own).drop("taken", "own_no")
+    df = with_exists(rows, existing)
+    if existing.where(F.col("path").rlike(NUMBERED)).isEmpty():
+        return counted(df).drop("occupied")
+    df = counted(over_groups(df, largest={"taken": F.col("occupied")})).drop("occupied")
+    own = F.when(F.col("taken"), F.col("own_no").cast("int")).otherwise(F.col("dup_no"))
+    return df.join(_between_taken(df.where("taken"), existing), "path", "left").withColumn("dup_no", own).drop("taken", "own_no")
 
 
 def finished(rows: DataFrame, skip_duplicates: bool = False, copy: bool = False) -> DataFrame:
@@ -128,7 +254,7 @@ def finished(rows: DataFrame, skip_duplicates: bool = False, copy: bool = False)
 
 def rename_plan(rows: DataFrame, source_root: str, target_root: str, existing: DataFrame | None = None, own_extension: bool = False, skip_duplicates: bool = False, copy: bool = False) -> DataFrame:
     """The whole plan from rows with targets and keys."""
-    df = with_ordinal(without_first_noop(group_targets(rows, source_root, target_root, own_extension)))
+    df = with_ordinal(without_first_noop(group_targets(divided(rows), source_root, target_root, own_extension)))
     return finished(numbered(df, existing), skip_duplicates, copy)
 
 

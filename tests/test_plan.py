@@ -2,10 +2,12 @@ import random
 import re
 
 import pytest
+from pyspark.sql import functions as F
 from model import rename, split
 
 from filewright.functions.names import decomposed
 from filewright.operators.collection import sliced
+from filewright.operators import plan as plans
 from filewright.plans import commands
 from filewright.plans.options import RenameOptions
 from filewright.sources.inventory import scan_order
@@ -151,6 +153,74 @@ def test_random_trees(spark, seed, target):
         assert planned(query.plan(df, on_disk)) == rename(files, new_name, key, existing, "/r", target)
 
 
+@pytest.mark.parametrize("seed", range(3))
+@pytest.mark.parametrize("target", ["/r", "/t"])
+def test_divided_trees(spark, tmp_path, monkeypatch, seed, target):
+    """Large inventories: groups in buckets, carried over by prefix sums, and taken numbers in intervals and bins, give the same plan."""
+    monkeypatch.setattr(plans, "LARGE_BYTES", 0)
+    monkeypatch.setattr(plans, "TASK_ROWS", 17)
+    monkeypatch.setattr(plans, "BIN", 3)
+    rng = random.Random(seed)
+    files = {f"/r/{rng.choice(['d', 'd/e', 'f'])}/{rng.choice('abcdefgh')}{i % 40}{rng.choice(['', '-duplicate-00' + rng.choice('123')])}.{rng.choice('jk')}": "hot" if i % 3 == 0 else rng.choice("uvwxyz") for i in range(200)}
+    files = list(files.items())
+    existing = paths(files) if target == "/r" else {f"/t/{d}/{n}{m}.{e}" for _, (d, n, m, e) in zip(range(150), iter(lambda: (rng.choice(["d", "d/e", "f"]), rng.choice("abcdefgh") + str(rng.randrange(40)), rng.choice(["", "", "-duplicate-001", "-duplicate-002", "-duplicate-004"]), rng.choice("jk")), None))}
+    first = sorted(p for p, c in files if c == "hot")[0].rpartition("/")[2]
+    plain, ext = split(strip(first))
+    if target == "/t":  # the hot group's targets are there, and many of their numbers
+        existing |= {f"/t/{d}/{plain}{m}.{ext}" for d in ("d", "f") for m in ["", *(f"-duplicate-{k:03d}" for k in range(1, 60) if k % 4 < 2 or k > 50)]}
+    inventory(spark, files).repartition(3).write.parquet(f"{tmp_path}/files")
+    df, on_disk = spark.read.parquet(f"{tmp_path}/files"), spark.createDataFrame([(p,) for p in existing], "path string")
+    o = RenameOptions("/r", None if target == "/r" else target)
+    for query, new_name, key in (
+        (commands.content_hash(o), strip, lambda path, name, content: content),
+        (commands.lower(o), lambda n: strip(n).lower(), lambda path, name, content: path),
+    ):
+        assert planned(query.plan(df, on_disk)) == rename(files, new_name, key, existing, "/r", target)
+
+
+def test_companions_of_divided_inventories(spark, tmp_path, monkeypatch):
+    rng = random.Random(1)
+    rows = [(f"/r/{rng.choice('ab')}/I{i}.{e}", (f"2024:01:20 12:10:0{0 if i % 3 == 0 else rng.randrange(9)}", None) if e != "mov" else None) for i in range(60) for e in rng.sample(["JPG", "HEIC", "mov"], 2)]
+    kind = "path string, exif struct<date_time_original:string,sub_sec_time_original:string>"
+    expected = planned(commands.exif_date(RenameOptions("/r")).plan(spark.createDataFrame(rows, kind)))
+    monkeypatch.setattr(plans, "LARGE_BYTES", 0)
+    monkeypatch.setattr(plans, "TASK_ROWS", 10)
+    spark.createDataFrame(rows, kind).write.parquet(f"{tmp_path}/files")
+    assert planned(commands.exif_date(RenameOptions("/r")).plan(spark.read.parquet(f"{tmp_path}/files"))) == expected
+
+
+def test_a_hot_group_is_spread(spark, tmp_path, monkeypatch):
+    """A third of all files with one content: no bucket has over twice a task's rows, and plans are as without buckets."""
+    spark.range(30_000).selectExpr("concat('/r/d', id % 7, '/f', id) path", "if(id % 3 = 0, 'hot', string(id div 2)) content").write.parquet(f"{tmp_path}/files")
+    df = spark.read.parquet(f"{tmp_path}/files")
+    query = commands.content_hash(RenameOptions("/r", "/t"))
+    expected = query.plan(df).orderBy("source_path").collect()
+    monkeypatch.setattr(plans, "TASK_ROWS", 1000)
+    rows = plans.divide(query.rows(df))
+    sizes = [r["count"] for r in rows.groupBy("group_key", "bucket").count().orderBy(F.desc("count")).collect()]
+    assert 10 <= sum(n > 100 for n in sizes) and sizes[0] <= 2000
+    monkeypatch.setattr(plans, "LARGE_BYTES", 0)
+    assert query.plan(df).orderBy("source_path").collect() == expected
+
+
+def test_free_numbers_of_a_hot_group(spark, tmp_path):
+    """The k-th of 20,000 files of one target takes the k-th free number, in bins, not in one task."""
+    n = 20_000
+    files = spark.range(n).selectExpr("concat('/r/', lpad(id, 6, '0'), '.j') path", "'hot' content")
+    taken = [("/t/000000.j",)] + [(f"/t/000000-duplicate-{k:03d}.j",) for k in range(1, 3 * n // 2, 3)]
+    got = commands.content_hash(RenameOptions("/r", "/t")).plan(files, spark.createDataFrame(taken, "path string")).orderBy("source_path").select("dup_no").collect()
+    held = set(range(1, 3 * n // 2, 3))
+    free = (k for k in range(1, 3 * n) if k not in held)
+    assert [r.dup_no for r in got] == [next(free) for _ in range(n)]
+
+
+@pytest.mark.parametrize("bounds", [["b"], ["b", "d"], ["a", "c", "e", "g", "i"], [f"{i:03}" for i in range(0, 300, 3)]])
+def test_buckets(spark, bounds):
+    paths_ = sorted({*bounds, *(b + "x" for b in bounds), "", "z", "é"})
+    got = {r.path: r.b for r in spark.createDataFrame([(p,) for p in paths_], "path string").select("path", plans._bucket(F.col("path"), bounds).alias("b")).collect()}
+    assert got == {p: sum(b <= p for b in bounds) for p in paths_}
+
+
 def test_options():
     for bad in ({"copy": True}, {"skip_duplicates": True}):
         with pytest.raises(ValueError):

@@ -123,16 +123,20 @@ def with_ordinal(rows: DataFrame) -> DataFrame:
 NUMBERED = rf"(?s){N.MARKER}([0-9]{{3}}|[1-9][0-9]{{3,8}})(\.[^./]*)\z"
 
 
-def on_disk(existing: DataFrame) -> DataFrame:
-    """target, number of the paths on disk: number null for a path itself; a path with a duplicate number also counts as its number of the plain target."""
-    marked = existing.where(F.col("path").rlike(NUMBERED))
+def numbers_on_disk(existing: DataFrame) -> DataFrame:
+    """target, number of the paths on disk with a duplicate number: what the target would be without it."""
     plain, number = F.regexp_replace("path", NUMBERED, "$2"), F.regexp_extract("path", NUMBERED, 1).cast("int")
-    return existing.select(F.col("path").alias("target"), F.lit(None).cast("int").alias("number")).unionByName(marked.select(plain.alias("target"), number.alias("number")))
+    return existing.where(F.col("path").rlike(NUMBERED)).select(plain.alias("target"), number.alias("number"))
 
 
-def with_exists(rows: DataFrame, existing: DataFrame) -> DataFrame:
-    """Adds exists, whether the target is among the paths on disk, and occupied, whether any of its duplicate numbers is."""
-    found = on_disk(existing).groupBy("target").agg(F.max(F.col("number").isNull()).alias("exists"), F.max(F.col("number").isNotNull()).alias("occupied"))
+def with_exists(rows: DataFrame, existing: DataFrame, numbers: DataFrame | None = None) -> DataFrame:
+    """Adds exists, whether the target is among the paths on disk, and occupied, whether any of its duplicate numbers is.
+
+    numbers: those of ``existing``, if they are worked out already.
+    """
+    own = existing.select(F.col("path").alias("target"), F.lit(None).cast("int").alias("number"))
+    every = own.unionByName(numbers_on_disk(existing) if numbers is None else numbers)
+    found = every.groupBy("target").agg(F.max(F.col("number").isNull()).alias("exists"), F.max(F.col("number").isNotNull()).alias("occupied"))
     false = F.lit(False)
     return rows.join(found, "target", "left").withColumns({"exists": F.coalesce("exists", false), "occupied": F.coalesce("occupied", false)})
 
@@ -147,9 +151,9 @@ def counted(rows: DataFrame) -> DataFrame:
     return df.withColumn("dup_no", F.when(needs_number(), F.col("running").cast("int"))).drop("running")
 
 
-def taken_intervals(existing: DataFrame) -> DataFrame:
+def taken_intervals(numbers: DataFrame) -> DataFrame:
     """target, a, b: the taken numbers of each target as intervals from a to b that don't touch; taken: how many numbers lie before."""
-    numbers = on_disk(existing).where("number is not null").distinct()
+    numbers = numbers.distinct()
     island = F.col("number") - F.row_number().over(Window.partitionBy("target").orderBy("number"))
     joined = numbers.withColumn("island", island).groupBy("target", "island").agg(F.min("number").alias("a"), F.max("number").alias("b"))
     before = Window.partitionBy("target").orderBy("a").rowsBetween(Window.unboundedPreceding, -1)
@@ -199,7 +203,7 @@ def _run_rows(rows: list[tuple], names: list[str]) -> pa.RecordBatch:
     return pa.record_batch([pa.array([r[k] for r in rows], t) for k, t in enumerate(kinds)], names=names)
 
 
-def _between_taken(files: DataFrame, existing: DataFrame) -> DataFrame:
+def _between_taken(files: DataFrame, numbers: DataFrame) -> DataFrame:
     """path, own_no of the files that need a number, of groups some of whose numbers are taken."""
     files = files if "bucket" in files.columns else files.withColumn("bucket", F.lit(0))
     w = ordered(True)
@@ -207,13 +211,13 @@ def _between_taken(files: DataFrame, existing: DataFrame) -> DataFrame:
     files = files.where(needs_number()).select("group_key", "bucket", "phase", "path", "target", "exists", changes.alias("changes"))
     files = files.withColumn("run", F.sum("changes").over(w.rowsBetween(Window.unboundedPreceding, Window.currentRow)))
     files = files.withColumn("nth", F.row_number().over(Window.partitionBy("group_key", "bucket", "run").orderBy("phase", "path")))
-    intervals = taken_intervals(existing)
+    files, intervals = written(files, "files"), written(taken_intervals(numbers), "intervals")
     runs = files.groupBy("group_key", "bucket", "run").agg(F.first("target").alias("target"), F.first("exists").alias("exists"), F.count("*").alias("k"))
     no = F.lit(None).cast("int")
     walls = runs.where("exists").join(intervals, "target").select("group_key", "bucket", "run", "k", "a", "b")
     sent = runs.select("group_key", "bucket", "run", "k", no.alias("a"), no.alias("b")).unionByName(walls)
     begins = sent.repartition("group_key").sortWithinPartitions("group_key", "bucket", "run", F.asc_nulls_first("a")).mapInArrow(_begins, "group_key string, bucket int, run long, begin long, free long")
-    placed = files.join(begins, ["group_key", "bucket", "run"])
+    placed = files.join(written(begins, "begins"), ["group_key", "bucket", "run"])
     unchecked = placed.where("not exists").select("path", (F.col("begin") + F.col("nth") - 1).alias("own_no"))
     # of a file whose number has to be free: its rank among its target's free numbers, and the interval of free numbers that holds the rank
     ranked = placed.where("exists").select("path", "target", (F.col("free") + F.col("nth")).alias("rank"))
@@ -231,16 +235,17 @@ def _between_taken(files: DataFrame, existing: DataFrame) -> DataFrame:
 def numbered(rows: DataFrame, existing: DataFrame | None) -> DataFrame:
     """Adds exists and dup_no; with numbers on disk, each existing target takes the next free one.
 
-    Whether there are any is asked first, as a rule there are none. Then windows count.
+    The numbers on disk, as a rule none or few, are written first. Without any, windows count; else what they have counted is written once.
     """
     if existing is None:
         return counted(rows.withColumn("exists", F.lit(False)))
-    df = with_exists(rows, existing)
-    if existing.where(F.col("path").rlike(NUMBERED)).isEmpty():
-        return counted(df).drop("occupied")
-    df = counted(over_groups(df, largest={"taken": F.col("occupied")})).drop("occupied")
+    numbers = written(numbers_on_disk(existing), "numbers_on_disk")
+    if numbers.isEmpty():
+        return counted(with_exists(rows, existing, numbers)).drop("occupied")
+    df = over_groups(with_exists(rows, existing, numbers), largest={"taken": F.col("occupied")})
+    df = written(counted(df).drop("occupied"), "counted")
     own = F.when(F.col("taken"), F.col("own_no").cast("int")).otherwise(F.col("dup_no"))
-    return df.join(_between_taken(df.where("taken"), existing), "path", "left").withColumn("dup_no", own).drop("taken", "own_no")
+    return df.join(_between_taken(df.where("taken"), numbers), "path", "left").withColumn("dup_no", own).drop("taken", "own_no")
 
 
 def finished(rows: DataFrame, skip_duplicates: bool = False, copy: bool = False) -> DataFrame:

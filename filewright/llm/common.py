@@ -68,6 +68,16 @@ def repeatable(df: DataFrame) -> DataFrame:
     return df if plain else staged(df, "input")
 
 
+#: Schemes that Hadoop and pyarrow name differently.
+ARROW_SCHEMES = {"s3a": "s3", "s3n": "s3"}
+
+
+def arrow_uri(uri: str) -> str:
+    """A Hadoop address as pyarrow takes it."""
+    scheme, colon, rest = uri.partition(":")
+    return ARROW_SCHEMES.get(scheme, scheme) + colon + rest
+
+
 def filesystem(uri: str):
     """(pyarrow file system, path in it) of a folder; local folders can be memory-mapped."""
     from pyarrow import fs
@@ -75,7 +85,7 @@ def filesystem(uri: str):
     parsed = urlparse(uri)
     if parsed.scheme in ("", "file"):
         return fs.LocalFileSystem(), parsed.path
-    return fs.FileSystem.from_uri(uri)
+    return fs.FileSystem.from_uri(arrow_uri(uri))
 
 
 def releasing(run: Callable[[Iterator], Iterator]) -> Callable[[Iterator], Iterator]:

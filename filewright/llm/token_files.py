@@ -2,13 +2,14 @@
 
 Layout of a folder:
 
-* ``part-NNNNN.ids``      token ids, little-endian, ``id_bytes`` wide (2 where the vocabulary fits, else 4)
-* ``part-NNNNN.offsets``  uint64: start of each document in the whole corpus, then the end of the last
-* ``part-NNNNN.docs``     int64: the documents' ids, and one byte each (1: the id is null) in ``part-NNNNN.nulls``
-* ``index.json``          id width, end-of-document id, parts in order with their bases
-
-Documents are range-partitioned and sorted by id, so the parts in order hold the ids ascending (nulls first). A task
-writes under a name of its own and renames when done: a task that runs again replaces its file by an equal one.
+* ``NAME.ids``         token ids, little-endian, ``id_bytes`` wide (2 where the vocabulary fits, else 4)
+* ``OFFSETS.offsets``  uint64: start of each document in the whole corpus, then the end of the last
+* ``NAME.docs``        int64: the documents' ids, and one byte each (1: the id is null) in ``NAME.nulls``
+* ``index.json``       id width, end-of-document id, parts in order with their names, offsets and bases
+
+Documents are range-partitioned and sorted by id, so the parts in order hold the ids ascending (nulls first). Each attempt of a task
+writes under a name of its own, nothing is renamed, and the index lists the attempts that counted: a task that runs again leaves files that the
+index doesn't name.
 Bases are prefix sums over the parts' totals (one row a part reaches the driver). Each task streams its
 documents; it holds one Arrow batch and eight bytes a document.
 
@@ -133,6 +134,23 @@ def vocabulary_size(path: str) -> int:
     return Tokenizer.from_file(path).get_vocab_size(with_added_tokens=True)
 
 
+#: Characters of texts that are encoded at a time (or one text).
+CHARS = 1 << 20
+
+
+def together(texts: pa.Array) -> Iterator[list[str]]:
+    """The texts, 256 at most and CHARS characters (or one text) at a time."""
+    some, size = [], 0
+    for text in texts:
+        some.append(text.as_py())
+        size += len(some[-1])
+        if size > CHARS or len(some) == 256:
+            yield some
+            some, size = [], 0
+    if some:
+        yield some
+
+
 def write_token_files(docs: DataFrame, folder: str, encoder: Callable[[], Callable[[list[str]], tuple[np.ndarray, np.ndarray]]], vocabulary: int, end_id: int = 0, id_column: str = "doc_id", text_column: str = "text") -> dict:
     """Encodes and writes all documents; returns the index, also written as ``index.json``.
 
@@ -150,15 +168,16 @@ def write_token_files(docs: DataFrame, folder: str, encoder: Callable[[], Callab
         part = context.partitionId()
         store, path = filesystem(folder)
         store.create_dir(path, recursive=True)
-        own = f"{path}/.{part}-{context.taskAttemptId()}"
+        name = f"part-{part:05d}-{context.taskAttemptId()}"
+        own = f"{path}/{name}"
         encode, ids, nulls, sizes = encoder(), [], [], []
         with store.open_output_stream(f"{own}.ids") as out:
             for batch in batches:
                 ids.append(batch.column(0).fill_null(0).to_numpy(zero_copy_only=False))
                 nulls.append(batch.column(0).is_null().to_numpy(zero_copy_only=False))
                 texts = batch.column(1)
-                for i in range(0, len(texts), 256):
-                    found, lengths = encode(texts[i : i + 256].to_pylist())
+                for some in together(texts):
+                    found, lengths = encode(some)
                     sizes.append(lengths)
                     out.write(found.astype(f"<u{width}").tobytes())
         if not sizes:
@@ -168,31 +187,31 @@ def write_token_files(docs: DataFrame, folder: str, encoder: Callable[[], Callab
         for kind, data in (("local", ends), ("docs", np.concatenate(ids).astype("<i8")), ("nulls", np.concatenate(nulls).astype("u1"))):
             with store.open_output_stream(f"{own}.{kind}") as out:
                 out.write(data.tobytes())
-        for kind in ("ids", "local", "docs", "nulls"):
-            store.move(f"{own}.{kind}", f"{path}/part-{part:05d}.{kind}")
-        yield pa.record_batch({"part": pa.array([part], pa.int32()), "docs": pa.array([len(ends) - 1], pa.int64()), "ids": pa.array([int(ends[-1])], pa.int64())})
+        yield pa.record_batch({"part": pa.array([part], pa.int32()), "name": pa.array([name]), "docs": pa.array([len(ends) - 1], pa.int64()), "ids": pa.array([int(ends[-1])], pa.int64())})
 
-    parts = sorted(rows.mapInArrow(write, "part int, docs long, ids long").collect())
+    parts = sorted(rows.mapInArrow(write, "part int, name string, docs long, ids long").collect())
     start = doc = 0
     index = {"id_bytes": width, "end_id": end_id, "parts": []}
-    for part, n_docs, n_ids in parts:
-        index["parts"].append({"part": part, "first_doc": doc, "docs": n_docs, "start": start, "ids": n_ids})
+    for part, name, n_docs, n_ids in parts:
+        index["parts"].append({"part": part, "name": name, "first_doc": doc, "docs": n_docs, "start": start, "ids": n_ids})
         doc, start = doc + n_docs, start + n_ids
 
     def number(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         store, path = filesystem(folder)
         for batch in batches:
-            for part, base in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                with store.open_input_file(f"{path}/part-{part:05d}.local") as f:
+            names = []
+            for name, base in zip(batch.column(1).to_pylist(), batch.column(3).to_pylist(), strict=True):
+                with store.open_input_file(f"{path}/{name}.local") as f:
                     offsets = np.frombuffer(f.read(), "<u8") + np.uint64(base)
-                own = f"{path}/.{part}-{TaskContext.get().taskAttemptId()}.offsets"
-                with store.open_output_stream(own) as out:
+                names.append(f"{name}-{TaskContext.get().taskAttemptId()}")
+                with store.open_output_stream(f"{path}/{names[-1]}.offsets") as out:
                     out.write(offsets.tobytes())
-                store.move(own, f"{path}/part-{part:05d}.offsets")
-            yield batch
+            yield pa.record_batch([batch.column(0), pa.array(names, pa.string())], names=["part", "offsets"])
 
     if parts:
-        _parts(spark, index).mapInArrow(number, "part int, start long").count()
+        offsets = dict(_parts(spark, index).mapInArrow(number, "part int, offsets string").collect())
+        for p in index["parts"]:
+            p["offsets"] = offsets[p["part"]]
     store, path = filesystem(folder)
     store.create_dir(path, recursive=True)
     with store.open_output_stream(f"{path}/index.json") as out:
@@ -201,8 +220,8 @@ def write_token_files(docs: DataFrame, folder: str, encoder: Callable[[], Callab
 
 
 def _parts(spark: SparkSession, index: dict) -> DataFrame:
-    rows = [(p["part"], p["start"]) for p in index["parts"]]
-    return spark.createDataFrame(rows, "part int, start long").repartitionById(max(1, len(rows)), F.col("part") % max(1, len(rows)))
+    rows = [(p["part"], p["name"], p.get("offsets"), p["start"]) for p in index["parts"]]
+    return spark.createDataFrame(rows, "part int, name string, offsets string, start long").repartitionById(max(1, len(rows)), F.col("part") % max(1, len(rows)))
 
 
 def read_token_files(spark: SparkSession, folder: str) -> DataFrame:
@@ -214,10 +233,9 @@ def read_token_files(spark: SparkSession, folder: str) -> DataFrame:
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part, base in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                name = f"part-{part:05d}"
-                ids, offsets, docs, nulls = (open_array(folder, f"{name}.{kind}", t) for kind, t in (("ids", f"<u{width}"), ("offsets", "<u8"), ("docs", "<i8"), ("nulls", "u1")))
-                starts = offsets.astype(np.int64)
+            for part, name, numbers, base in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                ids, docs, nulls = (open_array(folder, f"{name}.{kind}", t) for kind, t in (("ids", f"<u{width}"), ("docs", "<i8"), ("nulls", "u1")))
+                starts = open_array(folder, f"{numbers}.offsets", "<u8").astype(np.int64)
                 for at in range(0, len(docs), 20_000):
                     some = slice(at, min(at + 20_000, len(docs)))
                     bounds = starts[at : some.stop + 1] - base

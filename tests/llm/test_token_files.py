@@ -4,12 +4,13 @@ from functools import partial
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 from data import awkward, frame
 from tokenizers import Tokenizer
 
-from filewright.llm.common import filesystem, shared_dir
-from filewright.llm.token_files import ByteBpe, byte_bpe, op1_token_files, open_array, read_token_files, vocabulary_size, write_token_files
+from filewright.llm.common import arrow_uri, filesystem, shared_dir
+from filewright.llm.token_files import ByteBpe, byte_bpe, op1_token_files, open_array, read_token_files, together, vocabulary_size, write_token_files
 
 PATH = public_tokenizers.path("byte_bpe_50k.json")
 
@@ -46,11 +47,36 @@ def test_files(spark, library):
     store, path = filesystem(folder)
     with store.open_input_file(f"{path}/index.json") as f:
         assert json.loads(f.read()) == index and index["id_bytes"] == 2
-    ids = np.concatenate([open_array(folder, f"part-{p['part']:05d}.ids", "<u2") for p in index["parts"]])
-    ends = [open_array(folder, f"part-{p['part']:05d}.offsets", "<u8")[-1] for p in index["parts"]]
+    ids = np.concatenate([open_array(folder, f"{p['name']}.ids", "<u2") for p in index["parts"]])
+    ends = [open_array(folder, f"{p['offsets']}.offsets", "<u8")[-1] for p in index["parts"]]
     assert len(ids) == start == ends[-1] and (ids == 0).sum() >= len(texts)
 
 
+def test_texts_come_together_by_characters():
+    texts = ["a" * 10, "", "b" * 30, "c", "d" * 5] * 100
+    for most in (1, 12, 10**6):
+        with pytest.MonkeyPatch.context() as m:
+            m.setattr("filewright.llm.token_files.CHARS", most)
+            parts = list(together(pa.array(texts)))
+        assert [t for p in parts for t in p] == texts and all(len(p) <= 256 and sum(map(len, p[:-1])) <= most for p in parts)
+
+
+def test_a_task_that_ran_before_leaves_no_trace(spark, library):
+    """Files of another attempt, whole or half, lie in the folder and aren't read."""
+    folder = shared_dir(spark, "test")
+    for _ in range(2):
+        write_token_files(frame(spark, awkward()), folder, partial(byte_bpe, PATH, 0), vocabulary_size(PATH))
+        store, path = filesystem(folder)
+        with store.open_output_stream(f"{path}/part-00000-999.ids") as out:
+            out.write(b"x")
+    assert read_token_files(spark, folder).count() == len(awkward())
+
+
+@pytest.mark.parametrize("uri, expected", [("s3a://b/c/d", "s3://b/c/d"), ("s3n://b", "s3://b"), ("s3://b/c", "s3://b/c"), ("abfs://c@a.dfs.core.windows.net/p", "abfs://c@a.dfs.core.windows.net/p"), ("hdfs://h:1/p", "hdfs://h:1/p"), ("gs://b/s3a:x", "gs://b/s3a:x")])
+def test_addresses(uri, expected):
+    assert arrow_uri(uri) == expected
+
+
 def test_empty(spark):
     folder = shared_dir(spark, "test")
     assert write_token_files(frame(spark, []), folder, partial(byte_bpe, PATH, 0), 50257)["parts"] == []

@@ -6,13 +6,14 @@ the documents meet those of the benchmark in a hash join. A window that holds pl
 alignment of a document with an item, each value of the item's slots must stand for one value in the document. So a
 question with other numbers, names or units is found, and chance agreement of placeholders isn't.
 
-Windows of an item with more than ``SLOTS`` placeholders say little. An item that has others is judged by those; one that has no
-others leaks where all its windows match on one alignment with consistent slots. Otherwise an item leaks into a document if
-``ENOUGH`` of its windows match, or half of them where it has fewer than twice as many.
+Windows of an item with more than ``SLOTS`` placeholders say little by themselves. In an item that has others, such a window counts where it matches
+next to windows that count, in one run on one alignment; it is looked for only there. An item that has no others leaks where all its windows
+match on one alignment with consistent slots. Otherwise an item leaks into a document if ``ENOUGH`` of its windows match, or half of all its windows where it has fewer
+than twice as many.
 
 Beside templates, literal windows of lower-case words are matched by the same count: they find copies in other capitals and of items that are mostly
-values. An item of fewer than ``WINDOW`` words is one literal window. ``matched`` and ``windows`` are the template's where that finds
-the item, else the literal windows'.
+values. An item of fewer than ``WINDOW`` words is one literal window if it has ``SHORT_WORDS`` words and ``SHORT_LETTERS`` characters; a shorter one ("the") leaks only into a
+document that holds nothing else. ``matched`` and ``windows`` are the template's where that finds the item, else the literal windows'.
 
 Up to ``CONSTANTS`` windows of a benchmark are looked up inside each text's array of windows, so that only those that
 match become rows; a larger benchmark meets all windows as rows. The benchmark's windows are broadcast up to ``BROADCAST_ROWS`` rows and joined by a shuffle beyond; so are the rows to
@@ -25,14 +26,16 @@ scan is written once, so that rows keep their numbers.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from filewright.llm.common import numbered, repeatable, staged, table, text_or_empty
 
 WINDOW, ENOUGH = 5, 9
-#: Placeholders that a window may hold.
+#: Placeholders from which more make a window vague.
 SLOTS = 2
+#: Of items below WINDOW words: words and characters that are looked for inside of texts.
+SHORT_WORDS, SHORT_LETTERS = 3, 12
 BROADCAST_ROWS = 1_000_000
 #: Benchmark windows that are also looked up before texts are taken apart.
 CONSTANTS = 20_000
@@ -77,23 +80,30 @@ def _window_hashes(df: DataFrame, row: str, text: Column) -> DataFrame:
 
 
 def _literal_hashes(df: DataFrame, row: str, text: Column, short: list[int] | None = None) -> DataFrame:
-    """row, w: the hashes of the literal windows, and of those of the lengths in ``short``.
+    """row, w: the hashes of the literal windows, and of those of the lengths in ``short``; of a short text also that of the whole text.
 
-    Without ``short``, a text of fewer than ``WINDOW`` words is one window.
+    Without ``short``, a text of fewer than ``WINDOW`` words is one window, or, if it is very short, only the whole text.
     """
     words = _marked(df, row, text).select(row, _words(F.translate("marked", NAME + UNIT, "")).alias("words"))
-    hashes = words.select(row, F.transform("words", lambda w: F.xxhash64(w)).alias("h"))
+    hashes = words.select(row, F.transform("words", lambda w: F.xxhash64(w)).alias("h"), F.length(F.array_join("words", "")).alias("letters"))
 
     def of(size: int) -> Column:
         places = F.when(F.size("h") >= size, F.sequence(F.lit(0), F.size("h") - size)).otherwise(F.expr("array_repeat(0, 0)"))
         return F.transform(places, lambda i: F.xxhash64(F.lit(size), *[F.get("h", i + k) for k in range(size)]))
 
-    if short is not None:
-        return hashes.select(row, F.concat(*[of(n) for n in (WINDOW, *short)]).alias("w"))
-    whole = of(WINDOW)
+    def only(size: int) -> Column:
+        """The window of a text of just so many words."""
+        return F.array(F.xxhash64(F.lit(-size), *[F.get("h", F.lit(k)) for k in range(size)]))
+
+    whole = F.expr("cast(array() as array<bigint>)")
     for n in range(1, WINDOW):
-        whole = F.when(F.size("h") == n, of(n)).otherwise(whole)
-    return hashes.select(row, whole.alias("w"))
+        whole = F.when(F.size("h") == n, only(n)).otherwise(whole)
+    if short is not None:
+        return hashes.select(row, F.concat(*[of(n) for n in (WINDOW, *short)], whole).alias("w"))
+    inside = of(WINDOW)
+    for n in range(SHORT_WORDS, WINDOW):
+        inside = F.when((F.size("h") == n) & (F.col("letters") >= SHORT_LETTERS), of(n)).otherwise(inside)
+    return hashes.select(row, F.when(F.size("h").between(1, WINDOW - 1) & ((F.size("h") < SHORT_WORDS) | (F.col("letters") < SHORT_LETTERS)), whole).otherwise(inside).alias("w"))
 
 
 def _bitmap(hashes: list[int]) -> tuple[Column, int]:
@@ -156,7 +166,7 @@ def _literal(rows: DataFrame, items: DataFrame) -> DataFrame:
     """row, item, matched, windows of the items that leak literally."""
     known = staged(_windows(_literal_hashes(items, "item", F.col("item_text")), "item").withColumnRenamed("at", "item_at"), "literal_windows")
     sizes = _marked(items, "item", F.col("item_text")).select(F.size(_words(F.translate("marked", NAME + UNIT, ""))).alias("n"))
-    short = [x.n for x in sizes.where(F.col("n").between(1, WINDOW - 1)).distinct().collect()]
+    short = [x.n for x in sizes.where(F.col("n").between(SHORT_WORDS, WINDOW - 1)).distinct().collect()]
     return _judged(_found(_literal_hashes(rows, "row", F.col("text"), sorted(short)), known), known)
 
 
@@ -171,8 +181,16 @@ def leaks(docs: DataFrame, benchmark: DataFrame, text_column: str = "text", item
     every = _windows(_window_hashes(items, "item", F.col("item_text")), "item").withColumnRenamed("at", "item_at")
     marked = every.join(vague.withColumn("vague", F.lit(True)).drop("n"), ["item", "item_at"], "left").withColumn("vague", F.coalesce("vague", F.lit(False)))
     only = marked.groupBy("item").agg(F.min("vague").alias("only_vague"), F.count("*").alias("all_windows"))
-    known = staged(marked.join(only, "item").where("only_vague or not vague").drop("vague"), "item_windows")
-    found = staged(_found(_window_hashes(rows, "row", F.col("text")), known), "matches")
+    known = staged(marked.join(only, "item"), "item_windows")
+    found = staged(_found(_window_hashes(rows, "row", F.col("text")), staged(known.where("only_vague or not vague"), "asked_windows")), "matches")
+    beside = known.where("vague and not only_vague").select("item", F.col("item_at").alias("vague_at"), F.col("window").alias("vague_window"))
+    if not beside.isEmpty():
+        # vague windows are looked for on the alignments of the others
+        aligned = staged(found.select("row", "item", (F.col("at") - F.col("item_at")).alias("shift")).distinct().join(_sized(beside), "item"), "vague_spots")
+        again = _window_hashes(rows.join(_sized(staged(aligned.select("row").distinct(), "vague_rows")), "row", "left_semi"), "row", F.col("text"))
+        at = F.col("vague_at") + F.col("shift")
+        met = again.join(aligned, "row").where((at >= 0) & (F.get("w", at) == F.col("vague_window")))
+        found = staged(found.unionByName(met.select("row", at.alias("at"), "item", F.col("vague_at").alias("item_at"))), "all_matches")
     # slots of both sides, for windows that hold a placeholder
     spots = found.withColumn("k", F.explode(F.array(*[F.lit(k) for k in range(WINDOW)]))).select("row", "item", (F.col("at") - F.col("item_at")).alias("shift"), "item_at", (F.col("item_at") + F.col("k")).alias("place"))
     spots = staged(spots.join(_sized(own), ["item", "place"]), "slot_pairs")
@@ -190,6 +208,12 @@ def leaks(docs: DataFrame, benchmark: DataFrame, text_column: str = "text", item
     # items of vague windows only must match as wholes on one alignment
     strict = _sized(staged(known.where("only_vague").select("item", "all_windows").distinct(), "vague_items"))
     whole = matches.join(strict, "item").groupBy("row", "item", "shift", "all_windows").agg(F.countDistinct("item_at").alias("n")).where("n = all_windows").select("row", "item", "shift")
+    if not beside.isEmpty():
+        # of a run on one alignment, vague windows count if another window is in it
+        marks = matches.join(_sized(beside.select("item", F.col("vague_at").alias("item_at"), F.lit(True).alias("vague"))), ["item", "item_at"], "left").withColumn("plain", F.col("vague").isNull())
+        run = F.col("item_at") - F.row_number().over(Window.partitionBy("row", "item", "shift").orderBy("item_at"))
+        marks = marks.withColumn("run", run).withColumn("held", F.max("plain").over(Window.partitionBy("row", "item", "shift", "run")))
+        matches = marks.where("held").drop("plain", "vague", "run", "held")
     matches = matches.join(strict, "item", "left_anti").select("row", "item", "item_at").unionByName(matches.join(whole, ["row", "item", "shift"], "left_semi").select("row", "item", "item_at"))
     by_template = staged(_judged(matches, known), "by_template")
     literal = staged(_literal(rows, items), "literal")

@@ -23,15 +23,27 @@ def brute(text, item):
     """Matched windows of the item in the text."""
     (a, av), (b, bv) = template(text), template(item)
     slots = lambda j: [k for k in range(j, j + WINDOW) if b[k] != bv[k]]
-    known = [j for j in range(len(b) - WINDOW + 1) if len(slots(j)) <= SLOTS]
-    found = [(i, j) for i in range(len(a) - WINDOW + 1) for j in known if a[i : i + WINDOW] == b[j : j + WINDOW]]
+    windows = len(b) - WINDOW + 1
+    plain = {j for j in range(windows) if len(slots(j)) <= SLOTS}
+    found = [(i, j) for i in range(len(a) - WINDOW + 1) for j in range(windows) if a[i : i + WINDOW] == b[j : j + WINDOW]]
+    found = [(i, j) for i, j in found if any(i - j == x - y for x, y in found if y in plain)]  # vague ones on the others' alignments
     stands: dict = {}
     for i, j in found:
         for k in slots(j):
             stands.setdefault((i - j, bv[k]), set()).add(av[k + i - j])
-    good = {j for i, j in found if all(len(stands[i - j, bv[k]]) == 1 for k in slots(j))}
-    windows = len(known)
-    return (len(good), windows) if windows and len(good) >= min(ENOUGH, -(-windows // 2)) else None
+    kept = {(i, j) for i, j in found if all(len(stands[i - j, bv[k]]) == 1 for k in slots(j))}
+
+    def held(i, j):
+        for step in (-1, 1):
+            x, y = i, j
+            while (x, y) in kept:
+                if y in plain:
+                    return True
+                x, y = x + step, y + step
+        return False
+
+    good = {j for i, j in kept if held(i, j)}
+    return (len(good), windows) if plain and len(good) >= min(ENOUGH, -(-windows // 2)) else None
 
 
 QUESTION = "If Anna buys 12 apples and gives 5 kg of them to Bob, and then Anna sells 12 more, how many does she have left?"
@@ -79,6 +91,27 @@ def test_items_of_values_short_items_and_other_capitals(spark):
     assert sorted((ids[r.row], r.item_id) for r in leaks(df, benchmark).collect()) == [(0, 1), (1, 1), (2, 2), (3, 2), (4, 3)]
 
 
+MIXED = "Compute 12 x 7 + 30 - 4 for the sake of it"
+
+
+def test_vague_windows_count_beside_others(spark):
+    """An item with plain and vague windows: a copy with other values has all of them; its plain end alone is no leak."""
+    benchmark = spark.createDataFrame([(1, MIXED)], ITEM)
+    texts = ["I paid 20 for the sake of it", MIXED, "so compute 13 x 9 + 31 - 6 for the sake of it all", "Compute 1 x 2 + 3 - 4 as you like, for the sake of nothing", "7 8 for the sake of it"]
+    df = frame(spark, list(enumerate(texts)))
+    ids = {r.n: r.doc_id for r in df.selectExpr("monotonically_increasing_id() as n", "doc_id").collect()}
+    got = {(ids[r.row], r.matched, r.windows) for r in leaks(df, benchmark).collect()}
+    assert got == {(i, *found) for i, t in enumerate(texts) if (found := brute(t, MIXED))} and {i for i, _, _ in got} == {1, 2}
+
+
+def test_very_short_items_leak_only_as_whole_texts(spark):
+    benchmark = spark.createDataFrame([(1, "the"), (2, "one of the"), (3, "Who wrote Faust?")], ITEM)
+    texts = ["the one of the many", "The.", "One, of the!", "so who wrote faust then", "Who wrote Faust?", ""]
+    df = frame(spark, list(enumerate(texts)))
+    ids = {r.n: r.doc_id for r in df.selectExpr("monotonically_increasing_id() as n", "doc_id").collect()}
+    assert sorted((ids[r.row], r.item_id) for r in leaks(df, benchmark).collect()) == [(1, 1), (2, 2), (3, 3), (4, 3)]
+
+
 def test_empty_tables(spark):
     df, benchmark = frame(spark, awkward()), spark.createDataFrame([(1, QUESTION)], ITEM)
     assert decontaminate(df, benchmark.limit(0)).count() == df.count()

@@ -16,6 +16,7 @@ from filewright.operators.journal import new_journal, write_plan, written_plan
 from filewright.operators.pairing import with_companions
 from filewright.operators.plan import rename_plan, with_targets
 from filewright.operators.sink import Outcome, apply_on_executors, apply_plan
+from filewright.operators.staging import written
 from filewright.plans.options import RenameOptions
 from filewright.sources import content, inventory
 
@@ -53,10 +54,15 @@ class RenameQuery:
         return self.expand(rows) if self.expand else rows
 
     def scan(self, spark: SparkSession) -> DataFrame:
-        """The source directory as the inventory that this command needs: only files whose names pass are opened."""
+        """The source directory as the inventory that this command needs: only files whose names pass are opened.
+
+        Keys of contents are written once, so bytes are read once whatever becomes of the executors.
+        """
         files = inventory.scan(spark, self.options.source_dir)
         if self.filename_regex is not None:
             files = filename_matches(names.decomposed(files), self.filename_regex).where("is_file").select(*files.columns)
+        if self.reads == "content_hash":
+            return written(content.content_tiers(files).drop("tier"), "content")
         return content.with_read(files, self.reads) if self.reads else files
 
     def plan(self, files: DataFrame, existing: DataFrame | None = None) -> DataFrame:

@@ -149,6 +149,7 @@ simple("p2_strip_marker", v4, "path, regexp_replace(stem, '-duplicate-[0-9]{3}$'
 simple("p3_inherit", v5, f"path, {INHERIT} AS new_name", lambda: [N.inherited(C("stem"), C("ext")).alias("new_name")])
 simple("p4_lower", v1, f"path, lower({INHERIT}) AS new_name", lambda: [N.lower_case(C("stem"), C("ext")).alias("new_name")])
 simple("p5_regex", v4, rf"path, regexp_replace({INHERIT}, '^(.+)(jpeg)$', '\1jpg', 'g') AS new_name", lambda: [N.replaced(C("stem"), C("ext"), commands.DEFAULT_PATTERN, commands.DEFAULT_REPLACEMENT).alias("new_name")])
+simple("p5_posix_classes", v1, f"path, regexp_replace({INHERIT}, '[[:upper:]]+', 'X', 'g') AS new_name", lambda: [N.replaced(C("stem"), C("ext"), "/[[:upper:]]+/", "X").alias("new_name")])
 DATE_GROUPS = r"^(\d{2})-(\d{2})-(\d{2}).(\d{2})-(\d{2})-(\d{2})(.+)$"
 YEAR = "CASE WHEN CAST({y} AS INTEGER) >= 70 THEN CAST({y} AS INTEGER) + 1900 ELSE CAST({y} AS INTEGER) + 2000 END"
 

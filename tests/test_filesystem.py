@@ -9,6 +9,7 @@ from filewright.__main__ import main
 from filewright.operators.sink import PlanError, apply_on_executors, apply_plan, transfer
 from filewright.plans import commands
 from filewright.plans.options import RenameOptions
+from filewright.sources import content
 from filewright.sources.content import with_read
 from filewright.sources.exif import capture_fields, exif
 from filewright.sources.inventory import scan
@@ -75,6 +76,37 @@ def test_bytes_are_read_where_the_files_are(spark, tmp_path, monkeypatch):
     assert fields == {"a.jpg": ("2024:01:20 12:10:05", "555"), "b.tif": ("2024:01:20 12:10:05", None), "c.txt": (None, None), "d.txt": (None, None), "broken": (None, None)}
 
 
+@pytest.mark.parametrize("edge", [4, 1 << 16])
+def test_contents_in_tiers(spark, tmp_path, monkeypatch, edge):
+    """The same groups as by whole hashes; files with a size of their own, and empty ones, aren't opened, and only files with equal edges are read whole."""
+    monkeypatch.setattr(content, "EDGE", edge)
+    long_ = b"head" + b"x" * 40 + b"tail"
+    files = {"a": b"", "d/b": b"", "alone": b"1234567", "c": b"abc", "d/d": b"abc", "e": b"xyz", "f": long_, "g": long_, "h": b"head" + b"y" * 40 + b"tail", "i": b"HEAD" + b"x" * 40 + b"tail", "j": b"head" + b"x" * 40 + b"TAIL"}
+    write(tmp_path, files)
+    os.symlink("nowhere", f"{tmp_path}/broken")
+    rows = {os.path.relpath(r.path, tmp_path): r for r in content.content_tiers(scan(spark, str(tmp_path))).collect()}
+    assert set(rows) == {*files, "broken"} and rows["broken"].content_hash is None
+    for a in files:
+        for b in files:
+            assert (files[a] == files[b]) == (rows[a].content_hash == rows[b].content_hash), (a, b)
+    assert [rows[n].tier for n in ("a", "d/b", "alone")] == [0, 0, 0] and [rows[n].tier for n in "cefghij"] == ([1, 1, 2, 2, 2, 1, 1] if edge == 4 else [1] * 7)
+    command = commands.content_hash(RenameOptions(str(tmp_path)))
+    whole = commands.content_hash(RenameOptions(str(tmp_path))).plan(scan(spark, str(tmp_path), content=True))
+    show = lambda plan: sorted((r.source_path, r.target_path, r.idx, r.dup_no) for r in plan.collect())
+    assert show(command.plan(command.scan(spark))) == show(whole)
+
+
+def test_files_of_their_own_size_are_not_opened(spark, tmp_path):
+    write(tmp_path, {"alone": b"1234567", "x": b"abc", "y": b"abd", "control": b"control bytes"})
+    for n in ("alone", "x", "y", "control"):
+        os.utime(f"{tmp_path}/{n}", (1, 10**9))
+    read(f"{tmp_path}/control")
+    if os.stat(f"{tmp_path}/control").st_atime == 1:
+        pytest.skip("this file system keeps no times of access")
+    content.content_tiers(scan(spark, str(tmp_path))).collect()
+    assert os.stat(f"{tmp_path}/alone").st_atime == 1 and os.stat(f"{tmp_path}/x").st_atime > 1
+
+
 def read(path):
     with open(path, "rb") as f:
         return f.read()

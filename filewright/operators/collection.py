@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from filewright.operators.staging import written
+
 
 def filtered(df: DataFrame, condition: Column) -> DataFrame:
     return df.where(condition)
@@ -19,15 +21,33 @@ def with_upper_case(df: DataFrame) -> DataFrame:
     return filename_matches(df, "[A-Z]")
 
 
-def sliced(df: DataFrame, order: list[str], offset: int, length: int | None = None) -> DataFrame:
-    """Rows from an offset on; a negative offset counts from the end, a negative length leaves so many at the end."""
-    if offset >= 0 and (length is None or length >= 0):
-        rows = df.orderBy(*order).offset(offset)
-        return rows if length is None else rows.limit(length)
-    n = df.count()
+def _placed(df: DataFrame, order: list[str], rank: str) -> tuple[DataFrame, int]:
+    """The sorted rows, written once, with their ranks, and their number. A rank is the row's place in its range plus the rows of the ranges before."""
+    rows = written(df.orderBy(*order).withColumn(rank, F.monotonically_increasing_id()), "ranked")
+    part = F.shiftright(rank, 33)
+    sizes = sorted(rows.groupBy(part.alias("part")).count().collect())  # one row a range
+    bases, n = [], 0
+    for number, size in sizes:
+        bases.append((number, n))
+        n += size
+    bases = F.broadcast(df.sparkSession.createDataFrame(bases, "_part long, _base long"))
+    place = F.col("_base") + F.col(rank).bitwiseAND(F.lit((1 << 33) - 1))
+    return rows.join(bases, part == F.col("_part")).withColumn(rank, place).drop("_part", "_base"), n
+
+
+def ranked(df: DataFrame, order: list[str], rank: str = "rank") -> DataFrame:
+    """Adds each row's place in the order, from 0. Rows are sorted by ranges and written once; nothing meets in one task."""
+    return _placed(df, order, rank)[0]
+
+
+def sliced(df: DataFrame, order: list[str], offset: int, length: int | None = None, rank: str | None = None) -> DataFrame:
+    """Rows from an offset on, in order; a negative offset counts from the end, a negative length leaves so many at the end. ``rank`` keeps their places by that name."""
+    name = rank or "_rank"
+    rows, n = _placed(df, order, name)
     begin = max(0, n + offset) if offset < 0 else offset
     end = n if length is None else (n + length if length < 0 else begin + length)
-    return df.orderBy(*order).offset(begin).limit(max(0, end - begin))
+    rows = rows.where((F.col(name) >= begin) & (F.col(name) < end)).orderBy(name)
+    return rows if rank else rows.drop(name)
 
 
 def appended(df: DataFrame, other: DataFrame) -> DataFrame:

@@ -193,6 +193,9 @@ query("f2_uppercase_filter", parted_sql("v1", "regexp_matches(filename, '[A-Z]')
 query("f8_filter", parted_sql("v5", "length(filename) > 4"))(lambda s, d: collection.filtered(parted(v5)(s, d), F.length("filename") > 4))
 query("o1_sort", parted_sql("v4"))(lambda s, d: parted(v4)(s, d).orderBy("filename", "path"))
 query("o2_slice", parted_sql("v4") + " ORDER BY path OFFSET 100 LIMIT 50")(lambda s, d: collection.sliced(parted(v4)(s, d), ["path"], 100, 50))
+query("o1_sort_ranks", f"SELECT path, filename, row_number() OVER (ORDER BY filename, path) - 1 AS rank FROM ({parted_sql('v4')})")(lambda s, d: collection.ranked(parted(v4)(s, d), ["filename", "path"]))
+query("o2_slice_from_end", f"SELECT * FROM (SELECT path, filename, row_number() OVER (ORDER BY path) - 1 AS rank FROM ({parted_sql('v4')})) WHERE rank >= (SELECT count(*) - 120 FROM part) AND rank < (SELECT count(*) - 20 FROM part)")(lambda s, d: collection.sliced(parted(v4)(s, d), ["path"], -120, -20, rank="rank"))
+query("o3_scan_ranks", f"SELECT path, filename, row_number() OVER (ORDER BY path) - 1 AS rank FROM ({parted_sql('v5')})")(lambda s, d: collection.ranked(parted(v5)(s, d), ["path"]))
 query("o3_scan_order", parted_sql("v5"))(lambda s, d: scan_order(v5(s, d)).select("path", "filename"))
 query("u2_append", parted_sql("v4") + " UNION ALL " + parted_sql("v5"))(lambda s, d: collection.appended(parted(v4)(s, d), parted(v5)(s, d)))
 query("c1_lookup", parted_sql("v5", "filename IN ('1.html', '25', '100.html')"))(lambda s, d: collection.looked_up(parted(v5)(s, d), "filename", ["1.html", "25", "100.html"]))

@@ -9,7 +9,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from filewright.functions.names import inherited
+from filewright.functions.names import inherited, joined
 from filewright.functions.patterns import date_format_of, date_pattern, group_count, optional_groups
 
 DEFAULT_CAPTURE_FORMAT = "Y-m-d_H-i-s-v"
@@ -131,7 +131,7 @@ def _formatted(format_: str, at: Moment) -> Column:
 _MATCH, _GROUP = "\x00\x01", "\x00\x02"
 
 
-def date_renamed(stem_: Column, ext: Column, pattern: str, replacement: str) -> Column:
+def date_renamed(stem_: Column, ext: Column, pattern: str, replacement: str, strict: bool = True) -> Column:
     """The name with every date that a date pattern finds formatted anew, and the match's last capture group after each.
 
     Input is the name without a duplicate number; without a match it is unchanged. Parts that the pattern lacks are 0 (year, time) or 1
@@ -153,7 +153,7 @@ def date_renamed(stem_: Column, ext: Column, pattern: str, replacement: str) ->
         last = [F.get(g, F.lit(k)) for k in range(groups, max(groups - optional, 0) - 1, -1)]
         return F.concat(formatted(format_, at), F.coalesce(*[F.nullif(x, F.lit("")) for x in last[:-1]], last[-1]))
 
-    marked = F.regexp_replace(inherited(stem_, ext), F.lit(compiled.java), F.lit(_MATCH + listed + _MATCH))
+    marked = F.regexp_replace(inherited(stem_, ext, strict), F.lit(compiled.java), F.lit(_MATCH + listed + _MATCH))
     each = lambda x, i: F.when(i % 2 == 1, bound(F.split(x, _GROUP), made)).otherwise(x)
     return F.array_join(F.transform(F.split(marked, _MATCH), each), "")
 
@@ -190,9 +190,9 @@ def capture_time(original: Column, sub_second: Column) -> Column:
     return F.timestamp_add("MICROSECOND", micro, ts)
 
 
-def capture_renamed(original: Column, sub_second: Column, ext: Column, format_: str = DEFAULT_CAPTURE_FORMAT) -> Column:
+def capture_renamed(original: Column, sub_second: Column, ext: Column, format_: str = DEFAULT_CAPTURE_FORMAT, strict: bool = True) -> Column:
     """The capture time as a name with the file's own extension; null without a usable time."""
     zoned = any(c in _ZONED for c in re.sub(r"\\.", "", format_))
     zone = capture_zone(original) if zoned else F.lit(None).cast("string")
     parts = F.struct(capture_time(original, sub_second).alias("ts"), zone.alias("zone"))
-    return F.concat(bound(parts, lambda p: formatted(format_, moment_of(p["ts"], p["zone"]))), F.lit("."), ext)
+    return joined(bound(parts, lambda p: formatted(format_, moment_of(p["ts"], p["zone"]))), ext, strict)

@@ -42,19 +42,25 @@ def without_marker(stem_: Column) -> Column:
     return F.regexp_replace(stem_, f"{MARKER}[0-9]{{3}}$", "")
 
 
-def inherited(stem_: Column, ext: Column) -> Column:
-    """The name without a duplicate number. A name without extension gains a dot; ``.hidden`` becomes ``.hidden.hidden``."""
-    return F.concat(without_marker(stem_), F.lit("."), ext)
+def joined(stem_: Column, ext: Column, strict: bool = True) -> Column:
+    """Stem, dot and extension. Where that isn't ``strict``, a name without extension stays without a dot, and so does one that is all extension (``.hidden``)."""
+    name = F.concat(stem_, F.lit("."), ext)
+    return name if strict else F.when((ext == "") | (F.regexp_replace(stem_, f"{MARKER}[0-9]+$", "") == F.concat(F.lit("."), ext)), stem_).otherwise(name)
 
 
-def lower_case(stem_: Column, ext: Column) -> Column:
-    return F.lower(inherited(stem_, ext))
+def inherited(stem_: Column, ext: Column, strict: bool = True) -> Column:
+    """The name without a duplicate number. A name without extension gains a dot, and ``.hidden`` becomes ``.hidden.hidden``, unless that isn't ``strict``."""
+    return joined(without_marker(stem_), ext, strict)
 
 
-def replaced(stem_: Column, ext: Column, pattern: str, replacement: str) -> Column:
+def lower_case(stem_: Column, ext: Column, strict: bool = True) -> Column:
+    return F.lower(inherited(stem_, ext, strict))
+
+
+def replaced(stem_: Column, ext: Column, pattern: str, replacement: str, strict: bool = True) -> Column:
     """All matches of a delimited pattern replaced; unchanged without a match."""
     java = java_regex(pattern)
-    return F.regexp_replace(inherited(stem_, ext), F.lit(java), F.lit(java_replacement(replacement, group_count(java))))
+    return F.regexp_replace(inherited(stem_, ext, strict), F.lit(java), F.lit(java_replacement(replacement, group_count(java))))
 
 
 def target_directory(dir_: Column, source_root: str, target_root: str) -> Column:
@@ -67,9 +73,9 @@ def target_path(dir_: Column, name: Column, source_root: str, target_root: str)
     return F.concat(target_directory(dir_, source_root, target_root), F.lit("/"), name)
 
 
-def duplicate_name(stem_: Column, number: Column, ext: Column) -> Column:
+def duplicate_name(stem_: Column, number: Column, ext: Column, strict: bool = True) -> Column:
     """Three digits at least; more from 1000 on."""
-    return F.concat(stem_, F.lit(MARKER), F.format_string("%03d", number), F.lit("."), ext)
+    return joined(F.concat(stem_, F.lit(MARKER), F.format_string("%03d", number)), ext, strict)
 
 
 def is_duplicate(name: Column) -> Column:

@@ -97,11 +97,11 @@ def with_targets(inventory: DataFrame, new_name: Column, key: Column, source_roo
     return (df.where(F.col("group_key").isNotNull()) if nullable_key and not keep_unnamed else df).withColumn("phase", F.lit(0))
 
 
-def group_targets(rows: DataFrame, source_root: str, target_root: str, own_extension: bool = False) -> DataFrame:
+def group_targets(rows: DataFrame, source_root: str, target_root: str, own_extension: bool = False, strict: bool = True) -> DataFrame:
     """Adds g_stem, g_ext (of the group's first row), t_dir and target: the row's own directory with the group's name."""
     df = over_groups(rows, first={"g_stem": F.col("t_stem"), "g_ext": F.col("t_ext")}).withColumn("t_dir", N.target_directory(F.col("dir"), source_root, target_root))
     df = df.withColumn("end_ext", F.col("ext") if own_extension else F.col("g_ext"))
-    return df.withColumn("target", F.concat("t_dir", F.lit("/"), "g_stem", F.lit("."), "end_ext"))
+    return df.withColumn("target", F.concat("t_dir", F.lit("/"), N.joined(F.col("g_stem"), F.col("end_ext"), strict)))
 
 
 def without_first_noop(rows: DataFrame) -> DataFrame:
@@ -120,7 +120,7 @@ def with_ordinal(rows: DataFrame) -> DataFrame:
 
 
 #: A path with a duplicate number.
-NUMBERED = rf"(?s){N.MARKER}([0-9]{{3}}|[1-9][0-9]{{3,8}})(\.[^./]*)\z"
+NUMBERED = rf"(?s){N.MARKER}([0-9]{{3}}|[1-9][0-9]{{3,8}})(\.[^./]*)?\z"
 
 
 def numbers_on_disk(existing: DataFrame) -> DataFrame:
@@ -248,19 +248,19 @@ def numbered(rows: DataFrame, existing: DataFrame | None) -> DataFrame:
     return df.join(_between_taken(df.where("taken"), numbers), "path", "left").withColumn("dup_no", own).drop("taken", "own_no")
 
 
-def finished(rows: DataFrame, skip_duplicates: bool = False, copy: bool = False) -> DataFrame:
+def finished(rows: DataFrame, skip_duplicates: bool = False, copy: bool = False, strict: bool = True) -> DataFrame:
     """source_path, target_path, group_key, idx, dup_no, is_duplicate, action."""
-    name = F.when(F.col("dup_no").isNull(), F.col("target")).otherwise(F.concat("t_dir", F.lit("/"), N.duplicate_name(F.col("g_stem"), F.col("dup_no"), F.col("end_ext"))))
+    name = F.when(F.col("dup_no").isNull(), F.col("target")).otherwise(F.concat("t_dir", F.lit("/"), N.duplicate_name(F.col("g_stem"), F.col("dup_no"), F.col("end_ext"), strict)))
     df = rows.select(F.col("path").alias("source_path"), name.alias("target_path"), "group_key", "idx", "dup_no")
     df = df.withColumn("is_duplicate", N.is_duplicate(N.filename(F.col("target_path"))))
     act = F.lit("copy" if copy else "move")
     return df.withColumn("action", F.when(F.col("is_duplicate") & F.lit(skip_duplicates), "skip").otherwise(act))
 
 
-def rename_plan(rows: DataFrame, source_root: str, target_root: str, existing: DataFrame | None = None, own_extension: bool = False, skip_duplicates: bool = False, copy: bool = False) -> DataFrame:
+def rename_plan(rows: DataFrame, source_root: str, target_root: str, existing: DataFrame | None = None, own_extension: bool = False, skip_duplicates: bool = False, copy: bool = False, strict: bool = True) -> DataFrame:
     """The whole plan from rows with targets and keys."""
-    df = with_ordinal(without_first_noop(group_targets(divided(rows), source_root, target_root, own_extension)))
-    return finished(numbered(df, existing), skip_duplicates, copy)
+    df = with_ordinal(without_first_noop(group_targets(divided(rows), source_root, target_root, own_extension, strict)))
+    return finished(numbered(df, existing), skip_duplicates, copy, strict)
 
 
 def with_collisions(plan: DataFrame) -> DataFrame:

@@ -73,7 +73,7 @@ class RenameQuery:
         o = self.options
         if existing is None:
             existing = files.select("path") if o.target_root == o.source_dir else target_tree(files.sparkSession, o.target_root)
-        return rename_plan(self.rows(files), o.source_dir, o.target_root, existing, self.own_extension, o.skip_duplicates, o.copy)
+        return rename_plan(self.rows(files), o.source_dir, o.target_root, existing, self.own_extension, o.skip_duplicates, o.copy, o.strict_names)
 
     def run(self, spark: SparkSession, journal: str | None = None, on_executors: bool = False) -> tuple[DataFrame, Outcome | DataFrame | None]:
         """Scans, plans and, unless it is a dry run, carries the plan out; returns the plan and what was done.
@@ -100,29 +100,29 @@ def _parts() -> tuple[Column, Column]:
 
 
 def lower(options: RenameOptions) -> RenameQuery:
-    return RenameQuery(names.lower_case(*_parts()), keys.target_path_key(), options, nullable_key=False)
+    return RenameQuery(names.lower_case(*_parts(), options.strict_names), keys.target_path_key(), options, nullable_key=False)
 
 
 def pattern(options: RenameOptions, pattern: str = DEFAULT_PATTERN, replacement: str | None = DEFAULT_REPLACEMENT) -> RenameQuery:
     if replacement is None:
         raise ValueError("a replacement is needed")
-    return RenameQuery(names.replaced(*_parts(), pattern, replacement), keys.target_path_key(), options, java_regex(pattern), nullable_key=False)
+    return RenameQuery(names.replaced(*_parts(), pattern, replacement, options.strict_names), keys.target_path_key(), options, java_regex(pattern), nullable_key=False)
 
 
 def date(options: RenameOptions, pattern: str = DEFAULT_DATE_PATTERN, replacement: str | None = DEFAULT_DATE_REPLACEMENT) -> RenameQuery:
     if replacement is None:
         raise ValueError("a replacement is needed")
-    return RenameQuery(dates.date_renamed(*_parts(), pattern, replacement), keys.target_path_key(), options, date_pattern(pattern).java, nullable_key=False)
+    return RenameQuery(dates.date_renamed(*_parts(), pattern, replacement, options.strict_names), keys.target_path_key(), options, date_pattern(pattern).java, nullable_key=False)
 
 
 def content_hash(options: RenameOptions) -> RenameQuery:
     """The inventory has the content, or a content_hash worked out where the bytes are."""
-    return RenameQuery(names.inherited(*_parts()), F.col("content_hash"), options, reads="content_hash")
+    return RenameQuery(names.inherited(*_parts(), options.strict_names), F.col("content_hash"), options, reads="content_hash")
 
 
 def exif_date(options: RenameOptions, target_filename_pattern: str = dates.DEFAULT_CAPTURE_FORMAT) -> RenameQuery:
     """The inventory has an exif struct; see sources.exif."""
-    name = dates.capture_renamed(F.col("exif.date_time_original"), F.col("exif.sub_sec_time_original"), F.col("ext"), target_filename_pattern)
+    name = dates.capture_renamed(F.col("exif.date_time_original"), F.col("exif.sub_sec_time_original"), F.col("ext"), target_filename_pattern, options.strict_names)
     return RenameQuery(name, keys.target_filename_key(), options, own_extension=True, nullable_key=False, expand=with_companions, reads="exif", nullable_name=True)
 
 

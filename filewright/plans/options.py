@@ -7,13 +7,17 @@ from dataclasses import dataclass
 
 @dataclass(frozen=True)
 class RenameOptions:
-    """source_dir and target_dir lose trailing slashes; without a target the source is renamed in place. A dry run only plans."""
+    """source_dir and target_dir lose trailing slashes; without a target the source is renamed in place. A dry run only plans.
+
+    With strict_names every new name has a dot and an extension, so ``README`` becomes ``README.`` and ``.hidden`` becomes ``.hidden.hidden``; without, such names stay as they are.
+    """
 
     source_dir: str
     target_dir: str | None = None
     copy: bool = False
     skip_duplicates: bool = False
     dry_run: bool = True
+    strict_names: bool = True
 
     def __post_init__(self):
         if self.target_dir is None and (self.copy or self.skip_duplicates):

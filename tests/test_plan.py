@@ -221,6 +221,17 @@ def test_buckets(spark, bounds):
     assert got == {p: sum(b <= p for b in bounds) for p in paths_}
 
 
+def test_names_without_extension_may_stay(spark):
+    """strict_names=False: no dot is added, and numbers that are taken are met without one."""
+    o = RenameOptions("/r", "/t", strict_names=False)
+    df = inventory(spark, [("/r/README", "x"), ("/r/a/Readme", "x"), ("/r/.Hidden", "y"), ("/r/b/.hid", "y"), ("/r/x.TXT", "z"), ("/r/e.", "w")])
+    on_disk = spark.createDataFrame([("/t/README",), ("/t/README-duplicate-001",), ("/t/.Hidden",)], "path string")
+    got = {k: v[0] for k, v in planned(commands.content_hash(o).plan(df, on_disk)).items()}
+    assert got == {"/r/README": "/t/README-duplicate-002", "/r/a/Readme": "/t/a/README-duplicate-003", "/r/.Hidden": "/t/.Hidden-duplicate-001", "/r/b/.hid": "/t/b/.Hidden-duplicate-002", "/r/x.TXT": "/t/x.TXT", "/r/e.": "/t/e"}
+    got = {k: v[0] for k, v in planned(commands.lower(RenameOptions("/r", strict_names=False)).plan(df)).items()}
+    assert got == {"/r/README": "/r/readme", "/r/a/Readme": "/r/a/readme", "/r/.Hidden": "/r/.hidden", "/r/x.TXT": "/r/x.txt", "/r/e.": "/r/e"}
+
+
 def test_options():
     for bad in ({"copy": True}, {"skip_duplicates": True}):
         with pytest.raises(ValueError):

@@ -68,13 +68,20 @@ class RenameQuery:
     def plan(self, files: DataFrame, existing: DataFrame | None = None) -> DataFrame:
         """existing: paths in the target tree at planning time, unfiltered.
 
-        In place these are ``files`` themselves unless given; another target is scanned unless given.
+        In place these are ``files`` themselves unless given; of another target, the directories that the plan names are listed unless given.
         """
         o = self.options
         if existing is None:
-            existing = files.select("path") if o.target_root == o.source_dir else target_tree(files.sparkSession, o.target_root)
+            existing = files.select("path") if o.target_root == o.source_dir else self.on_disk(files)
         return rename_plan(self.rows(files), o.source_dir, o.target_root, existing, self.own_extension, o.skip_duplicates, o.copy, o.strict_names)
 
+    def on_disk(self, files: DataFrame) -> DataFrame | None:
+        """The paths in the directories that targets of ``files`` lie in; no other directory of the target tree is listed. None if there is no target tree."""
+        o = self.options
+        if not os.path.isdir(o.target_root or "/"):
+            return None
+        return inventory.listed(files.select(names.target_directory(names.directory(F.col("path")), o.source_dir, o.target_root).alias("dir")))
+
     def run(self, spark: SparkSession, journal: str | None = None, on_executors: bool = False) -> tuple[DataFrame, Outcome | DataFrame | None]:
         """Scans, plans and, unless it is a dry run, carries the plan out; returns the plan and what was done.
 
@@ -84,17 +91,13 @@ class RenameQuery:
         folder = journal or new_journal(spark)
         plan = written_plan(spark, folder)
         if plan is None:
-            plan = write_plan(self.plan(self.scan(spark), target_tree(spark, self.options.target_root)), folder)
+            files = self.scan(spark)
+            plan = write_plan(self.plan(files, self.on_disk(files)), folder)
         if self.options.dry_run:
             return plan, None
         return plan, apply_on_executors(plan, journal=folder) if on_executors else apply_plan(plan, journal=folder)
 
 
-def target_tree(spark: SparkSession, root: str) -> DataFrame | None:
-    """The paths below a target directory; None if there is no such directory, so that nothing has to be probed."""
-    return inventory.scan(spark, root).select("path") if os.path.isdir(root) else None
-
-
 def _parts() -> tuple[Column, Column]:
     return F.col("stem"), F.col("ext")
 

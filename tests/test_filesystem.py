@@ -4,12 +4,13 @@ import struct
 
 import pytest
 from pyspark.sql import functions as F
+from pyspark.sql.datasource import StringStartsWith
 
 from filewright.__main__ import main
 from filewright.operators.sink import PlanError, apply_on_executors, apply_plan, transfer
 from filewright.plans import commands
 from filewright.plans.options import RenameOptions
-from filewright.sources import content
+from filewright.sources import content, inventory
 from filewright.sources.content import with_read
 from filewright.sources.exif import capture_fields, exif
 from filewright.sources.inventory import scan
@@ -76,6 +77,53 @@ def test_bytes_are_read_where_the_files_are(spark, tmp_path, monkeypatch):
     assert fields == {"a.jpg": ("2024:01:20 12:10:05", "555"), "b.tif": ("2024:01:20 12:10:05", None), "c.txt": (None, None), "d.txt": (None, None), "broken": (None, None)}
 
 
+def parts(root, *filters):
+    reader = inventory._Reader({"path": str(root)})
+    assert list(reader.pushFilters(list(filters))) == [f for f in filters if not isinstance(f, StringStartsWith)]
+    return reader, reader.partitions()
+
+
+def test_any_tree_gives_few_parts(spark, tmp_path, monkeypatch):
+    """A root of very many sub-directories, and one flat directory of very many files, are divided evenly; nothing is listed twice or left out."""
+    monkeypatch.setattr(inventory, "LOOKED_AT", 50)
+    write(tmp_path, {f"many/d{i}/f": b"x" for i in range(300)} | {f"flat/f{i}": b"x" for i in range(400)} | {"few/a/b/c": b"x", "top": b"x"})
+    reader, found = parts(tmp_path)
+    assert len(found) <= inventory.SUBTREES
+    rows = [[r[0] for r in reader.read(p)] for p in found]
+    every = sorted(x for r in rows for x in r)
+    assert every == sorted(os.path.join(d, n) for d, _, names in os.walk(tmp_path) for n in names)
+    assert max(map(len, rows)) < 3 * len(every) / len(found) + 10
+
+
+def test_pushed_conditions_prune(spark, tmp_path, monkeypatch):
+    """Subtrees that can't match are never listed, and the rows are the same."""
+    write(tmp_path, {f"{d}/{e}/f{i}": b"x" for d in "abc" for e in "xy" for i in range(3)})
+    seen, own = [], os.scandir
+    monkeypatch.setattr(os, "scandir", lambda d: (seen.append(os.path.relpath(d, tmp_path)), own(d))[1])
+    reader, found = parts(tmp_path, StringStartsWith(("path",), f"{tmp_path}/a/x/f"))
+    assert len([r for p in found for r in reader.read(p)]) == 3 and not {"b", "c", "a/y"} & set(seen)
+    monkeypatch.undo()
+    df = scan(spark, str(tmp_path))
+    assert df.where(F.col("path").startswith(f"{tmp_path}/b/") & F.col("is_file")).count() == 6
+    assert df.where(F.col("path") == f"{tmp_path}/c/x/f1").count() == 1 and df.where(F.col("path").isin(f"{tmp_path}/c/x/f1", f"{tmp_path}/none")).count() == 1
+    assert df.where(~F.col("is_file")).count() == 0 and df.where(F.col("path").endswith("f1")).count() == 6
+    assert df.where(F.col("path").startswith("/nowhere")).count() == 0
+
+
+def test_only_target_directories_are_listed(spark, tmp_path):
+    """A target tree's other directories aren't listed; plans are as with all of it."""
+    root, out = str(tmp_path / "in"), str(tmp_path / "out")
+    write(root, {"a/X.j": b"1", "a/b/Y.j": b"2", "n.j": b"3"})
+    write(out, {"a/x.j": b"old", "a/x-duplicate-001.j": b"old", "other/z.j": b"z", "a/c/deep.j": b"z"} | {f"more/f{i}": b"" for i in range(50)})
+    command = commands.lower(RenameOptions(root, out))
+    files = command.scan(spark)
+    there = {os.path.relpath(r.path, out) for r in command.on_disk(files).collect()}
+    assert there == {"a/x.j", "a/x-duplicate-001.j"}
+    show = lambda plan: sorted((r.source_path, r.target_path, r.idx, r.dup_no) for r in plan.collect())
+    assert show(command.plan(files)) == show(command.plan(files, scan(spark, out).select("path")))
+    assert commands.lower(RenameOptions(root, f"{out}/none")).on_disk(files) is None
+
+
 @pytest.mark.parametrize("edge", [4, 1 << 16])
 def test_contents_in_tiers(spark, tmp_path, monkeypatch, edge):
     """The same groups as by whole hashes; files with a size of their own, and empty ones, aren't opened, and only files with equal edges are read whole."""

@@ -25,6 +25,7 @@ def arguments(args: list[str]) -> argparse.Namespace:
     common.add_argument("-c", "--copy", action="store_true")
     common.add_argument("-s", "--skip-duplicates", action="store_true")
     common.add_argument("--no-strict-names", action="store_true", help="names without extension stay without a dot")
+    common.add_argument("--distinct-targets", action="store_true", help="files that would share a target get further numbers")
     common.add_argument("-j", "--journal", help="folder of the plan and of what was done; with that of a run that was killed, goes on with it")
     names = parser.add_subparsers(dest="command", required=True)
     for name in commands.COMMANDS:
@@ -45,7 +46,7 @@ def main(args: list[str] | None = None, spark: SparkSession | None = None) -> in
     asked = vars(arguments(sys.argv[1:] if args is None else args))
     own = {k: asked[k] for k in ("pattern", "replacement", "target_filename_pattern") if k in asked}
     try:
-        options = RenameOptions(asked["source_directory"], asked["target_directory"], asked["copy"], asked["skip_duplicates"], asked["dry_run"], not asked["no_strict_names"])
+        options = RenameOptions(asked["source_directory"], asked["target_directory"], asked["copy"], asked["skip_duplicates"], asked["dry_run"], not asked["no_strict_names"], asked["distinct_targets"])
         command = commands.COMMANDS[asked["command"]](options, **own)
         spark = spark or SparkSession.builder.appName("filewright").getOrCreate()
         journal = asked["journal"] or new_journal(spark)

@@ -263,6 +263,34 @@ def rename_plan(rows: DataFrame, source_root: str, target_root: str, existing: D
     return finished(numbered(df, existing), skip_duplicates, copy, strict)
 
 
+def resolved(plan: DataFrame, existing: DataFrame | None = None, skip_duplicates: bool = False) -> DataFrame:
+    """The plan without targets that several rows share, or that are on disk and stay there: such rows, but the first by (group_key, idx), get further numbers.
+
+    A row's place is its target without number. Its new number lies beyond all numbers that the plan or the disk has at that place, so one pass is enough. Rows
+    that are skipped keep their targets; a plan without such targets stays as it is.
+    """
+    sources = plan.where("action <> 'skip'").select(F.col("source_path").alias("path"))
+    stays = None if existing is None else existing.select("path").join(sources, "path", "left_anti").distinct().select(F.col("path").alias("target_path"), F.lit(True).alias("stays"))
+    acts = (F.col("action") != "skip").cast("int")
+    nth = F.sum(acts).over(Window.partitionBy("target_path").orderBy(F.col("source_path") != F.col("target_path"), "group_key", "idx", "source_path").rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    rows = plan.withColumn("nth", nth)
+    rows = rows.withColumn("stays", F.lit(False)) if stays is None else rows.join(stays, "target_path", "left").withColumn("stays", F.coalesce("stays", F.lit(False)))
+    clash = (F.col("action") != "skip") & ((F.col("nth") > 1) | F.col("stays")) & (F.col("source_path") != F.col("target_path"))
+    rows = written(rows.withColumns({"clash": clash, "place": F.regexp_replace("target_path", NUMBERED, "$2")}).drop("nth", "stays"), "targets")
+    clashing = rows.where("clash").select("source_path", "place", F.row_number().over(Window.partitionBy("place").orderBy("target_path", "group_key", "idx", "source_path")).alias("further"))
+    held = numbers_on_disk(plan.select(F.col("target_path").alias("path")) if existing is None else existing.select("path").unionByName(plan.select(F.col("target_path").alias("path"))))
+    highest = held.groupBy(F.col("target").alias("place")).agg(F.max("number").alias("highest"))
+    numbers = clashing.join(highest, "place", "left").select("source_path", (F.coalesce("highest", F.lit(0)) + F.col("further")).cast("int").alias("new_no"))
+    place, name = F.col("place"), N.filename(F.col("place"))
+    ext = N.extension(name)
+    stem = F.when(ext == "", place).otherwise(F.left(place, F.length(place) - F.length(ext) - 1))
+    end = F.when((ext == "") & ~F.endswith(place, F.lit(".")), "").otherwise(F.concat(F.lit("."), ext))
+    new = F.concat(F.when(F.endswith(place, F.lit(".")), F.left(place, F.length(place) - 1)).otherwise(stem), F.lit(N.MARKER), F.format_string("%03d", "new_no"), end)
+    met = rows.join(numbers, "source_path", "left").withColumns({"target_path": F.when(F.col("new_no").isNotNull(), new).otherwise(F.col("target_path")), "dup_no": F.coalesce("new_no", "dup_no")})
+    met = met.withColumn("is_duplicate", N.is_duplicate(N.filename(F.col("target_path"))))
+    return met.withColumn("action", F.when(F.col("is_duplicate") & F.lit(skip_duplicates), "skip").otherwise(F.col("action"))).select(*plan.columns)
+
+
 def with_collisions(plan: DataFrame) -> DataFrame:
     """Adds collision: whether another row of the plan has the same target."""
     return plan.withColumn("collision", F.count("*").over(Window.partitionBy("target_path")) > 1)

@@ -14,7 +14,7 @@ from filewright.functions.patterns import date_pattern, java_regex
 from filewright.operators.collection import filename_matches
 from filewright.operators.journal import new_journal, write_plan, written_plan
 from filewright.operators.pairing import with_companions
-from filewright.operators.plan import rename_plan, with_targets
+from filewright.operators.plan import rename_plan, resolved, with_targets
 from filewright.operators.sink import Outcome, apply_on_executors, apply_plan
 from filewright.operators.staging import written
 from filewright.plans.options import RenameOptions
@@ -73,7 +73,8 @@ class RenameQuery:
         o = self.options
         if existing is None:
             existing = files.select("path") if o.target_root == o.source_dir else self.on_disk(files)
-        return rename_plan(self.rows(files), o.source_dir, o.target_root, existing, self.own_extension, o.skip_duplicates, o.copy, o.strict_names)
+        plan = rename_plan(self.rows(files), o.source_dir, o.target_root, existing, self.own_extension, o.skip_duplicates, o.copy, o.strict_names)
+        return resolved(plan, existing, o.skip_duplicates) if o.distinct_targets else plan
 
     def on_disk(self, files: DataFrame) -> DataFrame | None:
         """The paths in the directories that targets of ``files`` lie in; no other directory of the target tree is listed. None if there is no target tree."""

@@ -1,5 +1,7 @@
+import dataclasses
 import random
 import re
+from collections import Counter
 
 import pytest
 from pyspark.sql import functions as F
@@ -221,6 +223,27 @@ def test_buckets(spark, bounds):
     assert got == {p: sum(b <= p for b in bounds) for p in paths_}
 
 
+@pytest.mark.parametrize("seed", range(3))
+@pytest.mark.parametrize("target", ["/r", "/t"])
+def test_distinct_targets(spark, seed, target):
+    """No two rows share a target, none meets a file that stays; rows that didn't clash keep theirs."""
+    rng = random.Random(seed)
+    files = list({f"/r/{rng.choice(['d', 'd/e'])}/{rng.choice('abAB')}{rng.choice(['', '-duplicate-00' + rng.choice('123')])}{rng.choice(['.j', '', '.'])}": rng.choice("uvwxyz") for _ in range(80)}.items())
+    existing = paths(files) if target == "/r" else {f"/t/{rng.choice(['d', 'd/e'])}/{rng.choice('abAB')}{rng.choice(['', '-duplicate-001', '-duplicate-002', '-duplicate-004'])}{rng.choice(['.j', '.'])}" for _ in range(30)}
+    df, there = inventory(spark, files), spark.createDataFrame([(p,) for p in existing], "path string")
+    o = RenameOptions("/r", None if target == "/r" else target)
+    before = planned(commands.content_hash(o).plan(df, there))
+    after = planned(commands.content_hash(dataclasses.replace(o, distinct_targets=True)).plan(df, there))
+    targets = [t for t, _, _ in after.values()]
+    stays = existing - set(after)
+    assert set(before) == set(after) and len(set(targets)) == len(targets) and not stays & {t for p, (t, _, _) in after.items() if t != p}
+    taken = Counter(t for t, _, _ in before.values())
+    for p, (t, _, n) in before.items():
+        if taken[t] == 1 and t not in stays:
+            assert after[p][0] == t and after[p][2] == n
+    assert any(c > 1 for c in taken.values()) or any(t in stays for t in taken)
+
+
 def test_names_without_extension_may_stay(spark):
     """strict_names=False: no dot is added, and numbers that are taken are met without one."""
     o = RenameOptions("/r", "/t", strict_names=False)

@@ -1,6 +1,9 @@
 """The corpus pipeline: toxicity, exact dedup, near dedup, benchmark decontamination, SentencePiece encoding.
 
-Each stage works on all rows its predecessor kept and writes its result as Parquet into the shared folder; the next reads it back.
+Each stage works on all rows its predecessor kept and writes its result as Parquet into the shared folder; the next reads it back, and what it has read is dropped.
+
+Defined results: a null or empty text is an ordinary document to the first stage, of all such texts the one with the largest id stays, and it is encoded to no ids; repeated rows and ids
+are copies where their texts are; an empty table goes through to an empty result; documents keep extra columns, whatever their names, up to the last stage.
 """
 
 from __future__ import annotations
@@ -9,7 +12,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from filewright.llm import decontamination, exact_dedup, near_dedup, sentencepieces, toxicity
-from filewright.llm.common import staged, table
+from filewright.llm.common import drop_staged, staged, table
 
 
 def without_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -51,7 +54,10 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages, from the documents on."""
-    docs = table(spark, sf_dir, "documents")
+    docs, read = table(spark, sf_dir, "documents"), None
     for name, stage in STAGES:
         docs = staged(stage(spark, docs, sf_dir), name)
+        if read is not None:
+            drop_staged(read)
+        read = docs
     return docs

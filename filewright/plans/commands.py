@@ -16,7 +16,7 @@ from filewright.operators.journal import new_journal, write_plan, written_plan
 from filewright.operators.pairing import with_companions
 from filewright.operators.plan import rename_plan, resolved, with_targets
 from filewright.operators.sink import Outcome, apply_on_executors, apply_plan
-from filewright.operators.staging import written
+from filewright.operators.staging import temporary, written
 from filewright.plans.options import RenameOptions
 from filewright.sources import content, inventory
 
@@ -92,8 +92,9 @@ class RenameQuery:
         folder = journal or new_journal(spark)
         plan = written_plan(spark, folder)
         if plan is None:
-            files = self.scan(spark)
-            plan = write_plan(self.plan(files, self.on_disk(files)), folder)
+            with temporary(spark):
+                files = self.scan(spark)
+                plan = write_plan(self.plan(files, self.on_disk(files)), folder)
         if self.options.dry_run:
             return plan, None
         return plan, apply_on_executors(plan, journal=folder) if on_executors else apply_plan(plan, journal=folder)

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from test_filesystem import read, tree, write
 
 from filewright.operators import journal as J
-from filewright.operators import sink
+from filewright.operators import sink, staging
 from filewright.operators.sink import PlanError, apply_on_executors, apply_plan
 from filewright.plans import commands
 from filewright.plans.options import RenameOptions
@@ -41,6 +41,20 @@ def test_the_plan_is_what_was_carried_out(spark, tmp_path):
     assert again.collect() == plan.collect() and outcome.done == 2 and tree(root) == {"x.jpg", "x-duplicate-001.jpg", "y.jpg"}
 
 
+def test_a_run_leaves_only_its_journal(spark, tmp_path, monkeypatch):
+    """Tables that planning writes go when the plan is written."""
+    root, made = str(tmp_path / "in"), []
+
+    def folder(spark, label):
+        made.append(f"{tmp_path}/shared/{label}-{len(made)}")
+        return f"file://{made[-1]}"
+
+    monkeypatch.setattr(staging, "shared_folder", folder)
+    write(root, {"a/x.j": b"same", "b/y.j": b"same", "c/z-duplicate-001.j": b"other"})
+    plan, outcome = commands.content_hash(RenameOptions(root, dry_run=False)).run(spark, str(tmp_path / "journal"))
+    assert outcome.done == plan.count() > 0 and len(made) > 2 and not os.listdir(tmp_path / "shared")
+
+
 FILES = {"a/X.J": b"1", "a/x.j": b"2", "b/Y.J": b"3", "b/Z.J": b"4", "W.J": b"5", "b/w.J": b"6"}
 
 

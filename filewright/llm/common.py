@@ -8,6 +8,9 @@ import uuid
 from collections.abc import Callable, Iterator
 from urllib.parse import urlparse
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -88,6 +91,17 @@ def filesystem(uri: str):
     return fs.FileSystem.from_uri(arrow_uri(uri))
 
 
+def slices(batch: pa.RecordBatch, texts: int, rows: int, size: int) -> Iterator[pa.RecordBatch]:
+    """Slices of at most so many rows and bytes in the column ``texts`` (or one row)."""
+    ends = np.cumsum(pc.binary_length(batch.column(texts)).fill_null(0).to_numpy(zero_copy_only=False), dtype=np.int64)
+    at = 0
+    while at < len(ends):
+        fit = int(np.searchsorted(ends, (ends[at - 1] if at else 0) + size, side="right"))
+        end = min(at + rows, max(at + 1, fit))
+        yield batch.slice(at, end - at)
+        at = end
+
+
 def releasing(run: Callable[[Iterator], Iterator]) -> Callable[[Iterator], Iterator]:
     """``run`` over a partition's batches; then what it has freed goes back to the system, as worker processes stay."""
 

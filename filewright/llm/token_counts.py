@@ -1,12 +1,12 @@
 """Token counts in delta-maintained rollups by source, language and tokenizer version.
 
 A batch is a set of signed rows: an insert adds a document's count, a delete takes it away, a revised count is both. A commit sums
-a batch to additive deltas a (source, lang, tokenizer) and writes them as one folder named by the batch's id,
-moved into place when complete. A batch id that is there already is left alone, so a batch that is sent again (or whose driver died
-after the move) counts once. Totals are sums over the committed deltas.
+a batch to additive deltas a (source, lang, tokenizer), writes them, and then moves a mark into place that names these deltas as the batch's.
+A batch that has its mark is left alone, so a batch that is sent again (or whose driver died
+after the move) counts once. Totals are sums over the marked deltas; a fold sums old batches into a base, and totals are then that and later batches.
 
 Rows are summed before they are shuffled, so a source with a third of all rows is one row a task. What is kept
-grows with the number of (source, lang, tokenizer) and batches, not with documents.
+grows with the number of (source, lang, tokenizer) and with batches' names, not with documents.
 
 Defined results: null and empty texts count 0 tokens and one document; null source or language is a group of its own; a document
 inserted twice counts twice; an empty batch commits and changes nothing; groups whose documents are all deleted
@@ -24,50 +24,113 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from filewright.llm.common import shared_dir, staged, table, text_or_empty
+from filewright.llm.common import drop_staged, shared_dir, slices, staged, table, text_or_empty
 
 DELTA = "source string, lang string, tokenizer string, docs long, tokens long"
+GROUP = ["source", "lang", "tokenizer"]
+#: Bytes of texts that are counted together.
+TEXT_BYTES = 1 << 22
 
 
 class TokenLedger:
-    """A folder of committed deltas."""
+    """A folder of deltas (``deltas``, a folder for each attempt), of marks that name the attempt a batch stands for (``committed``), and of bases.
+
+    A base is the sum of many batches and the list of their names. Marks are small files, moved into place whole; a second mark of a batch is refused or takes the
+    first one's place, and either way one attempt of the batch counts.
+    """
 
     def __init__(self, spark: SparkSession, folder: str):
         self.spark, self.folder = spark, folder.rstrip("/")
         self._path = spark._jvm.org.apache.hadoop.fs.Path
         self._fs = self._path(folder).getFileSystem(spark._jsc.hadoopConfiguration())
+        for name in ("deltas", "committed", "bases"):
+            self._fs.mkdirs(self._path(f"{self.folder}/{name}"))
 
-    def _batch(self, batch_id: str) -> str:
-        return f"{self.folder}/committed/{base64.urlsafe_b64encode(batch_id.encode()).decode()}"
+    def _mark(self, batch_id: str):
+        return self._path(f"{self.folder}/committed/batch-{base64.urlsafe_b64encode(batch_id.encode()).decode()}")
 
     def committed(self, batch_id: str) -> bool:
-        return self._fs.exists(self._path(self._batch(batch_id)))
+        return self._fs.exists(self._mark(batch_id))
 
     def commit(self, batch_id: str, signed: DataFrame) -> bool:
         """signed: source, lang, tokenizer, tokens, sign (+1 insert, -1 delete). False if the batch was there already."""
         if self.committed(batch_id):
             return False
-        deltas = signed.groupBy("source", "lang", "tokenizer").agg(F.sum("sign").cast("long").alias("docs"), F.sum(F.col("sign") * F.col("tokens")).cast("long").alias("tokens"))
-        return self._publish(deltas, self._batch(batch_id))
-
-    def _publish(self, deltas: DataFrame, target: str) -> bool:
-        own = f"{self.folder}/open/{uuid.uuid4().hex}"
-        deltas.write.parquet(own)
-        self._fs.mkdirs(self._path(target).getParent())
-        if self._fs.exists(self._path(target)):
-            self._fs.delete(self._path(own), True)
-            return False
-        return self._fs.rename(self._path(own), self._path(target))
+        attempt = uuid.uuid4().hex
+        deltas = signed.groupBy(*GROUP).agg(F.sum("sign").cast("long").alias("docs"), F.sum(F.col("sign") * F.col("tokens")).cast("long").alias("tokens"))
+        deltas.write.parquet(f"{self.folder}/deltas/attempt={attempt}")
+        if self._publish(self._mark(batch_id), attempt):
+            return True
+        self._fs.delete(self._path(f"{self.folder}/deltas/attempt={attempt}"), True)
+        return False
+
+    def _publish(self, target, text: str) -> bool:
+        """Puts a file with this text into place; False if there is one."""
+        own = self._path(f"{self.folder}/open/{uuid.uuid4().hex}")
+        out = self._fs.create(own, False)
+        out.write(bytearray(text.encode()))
+        out.close()
+        if not self._fs.exists(target) and self._fs.rename(own, target):
+            return True
+        self._fs.delete(own, False)
+        return False
+
+    def _generations(self) -> list[int]:
+        names = [f.getPath().getName() for f in self._fs.listStatus(self._path(f"{self.folder}/bases"))]
+        return sorted(int(n) for n in names if n.isdigit())
+
+    def _base(self) -> tuple[int, str]:
+        """The latest base's number and folder; 0 and none before the first."""
+        generations = self._generations()
+        if not generations:
+            return 0, ""
+        name = self.spark.read.text(f"{self.folder}/bases/{generations[-1]}").first()[0]
+        return generations[-1], f"{self.folder}/sums/{name}"
+
+    def _sums(self, base: str) -> tuple[DataFrame, DataFrame]:
+        """All totals (zeros too), and the batches (name, attempt) in them that the base hasn't got."""
+        marks = self.spark.read.text(f"{self.folder}/committed")
+        marks = marks.select(F.col("_metadata.file_name").alias("batch"), F.col("value").alias("attempt"))
+        if base:
+            marks = marks.join(self.spark.read.schema("batch string").parquet(f"{base}/batches"), "batch", "left_anti")
+        deltas = self.spark.read.schema(DELTA + ", attempt string").parquet(f"{self.folder}/deltas").join(marks, "attempt", "left_semi").drop("attempt")
+        if base:
+            deltas = deltas.unionByName(self.spark.read.schema(DELTA).parquet(f"{base}/totals"))
+        return deltas.groupBy(*GROUP).agg(F.sum("docs").alias("docs"), F.sum("tokens").alias("tokens")), marks
 
     def totals(self) -> DataFrame:
         """source, lang, tokenizer, docs, tokens."""
-        parts = self._path(f"{self.folder}/committed")
-        if not self._fs.exists(parts):
-            return self.spark.createDataFrame([], DELTA)
-        deltas = self.spark.read.schema(DELTA).parquet(f"{self.folder}/committed/*")
-        sums = deltas.groupBy("source", "lang", "tokenizer").agg(F.sum("docs").alias("docs"), F.sum("tokens").alias("tokens"))
+        sums, _ = self._sums(self._base()[1])
         return sums.where((F.col("docs") != 0) | (F.col("tokens") != 0))
 
+    def fold(self) -> bool:
+        """Sums all batches committed so far into a base, so that totals read it and later batches alone. False if another fold came first.
+
+        The files of batches that the base before had already are deleted; readers of that base may still be at work on the others.
+        """
+        generation, old = self._base()
+        own = uuid.uuid4().hex
+        new = f"{self.folder}/sums/{own}"
+        # the names are written first: the sums are of these batches, whatever is committed meanwhile
+        marks = self._sums(old)[1]
+        marks.write.parquet(f"{new}/added")
+        added = self.spark.read.schema("batch string, attempt string").parquet(f"{new}/added")
+        batches = added.select("batch")
+        deltas = self.spark.read.schema(DELTA + ", attempt string").parquet(f"{self.folder}/deltas").join(added, "attempt", "left_semi").drop("attempt")
+        if old:
+            batches = batches.unionByName(self.spark.read.schema("batch string").parquet(f"{old}/batches"))
+            deltas = deltas.unionByName(self.spark.read.schema(DELTA).parquet(f"{old}/totals"))
+        batches.write.parquet(f"{new}/batches")
+        sums = deltas.groupBy(*GROUP).agg(F.sum("docs").alias("docs"), F.sum("tokens").alias("tokens"))
+        sums.where((F.col("docs") != 0) | (F.col("tokens") != 0)).write.parquet(f"{new}/totals")
+        if not self._publish(self._path(f"{self.folder}/bases/{generation + 1}"), own):
+            self._fs.delete(self._path(new), True)
+            return False
+        if old:
+            for row in self.spark.read.schema("batch string, attempt string").parquet(f"{old}/added").select("attempt").toLocalIterator():
+                self._fs.delete(self._path(f"{self.folder}/deltas/attempt={row[0]}"), True)
+        return True
+
 
 @lru_cache(maxsize=4)
 def byte_bpe(path: str, pattern: str):
@@ -99,8 +162,7 @@ def token_counts(docs: DataFrame, tokenizers: dict[str, Callable[[], Callable[[l
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         count = [make() for make in tokenizers.values()]
         for batch in batches:
-            for i in range(0, batch.num_rows, 256):
-                some = batch.slice(i, 256)
+            for some in slices(batch, 2, 256, TEXT_BYTES):
                 texts = some.column(2).to_pylist()
                 yield pa.record_batch([*some.columns[:2], *(pa.array(c(texts), pa.int64()) for c in count)], schema=schema)
 
@@ -114,7 +176,7 @@ def signed(counts: DataFrame, tokenizer: str, sign: int = 1) -> DataFrame:
 
 
 def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Inserts all documents under two tokenizer versions, revises one to a third, sends each batch again, and returns the totals."""
+    """Inserts all documents under two tokenizer versions, revises one to a third, folds the batches, sends each again, and returns the totals."""
     import public_tokenizers as public
 
     versions = {name: partial(byte_bpe, public.path(f"{name}.tiktoken"), public.PATTERN) for name in ("byte_bpe_50k", "byte_bpe_multi_50k")}
@@ -129,4 +191,6 @@ def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     for _ in range(2):
         for name, rows in batches.items():
             ledger.commit(name, rows)
+        ledger.fold()
+    drop_staged(counts)
     return ledger.totals()

@@ -47,6 +47,36 @@ def test_batches(spark):
     assert totals(TokenLedger(spark, ledger.folder)) == expected([r for r in rows if r[0]], ["piece"])
 
 
+def test_fold(spark):
+    """Totals stay as they are over folds, batches that are sent again, and a mark that another writer has put in between."""
+    rows = spark.createDataFrame([("a", "en", "t", 5, 1), ("a", None, "t", 7, 1), ("b", "en", "t", 2, 1)], "source string, lang string, tokenizer string, tokens long, sign int")
+    ledger = TokenLedger(spark, shared_dir(spark, "ledger"))
+    assert ledger.fold() and totals(ledger) == {}
+    assert ledger.commit("1", rows) and ledger.commit("2", rows.where("source = 'a'"))
+    expected = {("a", "en", "t"): (2, 10), ("a", None, "t"): (2, 14), ("b", "en", "t"): (1, 2)}
+    assert totals(ledger) == expected
+    assert ledger.fold() and totals(ledger) == expected
+    assert not ledger.commit("1", rows) and totals(ledger) == expected
+    assert ledger.commit("3", rows.where("source = 'b'").selectExpr("source", "lang", "tokenizer", "tokens", "-sign as sign"))
+    del expected["b", "en", "t"]
+    before = ledger._fs.listStatus(ledger._path(f"{ledger.folder}/deltas"))
+    assert totals(ledger) == expected and ledger.fold() and totals(ledger) == expected
+    assert len(ledger._fs.listStatus(ledger._path(f"{ledger.folder}/deltas"))) == len(before) - 2  # those of the base before
+    assert ledger.fold() and ledger.fold() and totals(ledger) == expected
+    other = TokenLedger(spark, ledger.folder)
+    assert other._publish(other._mark("4"), "attempt of a writer that is dead") and not ledger.commit("4", rows) and totals(ledger) == expected
+
+
+def test_writers_of_one_batch(spark, monkeypatch):
+    """Two drivers that both see no mark: one attempt counts, and nothing else is in the way."""
+    rows = spark.createDataFrame([("a", "en", "t", 5, 1)], "source string, lang string, tokenizer string, tokens long, sign int")
+    one = TokenLedger(spark, shared_dir(spark, "ledger"))
+    two = TokenLedger(spark, one.folder)
+    monkeypatch.setattr(two, "committed", lambda batch_id: False)
+    assert one.commit("x", rows) and not two.commit("x", rows)
+    assert totals(one) == totals(two) == {("a", "en", "t"): (1, 5)}
+
+
 def test_query(spark, sf_dir):
     docs = [(d.source, d.lang, d.text) for d in spark.read.parquet(f"{sf_dir}/documents.parquet").collect()]
     got = {(r.source, r.lang, r.tokenizer): (r.docs, r.tokens) for r in op9_token_counts(spark, sf_dir).collect()}

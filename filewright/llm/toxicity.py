@@ -15,13 +15,15 @@ maximisation: a word of toxic documents counts with the probability that it is t
 Counts cover every labelled row outside the held-out part and are keyed by the words and n-grams themselves. They, the backoff chain and the
 probabilities are DataFrame work; executors write the tables as slices of sorted 64-bit keys, which grow with the
 labelled corpus and are memory-mapped by the workers. The driver sees numbers of labels and, for the curve alone,
-the evidence of at most ``CURVE_ROWS`` rows of one fold, the first by hash, scored by a trial model of the other folds. Trial and final model are worked
+the evidence of at most ``CURVE_ROWS`` ids of one fold, the first by hash (rows of one id count as their mean), scored by a trial model of the other folds. Trial and final model are worked
 out together, as columns side by side.
 
 Two tables make a model. One is of both classes: of a seen n-gram its ordinary and its pooled probability, of a seen history the ordinary
 share of backoff. The other is of the toxic class: n-grams' probabilities and histories' shares. Of an n-gram that neither class has
 seen, the backoff terms cancel.
 
+Words of any length are taken in pieces that carry their histories along, so memory depends on ``CHARS``, not on the longest word.
+
 Defined results: null and empty texts (no words) have the score of zero evidence; a null id is not held out and has no
 label; several labels of one id count as toxic if one says so; without labels of both kinds every score is 0; without a fold that can be left
 out for the curve (both kinds in it and beside it) the curve is ``FIXED_CURVE``; repeated rows are scored
@@ -37,10 +39,10 @@ from itertools import chain
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window, WindowSpec
 from pyspark.sql import functions as F
 
-from filewright.llm.common import drop_staged, filesystem, releasing, shared_dir, staged, table, text_or_empty, unused
+from filewright.llm.common import drop_staged, filesystem, releasing, shared_dir, slices, staged, table, text_or_empty, unused
 from filewright.llm.token_files import open_array
 
 #: Characters of history; a full n-gram has one more.
@@ -57,6 +59,8 @@ FIXED_CURVE = (-2.0, 1.0, 0.5)
 BROADCAST_LABELS = 2_000_000
 #: Rows of a model slice; different words that a counting task, a scorer's memo and a step over n-grams hold; texts that are scored together.
 SLICE_ROWS, COUNTED, MEMO, STEP, TEXTS = 1_000_000, 250_000, 200_000, 10_000, 256
+#: Characters of a step over n-grams, into which longer words are cut; of the words that a counting task or a memo holds; bytes of texts that are scored together.
+CHARS, HELD_CHARS, TEXT_BYTES = 1 << 18, 1 << 23, 1 << 22
 THRESHOLD = 0.3
 #: Marks of a word's start and end, and of a name that is a history.
 START, END, PAST = "\x02", "\x03", "\x01"
@@ -92,16 +96,17 @@ def keys_of(strings: list[str]) -> np.ndarray:
 
 
 class Grams:
-    """The n-grams of some words, one for each character and for the word's end: the keys of it and its history, and its word."""
-
-    def __init__(self, words: list[str]):
-        self.whole = START + (END + START).join(words) + END if words else ""
-        code = np.frombuffer(self.whole.encode("utf-32-le"), "<u4").astype(np.uint64)
-        sizes = np.fromiter(map(len, words), np.int64, len(words)) + 2
-        starts = np.cumsum(sizes) - sizes
-        offset = np.arange(len(code)) - np.repeat(starts, sizes)
-        self.at = np.flatnonzero(offset > 0)
-        self.word = np.repeat(np.arange(len(words)), sizes)[self.at]
+    """The n-grams of some words, one for each character and for the word's end: the keys of it and its history, and its word.
+
+    whole: the words' characters, each word between its marks; offset: each one's place in its word (a start's is 0); of: its word. The first ``past`` characters
+    are history alone.
+    """
+
+    def __init__(self, whole: str, offset: np.ndarray, of: np.ndarray, past: int = 0):
+        self.whole = whole
+        code = np.frombuffer(whole.encode("utf-32-le"), "<u4").astype(np.uint64)
+        self.at = past + np.flatnonzero(offset[past:] > 0)
+        self.word = of[self.at]
         #: characters of each history
         self.back = np.minimum(offset[self.at], ORDER)
         h, history = np.zeros(len(self.at), np.uint64), np.zeros(len(self.at), np.uint64)
@@ -112,6 +117,32 @@ class Grams:
                 history[:] = h
         self.gram, self.history = _key(h, self.back + 1), _key(history, self.back) ^ _PAST
 
+    @classmethod
+    def steps(cls, words: list[str]) -> Iterator[Grams]:
+        """All words' n-grams in steps of bounded size; a word of more than ``CHARS`` characters is cut, and each piece begins with its first n-gram's history."""
+        first, size = 0, 0
+        for i, word in enumerate(words):
+            long = len(word) + 2 > CHARS
+            if first < i and (long or size + len(word) + 2 > CHARS or i - first == STEP):
+                yield cls._of(words, first, i)
+                first, size = i, 0
+            size += len(word) + 2
+            if long:
+                whole = START + word + END
+                for a in range(0, len(whole), CHARS):
+                    past = min(a, ORDER)
+                    piece = whole[a - past : a + CHARS]
+                    yield cls(piece, np.arange(a - past, a - past + len(piece)), np.full(len(piece), i), past)
+                first, size = i + 1, 0
+        if first < len(words):
+            yield cls._of(words, first, len(words))
+
+    @classmethod
+    def _of(cls, words: list[str], first: int, end: int) -> Grams:
+        some = words[first:end]
+        sizes = np.fromiter(map(len, some), np.int64, len(some)) + 2
+        return cls(START + (END + START).join(some) + END, np.arange(sizes.sum()) - np.repeat(np.cumsum(sizes) - sizes, sizes), np.repeat(np.arange(first, end), sizes))
+
     def name(self, i: int) -> str:
         end = self.at[i] + 1
         return self.whole[end - self.back[i] - 1 : end]
@@ -123,6 +154,7 @@ COUNTS = ("n0", "n1", "m0", "m1")
 def _count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Labelled rows (text, toxic, curve) to documents by word and class: n of all, m of those outside the curve's fold."""
     held: list[dict[str, int]] = [{}, {}, {}, {}]  # by toxic + 2 * curve
+    size = 0
 
     def flushed() -> Iterator[pa.RecordBatch]:
         every = list(dict.fromkeys(chain.from_iterable(held)))
@@ -136,30 +168,26 @@ def _count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for text, toxic, curve in zip(*(c for c in batch.columns), strict=True):
             of = held[toxic.as_py() + 2 * curve.as_py()]
             for w in set(WORD(text.as_py().lower())):
-                of[w] = of.get(w, 0) + 1
-            if sum(map(len, held)) > COUNTED:
+                n = of.get(w, 0)
+                of[w] = n + 1
+                size += 0 if n else len(w)
+            if size > HELD_CHARS or sum(map(len, held)) > COUNTED:
                 yield from flushed()
+                size = 0
     yield from flushed()
 
 
-def _summed_grams(words: list[str], weights: np.ndarray, names: list[str]) -> pa.RecordBatch:
-    """gram and the sums of its words' weights (a row for each of ``names``)."""
-    grams = Grams(words)
-    _, first, back = np.unique(grams.gram, return_index=True, return_inverse=True)
-    sums = [np.bincount(back, w[grams.word], len(first)) for w in weights]
-    return pa.record_batch([pa.array([grams.name(i) for i in first.tolist()], pa.string()), *map(pa.array, sums)], names=["gram", *names])
-
-
-def _steps(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Batches of at most so many rows that their n-grams fit well into memory."""
-    for batch in batches:
-        for i in range(0, batch.num_rows, STEP):
-            yield batch.slice(i, STEP)
+def _summed_grams(words: list[str], weights: np.ndarray, names: list[str]) -> Iterator[pa.RecordBatch]:
+    """gram and the sums of its words' weights (a row for each of ``names``), step by step."""
+    for grams in Grams.steps(words):
+        _, first, back = np.unique(grams.gram, return_index=True, return_inverse=True)
+        sums = [np.bincount(back, w[grams.word], len(first)) for w in weights]
+        yield pa.record_batch([pa.array([grams.name(i) for i in first.tolist()], pa.string()), *map(pa.array, sums)], names=["gram", *names])
 
 
 def _grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for some in _steps(batches):
-        yield _summed_grams(some.column(0).to_pylist(), np.stack([c.to_numpy().astype(float) for c in some.columns[1:]]), list(COUNTS))
+    for batch in batches:
+        yield from _summed_grams(batch.column(0).to_pylist(), np.stack([c.to_numpy().astype(float) for c in batch.columns[1:]]), list(COUNTS))
 
 
 def _shared(grams: DataFrame) -> DataFrame:
@@ -194,18 +222,28 @@ def _shared(grams: DataFrame) -> DataFrame:
     return out
 
 
+def _of_history(whole: bool = True) -> WindowSpec:
+    """All rows of a history, or those up to a row: one sort serves both."""
+    w = Window.partitionBy("history").orderBy("gram")
+    return w.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing) if whole else w
+
+
+def _is_first() -> Column:
+    return F.row_number().over(_of_history(whole=False)) == 1
+
+
 def _discounted(n: str, pooled: Column) -> tuple[Column, Column]:
     """Log probability of an n-gram whose class count is ``n``, and the log of its history's share of backoff, by windows over the history."""
-    w = Window.partitionBy("history")
+    w = _of_history()
     total, kept = F.sum(n).over(w), F.sum(F.greatest(F.col(n) - DISCOUNT, F.lit(0.0))).over(w)
     share = (total - kept + STRENGTH) / (total + STRENGTH)
     return F.log(F.greatest(F.col(n) - DISCOUNT, F.lit(0.0)) / (total + STRENGTH) + share * pooled), F.log(share)
 
 
 def _both_classes(grams: DataFrame, shared: DataFrame) -> DataFrame:
-    """gram, history, and for final and trial model (``_trial``) ordinary, pooled and share; null where the model hasn't seen it."""
+    """gram, history, whether it is the history's first row, and for final and trial model (``_trial``) ordinary, pooled and share; null where the model hasn't seen it."""
     rows = grams.withColumns({"x": F.substring("gram", 2, ORDER), "history": F.expr("left(gram, length(gram) - 1)")}).join(shared, "x")
-    w = Window.partitionBy("history")
+    w = _of_history()
     for n, p, end in (("n", "p", ""), ("m", "p_trial", "_trial")):
         both = F.col(f"{n}0") + F.col(f"{n}1")
         total, kinds = F.sum(both).over(w), F.count_if(both > 0).over(w)
@@ -215,21 +253,30 @@ def _both_classes(grams: DataFrame, shared: DataFrame) -> DataFrame:
         ordinary, share = _discounted(f"{n}0", F.col(f"pooled{end}"))
         rows = rows.withColumns({f"ordinary{end}": ordinary, f"share{end}": F.when(F.col(f"total{end}") > 0, share)})
     logs = {f"pooled{end}": F.log(f"pooled{end}") for end in ("", "_trial")}
-    return rows.withColumns(logs).select("gram", "history", "n1", *[f"{c}{end}" for end in ("", "_trial") for c in ("ordinary", "pooled", "share")])
+    return rows.withColumns(logs).select("gram", "history", _is_first().alias("first"), "n1", *[f"{c}{end}" for end in ("", "_trial") for c in ("ordinary", "pooled", "share")])
 
 
-def _write_table(entries: DataFrame, folder: str) -> int:
-    """Writes (name, floats) as slices of sorted keys with an index of where their leading bits begin; returns how many slices."""
-    columns = entries.columns[1:]
+def _write_table(rows: DataFrame, values: list[str], shares: list[str], size: int, folder: str) -> int:
+    """Writes n-grams with ``values``, and histories (``rows`` where ``first``) with ``shares``, as slices of sorted keys with an index of where their leading bits begin.
+
+    size: of n-grams and histories, at most. Returns how many slices.
+    """
+    columns = [*values, *shares]
 
     def keyed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            yield pa.record_batch([pa.array(keys_of(batch.column(0).to_pylist()).view(np.int64)), *batch.columns[1:]], names=["key", *columns])
+            nothing = pa.array(np.full(batch.num_rows, np.nan, np.float32))
+            of = dict(zip(batch.schema.names, batch.columns, strict=True))
+            key = pa.array(keys_of(of["gram"].to_pylist()).view(np.int64))
+            yield pa.record_batch([key, *(of[c] if c in values else nothing for c in columns)], names=["key", *columns])
+            past = batch.filter(of["first"])
+            key = pa.array(keys_of([PAST + x for x in past["history"].to_pylist()]).view(np.int64))
+            yield pa.record_batch([key, *(past[c] if c in shares else nothing[: past.num_rows] for c in columns)], names=["key", *columns])
 
     floats = [F.coalesce(F.col(c), F.lit(float("nan"))).cast("float").alias(c) for c in columns]
     kind = "key long, " + ", ".join(f"{c} float" for c in columns)
-    entries = staged(entries.select(entries.columns[0], *floats).mapInArrow(keyed, kind), "model")
-    slices = 1 << (entries.count() // SLICE_ROWS).bit_length()
+    entries = rows.select("gram", "history", "first", *floats).mapInArrow(keyed, kind)
+    slices = 1 << (size // SLICE_ROWS).bit_length()
     bits = slices.bit_length() - 1
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -255,7 +302,6 @@ def _write_table(entries: DataFrame, folder: str) -> int:
     slice_of = F.shiftrightunsigned("key", 64 - bits).cast("int") if bits else F.lit(0)
     dealt = entries.select(slice_of.alias("slice"), *entries.columns).repartitionById(slices, F.col("slice"))
     dealt.mapInArrow(releasing(write), "slice int").count()
-    drop_staged(entries)
     return slices
 
 
@@ -317,15 +363,18 @@ class Trained:
         both, toxic = Table(*self.both, [f"ordinary{end}", f"pooled{end}", f"share{end}"]), Table(*self.toxic, [f"toxic{end}", f"toxic_share{end}"])
 
         def of(words: list[str]) -> np.ndarray:
-            grams = Grams(words)
-            ordinary, pooled, _ = both[grams.gram]
-            own = toxic[grams.gram][0]
-            share = np.nan_to_num(toxic[grams.history][1])
-            seen = ~np.isnan(pooled)
-            value = np.where(np.isnan(own), share + pooled, own) - ordinary
-            unseen = np.flatnonzero(~seen)
-            value[unseen] = share[unseen] - np.nan_to_num(both[grams.history[unseen]][2])
-            return np.bincount(grams.word, value, len(words))
+            out = np.zeros(len(words))
+            for grams in Grams.steps(words):
+                ordinary, pooled, _ = both[grams.gram]
+                own = toxic[grams.gram][0]
+                share = np.nan_to_num(toxic[grams.history][1])
+                value = np.where(np.isnan(own), share + pooled, own) - ordinary
+                unseen = np.flatnonzero(np.isnan(pooled))
+                value[unseen] = share[unseen] - np.nan_to_num(both[grams.history[unseen]][2])
+                low = grams.word[0]
+                sums = np.bincount(grams.word - low, value)
+                out[low : low + len(sums)] += sums
+            return out
 
         return of
 
@@ -339,18 +388,18 @@ class Scorer:
     """Evidence of texts: sum over words, and their number. Words seen before come from a bounded memo."""
 
     def __init__(self, trained: Trained, trial: bool = False):
-        self.evidence_of, self.memo = trained.evidence_of(trial), {}
+        self.evidence_of, self.memo, self.size = trained.evidence_of(trial), {}, 0
 
     def __call__(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         lists = [WORD(text.lower()) for text in texts]
         every = set().union(*lists)
         new = every.difference(self.memo)
-        if len(self.memo) + len(new) > MEMO:
+        if len(self.memo) + len(new) > MEMO or self.size > HELD_CHARS:
             self.memo.clear()
-            new = every
+            new, self.size = every, 0
         some = list(new)
-        for k in range(0, len(some), STEP):
-            self.memo.update(zip(some[k : k + STEP], _mixed(self.evidence_of(some[k : k + STEP])).tolist(), strict=True))
+        self.size += sum(map(len, some))
+        self.memo.update(zip(some, _mixed(self.evidence_of(some)).tolist(), strict=True))
         total = np.fromiter((sum(map(self.memo.__getitem__, words)) for words in lists), float, len(texts))
         return total, np.fromiter(map(len, lists), float, len(texts))
 
@@ -387,13 +436,13 @@ def _toxic_words(trained: Trained | None):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         models = [trained.evidence_of(trial) for trial in (False, True)] if trained else []
-        for some in _steps(batches):
-            words = some.column(0).to_pylist()
-            weights = np.stack([some.column(k).to_numpy().astype(float) for k in (1, 2)])
+        for batch in batches:
+            words = batch.column(0).to_pylist()
+            weights = np.stack([batch.column(k).to_numpy().astype(float) for k in (1, 2)])
             for weight, model in zip(weights, models, strict=False):
                 odds = SHARE / (1 - SHARE) * np.exp(np.clip(model(words), -50, 50))
                 weight *= odds / (1 + odds)
-            yield _summed_grams(words, weights, ["w", "w_trial"])
+            yield from _summed_grams(words, weights, ["w", "w_trial"])
 
     return run
 
@@ -418,43 +467,40 @@ def train(docs: DataFrame, labels: DataFrame, id_column: str = "doc_id", text_co
     grams = staged(grams.agg(*[F.sum(c).alias(c) for c in COUNTS]), "ngrams")
     static = staged(_both_classes(grams, _shared(grams)), "both_classes")
     ends = ("", "_trial")
-    entries = static.select(F.col("gram").alias("name"), *[f"{c}{end}" for end in ends for c in ("ordinary", "pooled", "share")])
-    shares = static.groupBy(F.concat(F.lit(PAST), "history").alias("name")).agg(*[F.first(f"share{end}").alias(f"share{end}") for end in ends])
     folder = shared_dir(spark, "toxicity_model")
-    both = f"{folder}/both", _write_table(entries.unionByName(shares, allowMissingColumns=True), f"{folder}/both")
-    pooled = static.where("n1 > 0").select("gram", "history", *[F.exp(f"pooled{end}").alias(f"pooled{end}") for end in ends])
+    values, shares = [f"{c}{end}" for end in ends for c in ("ordinary", "pooled")], [f"share{end}" for end in ends]
+    both = f"{folder}/both", _write_table(static, values, shares, 2 * static.count(), f"{folder}/both")
+    pooled = staged(static.where("n1 > 0").select("gram", "history", *[F.exp(f"pooled{end}").alias(f"pooled{end}") for end in ends]), "pooled")
+    size = 2 * pooled.count()
     trained = None
     for k in range(ROUNDS + 1):
         weighted = words.where("n1 > 0").select("word", "n1", "m1").mapInArrow(releasing(_toxic_words(trained)), "gram string, w double, w_trial double")
         toxic = weighted.groupBy("gram").agg(*[F.sum(f"w{end}").alias(f"w{end}") for end in ends]).join(pooled, "gram")
+        columns = {"first": _is_first()}
         for end in ends:
-            own, share = _discounted(f"w{end}", F.col(f"pooled{end}"))
-            toxic = toxic.withColumns({f"toxic{end}": own, f"toxic_share{end}": share})
-        toxic = staged(toxic.select("gram", "history", *[f"{c}{end}" for end in ends for c in ("toxic", "toxic_share")]), "toxic")
-        values = toxic.select(F.col("gram").alias("name"), "toxic", "toxic_trial")
-        shares = toxic.groupBy(F.concat(F.lit(PAST), "history").alias("name")).agg(*[F.first(f"toxic_share{end}").alias(f"toxic_share{end}") for end in ends])
-        slices = _write_table(values.unionByName(shares, allowMissingColumns=True), f"{folder}/toxic-{k}")
+            columns[f"toxic{end}"], columns[f"toxic_share{end}"] = _discounted(f"w{end}", F.col(f"pooled{end}"))
+        slices = _write_table(toxic.withColumns(columns), [f"toxic{end}" for end in ends], [f"toxic_share{end}" for end in ends], size, f"{folder}/toxic-{k}")
         trained = Trained(both, (f"{folder}/toxic-{k}", slices), np.array(FIXED_CURVE))
-        drop_staged(toxic)
-    for frame in (words, grams, static):
+    for frame in (words, grams, static, pooled):
         drop_staged(frame)
     if fold is not None:
         of_fold = rows.where(F.col("fold") == fold)
         picked = of_fold.select("id").distinct().orderBy(F.xxhash64("id")).limit(CURVE_ROWS)
-        sample = of_fold.join(F.broadcast(picked), "id").select("toxic", "text")
-        sample = sample.mapInArrow(releasing(_evidence(trained)), "toxic int, total double, size double").toArrow()
+        sample = of_fold.join(F.broadcast(picked), "id").select("id", "toxic", "text")
+        schema = sample.select("id", "toxic").schema.add("total", "double").add("size", "double")
+        sample = sample.mapInArrow(releasing(_evidence(trained)), schema).groupBy("id").agg(*[F.avg(c).alias(c) for c in ("toxic", "total", "size")]).orderBy("id").toArrow()
         trained.weights = curve(features(sample["total"].to_numpy(), sample["size"].to_numpy()), sample["toxic"].to_numpy())
     return trained
 
 
 def _evidence(trained: Trained):
-    """(toxic, text) to toxic, evidence of the trial model, and number of words."""
+    """(id, toxic, text) to id, toxic, evidence of the trial model, and number of words."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scorer = Scorer(trained, trial=True)
-        for batch in (b.slice(i, TEXTS) for b in batches for i in range(0, b.num_rows, TEXTS)):
-            total, size = scorer(batch.column(1).to_pylist())
-            yield pa.record_batch([batch.column(0), pa.array(total), pa.array(size)], names=["toxic", "total", "size"])
+        for batch in (some for b in batches for some in slices(b, 2, TEXTS, TEXT_BYTES)):
+            total, size = scorer(batch.column(2).to_pylist())
+            yield pa.record_batch([*batch.columns[:2], pa.array(total), pa.array(size)], names=["id", "toxic", "total", "size"])
 
     return run
 
@@ -468,7 +514,7 @@ def score(docs: DataFrame, trained: Trained, keep: list[str], text_column: str =
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scorer = Scorer(trained)
-        for batch in (b.slice(i, TEXTS) for b in batches for i in range(0, b.num_rows, TEXTS)):
+        for batch in (some for b in batches for some in slices(b, b.num_columns - 1, TEXTS, TEXT_BYTES)):
             x = features(*scorer(batch.column(batch.num_columns - 1).to_pylist())) @ trained.weights
             value = 1 / (1 + np.exp(-np.clip(x, -700, 700)))
             yield pa.record_batch([*batch.columns[:-1], pa.array(value)], names=[*batch.schema.names[:-1], score_column])

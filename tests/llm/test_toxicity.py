@@ -1,5 +1,6 @@
 import math
 import random
+import tracemalloc
 import zlib
 from collections import Counter
 
@@ -160,9 +161,13 @@ def test_tables_of_many_slices(spark, monkeypatch):
     monkeypatch.setattr(T, "SLICE_ROWS", 40)
     names = sorted({f"n{i % 97}{i}" for i in range(500)})
     folder = shared_dir(spark, "test")
-    slices = T._write_table(spark.createDataFrame([(x, float(i)) for i, x in enumerate(names)], "name string, v double"), folder)
-    found = T.Table(folder, slices, ["v"])[T.keys_of([*names, "none"])][0]
-    assert slices > 8 and found[:-1].tolist() == list(range(len(names))) and np.isnan(found[-1])
+    rows = spark.createDataFrame([(x, x[:-1], x.endswith("0"), float(i), -float(i)) for i, x in enumerate(names)], "gram string, history string, first boolean, v double, s double")
+    slices = T._write_table(rows, ["v"], ["s"], 2 * len(names), folder)
+    table = T.Table(folder, slices, ["v", "s"])
+    got = table[T.keys_of([*names, "missing"])]
+    assert slices > 8 and got[0, :-1].tolist() == list(map(float, range(len(names)))) and np.isnan(got[0, -1]) and np.isnan(got[1]).all()
+    past = [(x, i) for i, x in enumerate(names) if x.endswith("0")]
+    assert table[T.keys_of([T.PAST + x[:-1] for x, _ in past])][1].tolist() == [-float(i) for _, i in past]
 
 
 def test_query_columns(spark, sf_dir):
@@ -170,3 +175,28 @@ def test_query_columns(spark, sf_dir):
     assert len(rows) == spark.read.parquet(f"{sf_dir}/documents.parquet").count()
     for r in rows:
         assert r.held_out == held(r.doc_id) and 0 <= r.score <= 1 and r.predicted == int(r.score >= 0.3)
+
+
+def test_words_of_any_length_are_taken_in_pieces(monkeypatch):
+    """Pieces give the n-grams of whole words, with bounded memory."""
+    rng = random.Random(5)
+    words = ["".join(rng.choice("abé日") for _ in range(n)) for n in (0, 1, 5, 30, 98, 99, 250, 3, 1000, 97, 2)]
+
+    def grams():
+        steps = list(T.Grams.steps(words))
+        return len(steps), [(int(w), int(g), int(h), s.name(i)) for s in steps for i, (w, g, h) in enumerate(zip(s.word, s.gram, s.history, strict=True))]
+
+    n, whole = grams()
+    assert n == 1 and len(whole) == sum(len(w) + 1 for w in words)
+    for w, gram, history, name in whole[::7]:
+        assert T.keys_of([name, T.PAST + name[:-1]]).tolist() == [gram, history] and name in T.START + words[w] + T.END
+    monkeypatch.setattr(T, "CHARS", 100)
+    n, pieces = grams()
+    assert n > 15 and pieces == whole
+    monkeypatch.setattr(T, "CHARS", 1 << 18)
+    tracemalloc.start()
+    for _ in T.Grams.steps(["ab" * 5_000_000]):
+        pass
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 120e6

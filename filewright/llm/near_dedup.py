@@ -13,9 +13,9 @@ frequencies are gathered over all documents, in ``DF_CELLS`` hashed cells (a fix
 4. A group whose texts aren't all in one class is open. In open groups of up to ``SMALL`` texts all pairs of different classes are compared, one of
    them outside the class that most are in. In larger ones, the texts outside (up to ``OUTSIDE``) are compared with all, in blocks of texts
    that are dealt over all tasks; the groups of one main class (of one text's many copies, in every band) are one group for this.
-   Open groups with still more texts outside are divided by a further band, in every way, and 3 and 4 hold for the parts, each with a leader from
-   outside its main class, until none is open. So a very common passage that draws unlike texts into one group is taken apart, and no
-   pair is given up: two texts at 0.8 share a second band but for 2 pairs in 10,000, a third but for 15.
+   The texts of open groups with still more texts outside are divided by their rarest shingles, in a way that every pair at 0.8 survives (see
+   ``_prefixes``), and 3 and 4 hold for the parts, each with a leader from outside its main class; parts that are open then are compared by pairs or in
+   blocks, whatever their size. So a very common passage that draws unlike texts into one group is taken apart, and no pair is given up.
 5. A pair is compared by its texts' weights and sketches (fewer than ``ALIKE`` equal bytes of 48 befall one pair at 0.8 in 30,000), and what
    is left by the exact weighted Jaccard similarity; ``SIMILARITY`` or more is a link.
 6. Links are turned into classes by star contraction, each step written to the shared folder.
@@ -27,7 +27,7 @@ that isn't a scan is written once, so that rows keep their numbers.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import lru_cache
 
 import numpy as np
@@ -41,10 +41,13 @@ from filewright.llm.token_files import open_array
 
 SHINGLE, SIMILARITY = 5, 0.8
 BANDS, ROWS = 16, 3
-#: Open groups of up to so many texts are searched by pairs; larger ones of up to so many texts outside the main class in blocks; others are divided.
+#: Open groups of up to so many texts are searched by pairs; larger ones of up to so many texts outside the main class in blocks; others are divided once,
+#: and their parts are searched by pairs or in blocks.
 SMALL, OUTSIDE = 32, 2048
 #: Texts outside the main class, and texts of all classes, that meet in a block.
 BLOCK_OUTSIDE, BLOCK_ALL = 32, 256
+#: Step of the weights by which the parts of large groups are told apart.
+WEIGHT_STEP = 1.05
 #: Equal bytes of two sketches from which their texts are compared.
 ALIKE = 27
 DF_CELLS, DF_SLICES = 1 << 20, 64
@@ -153,17 +156,16 @@ def band_keys(owner: np.ndarray, shingle: np.ndarray, weight: np.ndarray, n: int
     return key.view(np.int64), (_mixed(drawn) >> np.uint64(56)).astype(np.uint8).reshape(n, BANDS * ROWS)
 
 
-def inverse_frequencies(texts: DataFrame) -> str:
-    """Counts the documents that hold each word, over all rows of ``text``; returns the folder of the weights' file."""
-    spark = texts.sparkSession
+def _cell_counts(texts: DataFrame, hashes: Callable[[list[str]], tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, int]:
+    """The number of texts that hold an item in each of the ``DF_CELLS`` cells of their items' hashes, and the number of texts. hashes: texts to (item, text)."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, n = np.zeros(DF_CELLS, np.int64), 0
         for batch in batches:
             for i in range(0, batch.num_rows, 512):
                 some = batch.column(0).slice(i, 512).to_pylist()
-                word, text = words(some)
-                both = np.unique(text.astype(np.uint64) << np.uint64(32) | word & np.uint64(DF_CELLS - 1))
+                item, text = hashes(some)
+                both = np.unique(text.astype(np.uint64) << np.uint64(32) | item & np.uint64(DF_CELLS - 1))
                 held += np.bincount((both & np.uint64(DF_CELLS - 1)).astype(np.int64), minlength=DF_CELLS)
                 n += len(some)
         if n:
@@ -180,18 +182,28 @@ def inverse_frequencies(texts: DataFrame) -> str:
             yield pa.record_batch({"slice": pa.array(list(sums), pa.int32()), "n": pa.array([x[0] for x in sums.values()], pa.int64()), "held": pa.array([x[1].tobytes() for x in sums.values()], pa.binary())})
 
     kind = "slice int, n long, held binary"
-    found = texts.select(text_or_empty().alias("text")).mapInArrow(releasing(count), kind).repartition(min(DF_SLICES, partitions(spark)), "slice").mapInArrow(add, kind).collect()
+    found = texts.select(text_or_empty().alias("text")).mapInArrow(releasing(count), kind).repartition(min(DF_SLICES, partitions(texts.sparkSession)), "slice").mapInArrow(add, kind).collect()
     held = np.concatenate([np.frombuffer(x.held, "<i8") for x in sorted(found)]) if found else np.zeros(DF_CELLS, np.int64)
-    n = found[0].n if found else 0
-    weights = np.log(max(n, 1) / np.maximum(held, 1)) / np.log(max(n, 2))
-    folder = shared_dir(spark, "idf")
+    return held, found[0].n if found else 0
+
+
+def _shared_array(spark: SparkSession, name: str, values: np.ndarray) -> str:
+    """Writes a file of values into a new shared folder, and returns the folder."""
+    folder = shared_dir(spark, name)
     store, path = filesystem(folder)
     store.create_dir(path, recursive=True)
-    with store.open_output_stream(f"{path}/idf") as out:
-        out.write(weights.astype("<f4").tobytes())
+    with store.open_output_stream(f"{path}/{name}") as out:
+        out.write(values.tobytes())
     return folder
 
 
+def inverse_frequencies(texts: DataFrame) -> str:
+    """Counts the documents that hold each word, over all rows of ``text``; returns the folder of the weights' file."""
+    held, n = _cell_counts(texts, words)
+    weights = np.log(max(n, 1) / np.maximum(held, 1)) / np.log(max(n, 2))
+    return _shared_array(texts.sparkSession, "idf", weights.astype("<f4"))
+
+
 def signatures(rows: DataFrame, idf: str) -> DataFrame:
     """row, doc_id, digest, bands, sketch and whole (the sum of the weights) of rows (row, doc_id, text)."""
 
@@ -262,8 +274,8 @@ def _alike(pairs: DataFrame, texts: DataFrame) -> DataFrame:
 
 
 def _sized_groups(members: DataFrame, columns: list[str]) -> DataFrame:
-    """The members of groups of two or more, with n, the group's size. Sizes are combined before they are shuffled."""
-    sizes = members.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
+    """The members of groups of two or more that have texts of their own, with n, the group's size. Sizes are combined before they are shuffled."""
+    sizes = members.groupBy("key").agg(F.count("*").alias("n"), F.max("own").alias("any_own")).where("n > 1 and any_own").drop("any_own")
     return join_hot(members, staged(sizes, "sizes"), "key", "n", max(1, members.count())).select(*columns, "n")
 
 
@@ -275,7 +287,7 @@ def _labelled(members: DataFrame, roots: DataFrame | None) -> DataFrame:
 
 
 def _open_groups(members: DataFrame) -> DataFrame:
-    """The members (key, row, comp) of groups of several classes, with main, the class that most of the group's texts are in, n and outside.
+    """The members (key, row, own, comp) of groups of several classes, with main, the class that most of the group's texts are in, n and outside.
 
     n is the group's size, outside the number of its texts in other classes than main.
     """
@@ -291,14 +303,14 @@ def _with_leaders(members: DataFrame, leaders: DataFrame) -> DataFrame:
 
 
 def _open_pairs(members: DataFrame) -> DataFrame:
-    """Different pairs (a, b) of texts of different classes that share a group, one of them outside its main class at least."""
-    x = members.where("comp <> main").select("key", F.col("row").alias("x"), F.col("comp").alias("x_comp"))
-    y = members.select("key", F.col("row").alias("y"), F.col("comp").alias("y_comp"), (F.col("comp") == F.col("main")).alias("in_main"))
-    met = x.join(y, "key").where((F.col("x_comp") != F.col("y_comp")) & (F.col("in_main") | (F.col("x") > F.col("y"))))
-    return met.select(F.greatest("x", "y").alias("a"), F.least("x", "y").alias("b")).distinct()
+    """Different pairs (a, b) of texts of different classes that share a group, one of them outside its main class at least, and one its own."""
+    x = members.where("comp <> main").select("key", *[F.col(c).alias(f"x_{c}") for c in ("row", "comp", "own")])
+    y = members.select("key", *[F.col(c).alias(f"y_{c}") for c in ("row", "comp", "own")], (F.col("comp") == F.col("main")).alias("in_main"))
+    met = x.join(y, "key").where("x_comp <> y_comp and (x_own or y_own) and (in_main or x_row > y_row)")
+    return met.select(F.greatest("x_row", "y_row").alias("a"), F.least("x_row", "y_row").alias("b")).distinct()
 
 
-BLOCK = "block long, outside boolean, in_main boolean, row long, comp long, bands array<long>, sketch binary, whole double, text string"
+BLOCK = "block long, outside boolean, in_main boolean, row long, comp long, bands array<long>, sketch binary, whole double, text string, own boolean"
 
 
 def _block_links(idf: str):
@@ -310,12 +322,12 @@ def _block_links(idf: str):
             return []
         bands = [np.array([r[5] for r in side], np.int64) for side in (xs, ys)]
         sketch = [np.frombuffer(b"".join(r[6] for r in side), np.uint8).reshape(len(side), -1) for side in (xs, ys)]
-        whole, comp, own, main = ([np.array([r[k] for r in side]) for side in (xs, ys)] for k in (7, 4, 3, 2))
+        whole, comp, row, main, own = ([np.array([r[k] for r in side]) for side in (xs, ys)] for k in (7, 4, 3, 2, 9))
         alike = np.zeros((len(xs), len(ys)), np.int32)
         for i in range(len(xs)):
             share = ((bands[0][i] == bands[1]) & (bands[1] != 0)).any(axis=1)
             near = np.minimum(whole[0][i], whole[1]) >= (SIMILARITY - 1e-5) * np.maximum(whole[0][i], whole[1])
-            asked = share & near & (comp[0][i] != comp[1]) & (main[1] | (own[0][i] > own[1]))
+            asked = share & near & (comp[0][i] != comp[1]) & (main[1] | (row[0][i] > row[1])) & (own[0][i] | own[1])
             alike[i] = np.where(asked, (sketch[0][i] == sketch[1]).sum(axis=1), 0)
         x, y = np.nonzero(alike >= ALIKE)
         order = np.argsort(-alike[x, y], kind="stable")
@@ -361,14 +373,11 @@ def _block_links(idf: str):
 
 
 def _in_blocks(members: DataFrame, texts: DataFrame, needed: DataFrame, idf: str) -> DataFrame:
-    """Links (a, b) that join classes of open groups (key, row, comp, main): texts outside the main class against all, in blocks over all tasks.
-
-    Groups of one main class are one group here, so that its texts meet once and not in every band.
-    """
-    rows = staged(members.select(F.col("main").alias("key"), "row", "comp").distinct(), "block_rows")
-    sizes = rows.groupBy("key").agg(F.ceil(F.count("*") / BLOCK_ALL).alias("ny"), F.ceil(F.count_if(F.col("comp") != F.col("key")) / BLOCK_OUTSIDE).alias("nx"), F.count("*").alias("size"))
+    """Links (a, b) that join classes of open groups (key, row, own, comp, main): texts outside the main class against all, in blocks over all tasks."""
+    rows = staged(members.select("key", "row", "own", "comp", "main").distinct(), "block_rows")
+    sizes = rows.groupBy("key").agg(F.ceil(F.count("*") / BLOCK_ALL).alias("ny"), F.ceil(F.count_if(F.col("comp") != F.col("main")) / BLOCK_OUTSIDE).alias("nx"), F.count("*").alias("size"))
     placed = join_hot(rows, staged(sizes, "block_sizes"), "key", "size", max(1, rows.count()))
-    placed = placed.join(texts, "row").join(needed, "row").withColumns({"in_main": F.col("comp") == F.col("key"), "h": F.xxhash64("row")})
+    placed = placed.join(texts, "row").join(needed, "row").withColumns({"in_main": F.col("comp") == F.col("main"), "h": F.xxhash64("row")})
     x, y = F.pmod("h", "nx"), F.pmod(F.shiftrightunsigned("h", 20), "ny")
     every = lambda n: F.sequence(F.lit(0).cast("long"), F.col(n) - 1)
     outside = placed.where("not in_main").withColumns({"outside": F.lit(True), "x": x, "y": F.explode(every("ny"))})
@@ -377,6 +386,43 @@ def _in_blocks(members: DataFrame, texts: DataFrame, needed: DataFrame, idf: str
     return blocks.repartition(partitions(members.sparkSession), "block").sortWithinPartitions("block").mapInArrow(releasing(_block_links(idf)), "a long, b long")
 
 
+def _prefixes(texts: DataFrame, idf: str) -> DataFrame:
+    """key, row, own of texts (row, text): the parts in which every pair with a similarity of ``SIMILARITY`` meets.
+
+    A text's shingles are put in one order for all texts, the rarest first (by the number of these texts in the shingle's cell, then by hash). Two texts
+    of weights v <= w that are similar by t share a weight of t / (1 + t) * (v + w) at least, so either holds a shared shingle among its first ones,
+    up to the weight that it has beyond that; and the first of all shared shingles is among both's. Parts are keyed by that shingle and by the step
+    of the lighter text's weight: a text is in the parts of its own step, and visits those of the lighter texts that it may be similar to. Only
+    pairs with a text of its own need be compared. Shingles of one text alone make no part.
+    """
+    counts = _shared_array(texts.sparkSession, "cells", _cell_counts(texts, lambda some: elements(some, np.zeros(DF_CELLS, np.float32))[1::-1])[0].astype("<i8"))
+    t = SIMILARITY - 1e-6  # room for rounding
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        weights, cells = np.asarray(open_array(idf, "idf", "<f4")), np.asarray(open_array(counts, "cells", "<i8"))
+        for batch in batches:
+            for i in range(0, batch.num_rows, 256):
+                some = batch.slice(i, 256)
+                row = some.column(0).to_numpy()
+                owner, shingle, weight = elements(some.column(1).to_pylist(), weights)
+                held = cells[(shingle & np.uint64(DF_CELLS - 1)).astype(np.int64)]
+                order = np.lexsort((shingle, held, owner))
+                owner, shingle, weight, held = owner[order], shingle[order], weight[order], held[order]
+                whole = np.bincount(owner, weight, len(row))
+                before = np.cumsum(weight) - weight - (np.cumsum(whole) - whole)[owner]
+                step = lambda w: np.floor(np.log(np.maximum(w, 1e-9)) / np.log(WEIGHT_STEP)).astype(np.int64)
+                highest, lowest = step(whole), step(whole * t)
+                for down in range(int((highest - lowest).max()) + 1):
+                    at = highest - down
+                    least = np.maximum(WEIGHT_STEP ** at.astype(float) * (1 - 1e-9), whole * t)
+                    room = np.where(at >= lowest, whole - t / (1 + t) * (whole + least), -1)
+                    first = (before <= room[owner]) & (held > 1)
+                    key = _mixed(_mixed(shingle[first]) + at[owner[first]].view(np.uint64) * _MIX)
+                    yield pa.record_batch([pa.array(key.view(np.int64)), pa.array(row[owner[first]]), pa.array(np.full(len(key), not down))], names=["key", "row", "own"])
+
+    return texts.mapInArrow(releasing(run), "key long, row long, own boolean")
+
+
 def linked_classes(texts: DataFrame, rows: DataFrame, idf: str) -> DataFrame | None:
     """node, root of all texts that have links; None without links.
 
@@ -403,8 +449,16 @@ def linked_classes(texts: DataFrame, rows: DataFrame, idf: str) -> DataFrame | N
         join_classes(staged(verified(asked, needed, idf).where("linked").select("a", "b"), "links"))
         drop_staged(asked)
 
-    exploded = texts.select("row", F.posexplode("bands").alias("band", "key")).where("key <> 0")
-    members = staged(_sized_groups(exploded, ["key", "band", "row"]), "groups")
+    def search(open_: DataFrame, blocks: DataFrame) -> None:
+        """Compares small open groups by pairs, and blocks' groups in blocks."""
+        small = open_.where(F.col("n") <= SMALL)
+        if not small.isEmpty():
+            compare(_open_pairs(small))
+        if not blocks.isEmpty():
+            join_classes(staged(_in_blocks(blocks, texts, needed, idf), "block_links"))
+
+    exploded = texts.select("row", F.explode("bands").alias("key"), F.lit(True).alias("own")).where("key <> 0")
+    members = staged(_sized_groups(exploded, ["key", "row", "own"]), "groups")
     if members.isEmpty():
         return None
     dense = staged(members.groupBy("row").agg(F.sum("n").alias("dense")), "dense")
@@ -412,26 +466,21 @@ def linked_classes(texts: DataFrame, rows: DataFrame, idf: str) -> DataFrame | N
     ranked = members.join(dense, "row")
     leaders = ranked.groupBy("key").agg(F.max_by("row", F.struct("dense", "row")).alias("leader"), F.count("*").alias("size")).withColumn("leader_comp", F.col("leader"))
     compare(_with_leaders(_labelled(members, None), leaders))
-    while True:
-        open_ = staged(_open_groups(_labelled(members, roots)), "open_groups")
-        counts = open_.select(F.count_if(F.col("n") <= SMALL), F.count_if((F.col("n") > SMALL) & (F.col("outside") <= OUTSIDE)), F.count_if((F.col("n") > SMALL) & (F.col("outside") > OUTSIDE))).first()
-        if counts[0]:
-            compare(_open_pairs(open_.where(F.col("n") <= SMALL)))
-        if counts[1]:
-            join_classes(staged(_in_blocks(open_.where((F.col("n") > SMALL) & (F.col("outside") <= OUTSIDE)), texts, needed, idf), "block_links"))
-        if not counts[2]:
-            return roots
-        # the others are divided by each later band
-        large = open_.where((F.col("n") > SMALL) & (F.col("outside") > OUTSIDE)).select("key", "band", "row").join(texts.select("row", "bands"), "row")
-        later = F.transform(F.filter(F.sequence(F.lit(0), F.lit(BANDS - 1)), lambda k: k > F.col("band")), lambda k: F.struct(k.alias("band"), F.xxhash64("key", k, F.get("bands", k)).alias("key")))
-        parts = staged(large.select("row", F.explode(later).alias("p")).select("row", "p.band", "p.key"), "parts")
-        members = staged(_sized_groups(parts, ["key", "band", "row"]), "groups")
-        open_ = staged(_open_groups(_labelled(members, roots)), "open_groups")
-        if open_.isEmpty():
-            return roots
-        outside = F.when(F.col("comp") != F.col("main"), F.struct(F.xxhash64("row", "key"), F.col("row"), F.col("comp")))
-        leaders = open_.groupBy("key").agg(F.max(outside).alias("best"), F.count("*").alias("size")).select("key", "size", F.col("best.row").alias("leader"), F.col("best.comp").alias("leader_comp"))
-        compare(_with_leaders(open_, leaders))
+    open_ = staged(_open_groups(_labelled(members, roots)), "open_groups")
+    # groups of one main class are one group in blocks, so that its texts meet once and not in every band
+    search(open_, open_.where((F.col("n") > SMALL) & (F.col("outside") <= OUTSIDE)).withColumn("key", F.col("main")))
+    large = open_.where((F.col("n") > SMALL) & (F.col("outside") > OUTSIDE)).select("row").distinct()
+    if large.isEmpty():
+        return roots
+    parts = staged(_prefixes(staged(needed.join(_sized(large), "row", "left_semi"), "large_text"), idf), "parts")
+    members = staged(_sized_groups(parts, ["key", "row", "own"]), "groups")
+    open_ = staged(_open_groups(_labelled(members, roots)), "open_groups")
+    best = F.when(F.col("own"), F.struct(F.col("comp") != F.col("main"), F.xxhash64("row", "key"), F.col("row"), F.col("comp")))
+    leaders = open_.groupBy("key").agg(F.max(best).alias("best"), F.count("*").alias("size")).select("key", "size", F.col("best.row").alias("leader"), F.col("best.comp").alias("leader_comp"))
+    compare(_with_leaders(open_, leaders))
+    open_ = staged(_open_groups(_labelled(members, roots)), "open_groups")
+    search(open_, open_.where(F.col("n") > SMALL))
+    return roots
 
 
 def components(edges: DataFrame) -> DataFrame:

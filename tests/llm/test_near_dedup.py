@@ -4,6 +4,7 @@ import numpy as np
 import pytest
 from data import awkward, frame, words
 
+from filewright.llm import common
 from filewright.llm import near_dedup as D
 
 
@@ -119,6 +120,37 @@ def test_large_groups_lose_no_link(spark, monkeypatch, outside):
     assert len(pairs) == len({a for a, _ in pairs}) == len({b for _, b in pairs})
 
 
+def test_divided_groups_keep_links_of_one_band(spark, monkeypatch):
+    """Pairs at 0.8 of several weights that share no band but the group's, among texts that share a passage; once as a group of all unlike texts and once beside a main class."""
+    monkeypatch.setattr(D, "OUTSIDE", 4)
+    monkeypatch.setattr(D, "SMALL", 4)
+    rng = random.Random(8)
+    passage = words(rng, 60, 10_000)
+    texts, pairs = [passage + " " + words(rng, 30 + i, 10_000) for i in range(60)], set()
+    for i in range(40):
+        text = passage + " " + words(rng, 25 + i, 10_000)
+        pairs.add((len(texts), len(texts) + 1))
+        texts += [text, text + " " + words(rng, 1 + i % 12, 10_000)]
+    texts += [passage + " x y"] + [passage + f" x y z{i}" for i in range(30)]
+    df = frame(spark, list(enumerate(texts)))
+    idf = D.inverse_frequencies(df)
+    weights = np.asarray(D.open_array(idf, "idf", "<f4"))
+    sets = [shingles(t, weights) for t in texts]
+    expected = {(i, j) for j in range(len(texts)) for i in range(j) if similarity(sets[i], sets[j]) >= D.SIMILARITY}
+    assert len(expected & pairs) > 30
+    owner, shingle, weight = D.elements(texts, weights)
+    _, sketches = D.band_keys(owner, shingle, weight, len(texts))
+    signed = [(i, [99] + [i * 100 + k for k in range(1, D.BANDS)], sketches[i].tobytes(), float(sum(sets[i].values()))) for i in range(len(texts))]
+    signed = common.staged(spark.createDataFrame(signed, "row long, bands array<long>, sketch binary, whole double"), "signed")
+    rows = df.selectExpr("doc_id as row", "text")
+    root = {r.node: r.root for r in D.linked_classes(signed, rows, idf).collect()}
+    own = list(range(len(texts)))
+    for i, j in sorted(expected) * 3:
+        least = min(own[i], own[j])
+        own = [least if x in (own[i], own[j]) else x for x in own]
+    assert [root.get(i, i) for i in range(len(texts))] == own
+
+
 def test_components(spark):
     rng = random.Random(1)
     edges = [(i, i + 1) for i in range(40)] + [(100 + rng.randrange(50), 100 + rng.randrange(50)) for _ in range(60)] + [(7, 3), (3, 7)]

@@ -172,9 +172,9 @@ def _fold(flush: bool):
 
 
 def digests(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
-    """row (its number), doc_id, digest, n_bytes."""
+    """row (its number), doc_id, digest, n_bytes. A frame that isn't a scan is written once."""
     plain = F.translate(text_or_empty(text_column), UPPER, LOWER)
-    docs, row = numbered(docs)
+    docs, row = numbered(repeatable(docs))
     return docs.select(F.col(row).alias("row"), F.col(id_column).alias("doc_id"), F.unhex(F.sha2(F.encode(plain, "UTF-8"), 256)).alias("digest"), F.octet_length(plain).cast("long").alias("n_bytes"))
 
 

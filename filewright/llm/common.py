@@ -107,6 +107,7 @@ def releasing(run: Callable[[Iterator], Iterator]) -> Callable[[Iterator], Itera
 
     def to_end(batches: Iterator) -> Iterator:
         yield from run(batches)
+        pa.default_memory_pool().release_unused()
         libc = ctypes.CDLL(None)
         if hasattr(libc, "malloc_trim"):
             libc.malloc_trim(0)

@@ -29,10 +29,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from filewright.llm.common import releasing, table, text_or_empty
+from filewright.llm.common import releasing, slices, table, text_or_empty
 
 META = "▁"
-LONG, MEMO, BATCH_CHARS = 128, 250_000, 1_500_000
+LONG, MEMO = 128, 250_000
+#: Texts of up to so many characters (or one text) are cut into segments together, new segments of about so many are indexed together, and texts of up to so many
+#: bytes (or one text) make a batch of rows. What a worker holds beside its tables grows with these.
+BATCH_CHARS, NEW_CHARS, BATCH_BYTES = 1 << 18, 1 << 16, 1 << 18
 NONE, START = -1, -2
 
 
@@ -171,11 +174,11 @@ class Encoder:
         batch: list[str] = []
         size = 0
         for text in texts:
-            batch.append(text)
-            size += len(text)
-            if size > BATCH_CHARS:
+            if batch and size + len(text) > BATCH_CHARS:
                 out += self._batch(batch)
                 batch, size = [], 0
+            batch.append(text)
+            size += len(text)
         return out + self._batch(batch) if batch else out
 
     def _batch(self, texts: list[str]) -> list[np.ndarray]:
@@ -212,9 +215,11 @@ class Encoder:
         frozen = len(self.starts) - 1
         number[new] = frozen + np.arange(len(new))
         if len(new):
-            ids, counts = self._segments(whole, char, code, starts[first[new]], lengths[first[new]])
-            self.starts = np.concatenate([self.starts, self.starts[-1] + np.cumsum(counts)])
-            self.found = np.concatenate([self.found, ids])
+            at = first[new]
+            turns = np.flatnonzero(np.diff(np.cumsum(lengths[at]) // NEW_CHARS)) + 1
+            found = [self._segments(whole, char, code, starts[some], lengths[some]) for some in np.split(at, turns)]
+            self.starts = np.concatenate([self.starts, self.starts[-1] + np.cumsum(np.concatenate([counts for _, counts in found]))])
+            self.found = np.concatenate([self.found, *[ids for ids, _ in found]])
         each = number[back]
         counts = np.diff(self.starts)[each]
         ends = np.cumsum(counts)
@@ -353,8 +358,7 @@ def encode(docs: DataFrame, model: str, id_column: str = "doc_id", text_column:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = encoder(model)
         for batch in batches:
-            for i in range(0, batch.num_rows, 512):
-                some = batch.slice(i, 512)
+            for some in slices(batch, 1, 512, BATCH_BYTES):
                 texts = some.column(1).to_pylist()
                 ids = own(texts)
                 columns = [some.column(0), pa.array([len(x) for x in ids], pa.int64()), pa.array([zlib.crc32(x.astype("<u4").tobytes()) for x in ids], pa.int64()), pa.array([own.decode(x) == t for x, t in zip(ids, texts, strict=True)])]

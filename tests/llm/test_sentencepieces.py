@@ -1,4 +1,5 @@
 import random
+import tracemalloc
 import zlib
 
 import numpy as np
@@ -69,3 +70,19 @@ def test_rows(spark, model):
     back = S.decode(S.encode(frame(spark, texts), PATH), PATH).collect()
     assert sorted(r.text for r in back) == sorted(t or "" for _, t in texts)
     assert S.encode(frame(spark, []), PATH).count() == 0
+
+
+def test_batches_are_bounded(model, monkeypatch):
+    """New segments in several turns give the library's ids, and memory doesn't grow with the texts that one call gets."""
+    rng = random.Random(6)
+    words = ["".join(rng.choice("abcdefghilmnoprstuvwxyz") for _ in range(rng.randrange(4, 12))) for _ in range(60_000)]
+    texts = [" ".join(rng.choice(words) for _ in range(400)) for _ in range(450)]
+    encoder = S.Encoder(PATH)
+    tracemalloc.start()
+    got = encoder(texts)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert all(ids.tolist() == model.encode(t) for t, ids in zip(texts, got, strict=True))
+    assert peak < 100 << 20, peak >> 20
+    monkeypatch.setattr(S, "NEW_CHARS", 500)
+    assert all(np.array_equal(a, b) for a, b in zip(S.Encoder(PATH)(texts[:2]), got, strict=False))
